@@ -7,6 +7,8 @@ import importlib
 MODULES = (
     "commerce",
     "relational",
+    "quality",
+    "runs",
 )
 
 

@@ -137,7 +137,21 @@ class Commerce:
             F.round(F.col("value") * 100).cast("bigint").alias("total_ms"),
             F.get_json_object("props", "$.k").cast("bigint").alias("k"),
             F.col("ts").alias("created_at"),
-        )
+        ).withColumn("trace", _trace())
+
+
+def _trace() -> Column:
+    """Stage timings of a run; the last stage carries the failure."""
+    total = F.col("total_ms")
+    first, second = F.floor(total / 5), F.floor(total / 3)
+
+    def stage(name: str, duration: Column, status: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), duration.alias("duration_ms"), status.alias("status"))
+
+    failed = F.when(F.col("status") == "failed", "error").otherwise("ok")
+    return F.array(
+        stage("routing", first, F.lit("ok")), stage("retrieval", second, F.lit("ok")),
+        stage("answer_generation", total - first - second, failed))
 
 
 # The same views for the DuckDB checks.
