@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quayside.functions.text import SPACE
+from quayside.functions.text import SPACE, SPACE_RE2
 
 # What counts as a credential, and what is left of it.
 SECRET_PATTERNS = [
@@ -18,11 +18,12 @@ SECRET_PATTERNS = [
 
 def redact_secrets(text: Column) -> Column:
     for pattern, replacement in SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
+        text = F.regexp_replace(text, "(?U)" + pattern, replacement)
     return text
 
 
 def redact_sql(text: str) -> str:
     for pattern, replacement in SECRET_PATTERNS:
+        pattern = pattern.replace(SPACE, SPACE_RE2)
         text = f"regexp_replace({text}, '{pattern}', '{replacement.replace('$', chr(92))}', 'g')"
     return text

@@ -1,14 +1,16 @@
 """Small text expressions shared by the operators (all JVM-side).
 
-Character classes use ``\\x{...}`` escapes, which Spark and the checking engine both read."""
+Code points are written as ``\\x{...}``, which Spark and the checking engine both read."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that Unicode counts as white space.
-SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Every character that counts as white space. Spark's patterns start with
+# (?U), where \s is one Unicode property test; the checking engine needs the list.
+SPACE = r"\s\x1c-\x1f"
+SPACE_RE2 = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # The Bengali block.
 BENGALI = r"\x{980}-\x{9ff}"
 BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
@@ -17,12 +19,12 @@ BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 
 def strip(text: Column) -> Column:
     """Remove white space at both ends (``trim`` knows the plain blank only)."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def collapse(text: Column) -> Column:
     """Every run of white space becomes one blank; none at the ends."""
-    return F.btrim(F.regexp_replace(text, rf"[{SPACE}]+", " "))
+    return F.btrim(F.regexp_replace(text, rf"(?U)[{SPACE}]+", " "))
 
 
 def shorten(text: Column, limit: int, ellipsis: str = "…") -> Column:
@@ -33,15 +35,15 @@ def shorten(text: Column, limit: int, ellipsis: str = "…") -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words; empty array for blank text."""
-    return F.filter(F.split(text, rf"[{SPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, rf"(?U)[{SPACE}]+"), lambda w: w != "")
 
 
 def collapse_sql(text: str) -> str:
-    return f"trim(regexp_replace({text}, '[{SPACE}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({text}, '[{SPACE_RE2}]+', ' ', 'g'))"
 
 
 def strip_sql(text: str) -> str:
-    return f"regexp_replace({text}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
+    return f"regexp_replace({text}, '^[{SPACE_RE2}]+|[{SPACE_RE2}]+$', '', 'g')"
 
 
 def sql_list(values) -> str:

@@ -9,6 +9,7 @@ MODULES = (
     "relational",
     "quality",
     "runs",
+    "corpus",
 )
 
 

@@ -55,3 +55,34 @@ SECRETS = [
     "postgresql+driver://app:hunter2@db:5432/app",
     "key sk-abcdefghijklmnopqrstu token=deadbeef",
 ]
+
+HEADINGS = [
+    "Return Rules by Category",
+    "ছুটির নীতি",
+    "Employees get 20 days of annual",
+    "1. Opening Hours and Holidays",
+    "2 weeks notice is enough",
+    "- Bullet Line",
+    "What the Plan Does Not Cover",
+    "This line is a sentence that ends here.",
+]
+
+WRAPPED = [
+    "Equipment is covered for three months. Fitness\nmachine motors are covered\n24 months long.",
+    "Up to 2 days per week.\nEach team decides\n3. Third rule",
+    "Employees get of\nbig Red Bananas\nand more",
+    "এটি একটি বাক্য। আরেকটি বাক্য!\nশেষ লাইন",
+]
+
+# Written with escapes below U+0020 only; the rest are the characters themselves.
+DIRTY = [
+    "Cafe" + chr(0x301) + chr(7) + "  menu\t\tlist\r\n\r\n\r\n\r\nNext exam-\nple" + chr(0xFEFF),
+    chr(0x200B) + " a" + chr(0xA0) + chr(0x2009) + "b  \n \t \n\n\n c" + chr(0x202F) + "\rd-\nE",
+    "x-\ny-\nz " + chr(0x3000) + "\n" + chr(0x2003) + "end" + chr(0x7F),
+]
+
+MARKUP = [
+    "**Bold** text <!-- page --> end",
+    "__Under__ and **two** words **not\nclosed** <!-- a\nb -->",
+    "plain ** alone __",
+]

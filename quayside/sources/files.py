@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quayside.functions.text import BENGALI, strip, words
 
@@ -34,7 +35,7 @@ def source_type(path: Column) -> Column:
     return F.element_at(F.create_map(*pairs), extension(path))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _utf16(content: pd.Series) -> pd.Series:
     """UTF-16 with optional byte order mark; null where the bytes are no such text.
 
