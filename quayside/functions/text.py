@@ -4,6 +4,8 @@ Code points are written as ``\\x{...}``, which Spark and the checking engine bot
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ BENGALI_DIGITS = "০১২৩৪৫৬৭৮৯"
 
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times, also inside lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends (``trim`` knows the plain blank only)."""
     return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")

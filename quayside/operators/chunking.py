@@ -6,12 +6,10 @@ number of documents in parallel. Only the finished chunks become rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.text import SPACE, strip
+from quayside.functions.text import SPACE, let, strip
 
 CHUNK_SIZE, OVERLAP = 900, 150
 # What a heading looks like.
@@ -31,11 +29,6 @@ def no_text() -> Column:
     return F.lit(None).cast("string")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate a value once and use it several times inside a fold."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def split_sentences(text: Column) -> Column:
     return F.split(text, SENTENCE_END)
 

@@ -10,6 +10,8 @@ MODULES = (
     "quality",
     "runs",
     "corpus",
+    "intent",
+    "retrieval",
 )
 
 
