@@ -16,15 +16,6 @@ LAST_BUCKET_WEIGHT = 0.01
 NO_READABLE_TEXT = "The document does not contain any readable text."
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy work at least one partition per core.
-
-    A scan of large tables has far more partitions than cores and is left alone; only a
-    handful of small files would otherwise run on a few cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
-
-
 def embedding_text(title: Column, section: Column, content: Column) -> Column:
     return strip(F.concat(title, F.lit("\n"), F.coalesce(section, F.lit("")), F.lit("\n"), content))
 

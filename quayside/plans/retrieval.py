@@ -12,12 +12,12 @@ from quayside.functions import lexicons as lx
 from quayside.functions.injection import is_suspicious
 from quayside.functions.text import collapse_sql, pick, pick_sql, sql_list
 from quayside.operators import retrieval as r
-from quayside.operators.corpus import spread
 from quayside.operators.similarity import approx_vector_search, vector_search
 from quayside.plans.corpus import MARKERS_RE2
 from quayside.plans.intent import hits_sql
 from quayside.plans.registry import query
 from quayside.plans.samples import HOSTILE, QUESTIONS
+from quayside.session import spread
 
 K = 5
 
@@ -30,23 +30,30 @@ def queries(t):
     return whole.unionByName(rest).join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
 
-def chunks(t):
-    """Chunks of documents that are not toxic (those count as failed), with their vectors."""
-    documents = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").select(
+def documents(t):
+    """Toxic documents count as failed, all others as indexed."""
+    return t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").select(
         F.col("doc_id").alias("document_id"), F.concat_ws(" ", "source", "doc_id").alias("title"),
         F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"),
         F.when(F.col("toxic") == 1, "failed").otherwise("indexed").alias("status"))
-    own = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"),
-                             F.col("lang").alias("section"))
-    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return r.searchable(own, documents).join(vectors, "chunk_id", "left")
 
 
-TEXT = ("section", "content")
+def texts(t):
+    return spread(t.documents.select("doc_id", "text", "lang"), "doc_id").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("section"))
+
 
+def corpus(t):
+    """Texts, vectors, the text that is indexed, and the ids of indexed documents."""
+    vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    allowed = documents(t).filter("status = 'indexed'").select(F.col("document_id").alias("chunk_id"))
+    return {"texts": texts(t), "vectors": vectors, "text": F.concat_ws(" ", "section", "content"), "allowed": allowed}
 
-def text():
-    return F.concat_ws(" ", *TEXT)
+
+def lists(t):
+    c = corpus(t)
+    return (r.keyword_search(queries(t), r.build_postings(c["texts"], "chunk_id", c["text"]), allowed=c["allowed"]),
+            r.vector_lists(queries(t), c["vectors"], allowed=c["allowed"]))
 
 
 QUERIES_SQL = r"""q AS (SELECT item_id AS query_id, 0 AS variant, text, item_id AS vec_id FROM benchmark
@@ -54,13 +61,18 @@ QUERIES_SQL = r"""q AS (SELECT item_id AS query_id, 0 AS variant, text, item_id
   qv AS (SELECT query_id, variant, text, embedding FROM q LEFT JOIN embeddings USING (vec_id)),
   ch AS (SELECT d.doc_id AS chunk_id, d.source || ' ' || d.doc_id AS title, d.source || '_' || d.doc_id || '.txt' AS filename, text AS content, lang AS section, embedding
     FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON vec_id = d.doc_id WHERE coalesce(toxic, 0) <> 1)"""
-TERMS_SQL = rf"""list_distinct_in_order AS (SELECT query_id, variant, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z\x{{980}}-\x{{9ff}}]+'), lambda w: lower(w)),
-    lambda w: length(w) > 2 AND NOT list_contains({sql_list(lx.STOP_WORDS)}, w)) AS w FROM {{source}}),
+
+
+def terms_sql(source: str) -> str:
+    return rf"""list_distinct_in_order AS (SELECT query_id, variant, list_filter(list_transform(regexp_extract_all(text, '[0-9A-Za-z\x{{980}}-\x{{9ff}}]+'), lambda w: lower(w)),
+    lambda w: length(w) > 2 AND NOT list_contains({sql_list(lx.STOP_WORDS)}, w)) AS w FROM {source}),
   terms AS (SELECT query_id, variant, list_filter(w, lambda x, i: list_position(w, x) = i)[1:16] AS terms FROM list_distinct_in_order)"""
-KEYWORD_SQL = rf"""{TERMS_SQL.format(source='qv')},
+
+
+KEYWORD_SQL = rf"""{terms_sql('qv')},
   lex AS (SELECT chunk_id, unnest(regexp_extract_all(lower(section || ' ' || content), '[\pL\pM\pN]+')) AS term FROM ch),
   tf AS (SELECT chunk_id, term, count(*) AS n FROM lex GROUP BY ALL),
-  kw AS (SELECT query_id, variant, chunk_id, sum(n) AS n FROM (SELECT query_id, variant, unnest(terms) AS term FROM terms) JOIN tf USING (term) GROUP BY ALL
+  kw AS (SELECT query_id, variant, chunk_id, sum(n) AS n FROM (SELECT query_id, variant, unnest(terms) AS term FROM terms) JOIN tf USING (term) GROUP BY query_id, variant, chunk_id
     QUALIFY row_number() OVER (PARTITION BY query_id, variant ORDER BY sum(n) DESC, chunk_id) <= 20),
   kwr AS (SELECT query_id, variant, chunk_id, CAST(row_number() OVER (PARTITION BY query_id, variant ORDER BY n DESC, chunk_id) AS INTEGER) AS rank, round(CAST(n AS DOUBLE) * 0.1, 4) AS keyword_score FROM kw)"""
 SIM = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), {digits})"
@@ -80,7 +92,7 @@ FUSE_SQL = f"""{QUERIES_SQL}, {KEYWORD_SQL}, {VECTOR_SQL},
 
 @query("r01_keyword_terms",
        f"""WITH src AS (SELECT item_id AS query_id, 0 AS variant, text FROM benchmark UNION ALL
-         SELECT doc_id, 1, {pick_sql(QUESTIONS, 'doc_id')} FROM documents), {TERMS_SQL.format(source='src')}
+         SELECT doc_id, 1, {pick_sql(QUESTIONS, 'doc_id')} FROM documents), {terms_sql('src')}
        SELECT query_id, variant, array_to_string(CASE WHEN len(terms) > 0 THEN terms END, ' | ') AS terms FROM terms""")
 def r01(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), "text").unionByName(
@@ -101,7 +113,7 @@ def r02(t):
 
 @query("r03_keyword_search", f"WITH {QUERIES_SQL}, {KEYWORD_SQL} SELECT * FROM kwr")
 def r03(t):
-    return r.keyword_search(queries(t), r.build_postings(spread(chunks(t).drop("embedding"), "chunk_id"), "chunk_id", text()))
+    return lists(t)[0]
 
 
 @query("r04_vector_search",
@@ -125,11 +137,6 @@ def r06(t):
     return r.rrf_fuse(kw, vec).select("query_id", "chunk_id", F.round("fused", 9).alias("fused"))
 
 
-def lists(t):
-    return (r.keyword_search(queries(t), r.build_postings(chunks(t).drop("embedding"), "chunk_id", text())),
-            r.vector_lists(queries(t), chunks(t), "chunk_id"))
-
-
 @query("r07_merged_scores", f"WITH {FUSE_SQL} SELECT query_id, chunk_id, vector_score, keyword_score FROM fused")
 def r07(t):
     kw, vec = lists(t)
@@ -138,38 +145,32 @@ def r07(t):
 
 @query("r08_filled_similarity", f"WITH {FUSE_SQL} SELECT query_id, chunk_id, vector_score, keyword_score FROM filled")
 def r08(t):
-    return r.hybrid_candidates(queries(t), chunks(t), text()).drop("fused")
+    return r.hybrid_candidates(queries(t), **corpus(t)).drop("fused")
 
 
 @query("r09_relevance_filter", f"WITH {FUSE_SQL} SELECT query_id, chunk_id, vector_score, keyword_score FROM relevant")
 def r09(t):
-    return r.relevance_filter(r.hybrid_candidates(queries(t), chunks(t), text())).drop("fused")
+    return r.relevance_filter(r.hybrid_candidates(queries(t), **corpus(t))).drop("fused")
 
 
 @query("r10_hybrid_search", f"WITH {FUSE_SQL} SELECT query_id, chunk_id, rank, score, vector_score, keyword_score FROM results WHERE rank <= {K}")
 def r10(t):
-    return r.hybrid_search(queries(t), chunks(t), text(), K).drop("fused")
-
-
-ASKED_IDS = list(range(100, 260))
+    return r.hybrid_search(queries(t), k=K, **corpus(t)).drop("fused")
 
 
 @query("r11_status_and_document_filter",
-       f"WITH {QUERIES_SQL} SELECT chunk_id, title, filename, section FROM ch WHERE chunk_id BETWEEN 100 AND 259")
+       f"WITH {QUERIES_SQL} SELECT chunk_id, title, filename, section FROM ch WHERE section = 'fr'")
 def r11(t):
-    """Indexed documents out of a list of ids (the filter is the operator)."""
-    documents = t.documents.join(t.labels.select("doc_id", "toxic"), "doc_id", "left").select(
-        F.col("doc_id").alias("document_id"), F.concat_ws(" ", "source", "doc_id").alias("title"),
-        F.concat("source", F.lit("_"), "doc_id", F.lit(".txt")).alias("filename"),
-        F.when(F.col("toxic") == 1, "failed").otherwise("indexed").alias("status"))
+    """Chunks of indexed documents among the documents asked for (here: the French ones)."""
+    asked = t.documents.filter("lang = 'fr'").select(F.col("doc_id").alias("document_id"))
     own = t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("section"))
-    return r.searchable(own, documents, ASKED_IDS).select("chunk_id", "title", "filename", "section")
+    return r.searchable(own, documents(t), asked).select("chunk_id", "title", "filename", "section")
 
 
 @query("r12_document_relevance",
        f"WITH {FUSE_SQL} SELECT query_id, coalesce(max(vector_score), 0) AS relevance FROM (SELECT DISTINCT query_id FROM q) LEFT JOIN (SELECT * FROM results WHERE rank = 1) USING (query_id) GROUP BY 1")
 def r12(t):
-    return r.document_relevance(queries(t), chunks(t), text())
+    return r.document_relevance(queries(t), **corpus(t))
 
 
 @query("r13_rerank",
@@ -177,7 +178,7 @@ def r12(t):
        SELECT query_id, chunk_id, grade, CAST(row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, rank) AS INTEGER) AS position FROM g WHERE grade >= 5""")
 def r13(t):
     """Twice k candidates graded by the label of their vector."""
-    found = r.hybrid_search(queries(t), chunks(t), text(), 2 * K).select("query_id", "chunk_id", "rank")
+    found = r.hybrid_search(queries(t), k=2 * K, **corpus(t)).select("query_id", "chunk_id", "rank")
     labels = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("grade"))
     grades = found.select("query_id", "chunk_id").join(labels, "chunk_id")
     return r.rerank(found, grades).select("query_id", "chunk_id", "grade", "position")
@@ -185,12 +186,13 @@ def r13(t):
 
 def shown(t):
     """Results with everything a passage shows; half of the chunks have a page."""
-    found = r.hybrid_search(queries(t), chunks(t), text(), 2 * K).select("query_id", "chunk_id", "rank")
-    body = chunks(t).select(
-        "chunk_id", "title", F.when(F.col("chunk_id") % 2 == 1, F.col("chunk_id") % 9 + 1).alias("page"),
+    found = r.hybrid_search(queries(t), k=2 * K, **corpus(t)).select("query_id", "chunk_id", "rank")
+    titles = documents(t).select(F.col("document_id").alias("chunk_id"), "title")
+    body = texts(t).select(
+        "chunk_id", F.when(F.col("chunk_id") % 2 == 1, F.col("chunk_id") % 9 + 1).alias("page"),
         F.when(F.col("chunk_id") % 3 != 0, F.col("section")).alias("section"),
         F.concat("content", F.lit("\n"), pick(HOSTILE, F.col("chunk_id"))).alias("content"))
-    return found.join(body, "chunk_id").withColumn("suspicious", is_suspicious(F.col("content")))
+    return found.join(body, "chunk_id").join(titles, "chunk_id").withColumn("suspicious", is_suspicious(F.col("content")))
 
 
 SHOWN_SQL = f"""{FUSE_SQL}, body AS (SELECT query_id, chunk_id, rank, title, CASE WHEN chunk_id % 2 = 1 THEN chunk_id % 9 + 1 END AS page,
@@ -256,15 +258,15 @@ BUCKETS = r"""SELECT {key}, CAST((CAST('0x' || substr(h, 1, 16) AS UHUGEINT) * 1
 @query("r17_score_tables",
        f"""WITH src AS (SELECT item_id AS key, text || ' ' || {pick_sql(QUESTIONS, 'item_id')} AS text FROM benchmark UNION ALL SELECT -1 - item_id, {pick_sql(QUESTIONS, 'item_id')} FROM benchmark
          UNION ALL SELECT 1000000 + item_id, text FROM benchmark),
-       cards AS (SELECT * FROM (VALUES {_card_rows()}) c("table", at, text)),
+       cards AS (SELECT * FROM (VALUES {_card_rows()}) c("table", "at", text)),
        qb AS (SELECT key, bucket, sum(w) AS w FROM ({BUCKETS.format(key='key', source='src')}) GROUP BY ALL),
        cb AS (SELECT "table", bucket, sum(w) AS w FROM ({BUCKETS.format(key='"table"', source='cards')}) GROUP BY ALL),
        sims AS (SELECT key, "table", CAST(sum(qb.w * cb.w) AS DOUBLE) / (sqrt(any_value(qn.n)) * sqrt(any_value(cn.n))) AS similarity FROM qb JOIN cb USING (bucket)
          JOIN (SELECT key, sum(w * w) AS n FROM qb GROUP BY 1) qn USING (key) JOIN (SELECT "table", sum(w * w) AS n FROM cb GROUP BY 1) cn USING ("table") GROUP BY ALL),
        low AS (SELECT key, lower(text) AS padded FROM src),
        hits AS ({' UNION ALL '.join(f"SELECT key, '{name}' AS {chr(34)}table{chr(34)}, {hits_sql(lx.TABLE_TERMS[name])} AS keyword_hits FROM low" for name in CARDS)}),
-       scored AS (SELECT key, "table", at, CAST(keyword_hits AS INTEGER) AS keyword_hits, similarity, round(keyword_hits + greatest(0, similarity - 0.25) * 4, 4) AS score FROM hits JOIN sims USING (key, "table") JOIN cards USING ("table")),
-       ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, at) AS rank, row_number() OVER (PARTITION BY key ORDER BY keyword_hits > 0 DESC, score DESC, at) AS hit_rank FROM scored)
+       scored AS (SELECT key, "table", "at", CAST(keyword_hits AS INTEGER) AS keyword_hits, similarity, round(keyword_hits + greatest(0, similarity - 0.25) * 4, 4) AS score FROM hits JOIN sims USING (key, "table") JOIN cards USING ("table")),
+       ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score DESC, "at") AS rank, row_number() OVER (PARTITION BY key ORDER BY keyword_hits > 0 DESC, score DESC, "at") AS hit_rank FROM scored)
        SELECT key, "table", score, keyword_hits, round(similarity, 4) AS similarity, CAST(rank AS INTEGER) AS rank,
        CASE WHEN max(keyword_hits) OVER w > 0 THEN keyword_hits > 0 AND hit_rank <= 4
             WHEN bool_or(rank <= 3 AND similarity >= 0.25) OVER w THEN rank <= 3 AND similarity >= 0.25

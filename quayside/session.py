@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that change results or physical strategy and may be set at run time.
 RUNTIME_CONF = {
@@ -58,3 +58,18 @@ def shared_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="quayside-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether a table has at most so many rows; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Give CPU-heavy work on a scan at least one partition per core.
+
+    A scan of large tables has far more partitions than cores and is left alone; only a
+    handful of small files would otherwise run on a few cores. For plain scans only:
+    planning a join to count its partitions would run it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
