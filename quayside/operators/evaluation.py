@@ -1,0 +1,162 @@
+"""Evaluation metrics over question sets."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quayside.functions.intent import normalise_answer
+from quayside.functions.text import let, strip
+from quayside.operators.ranking import percentiles
+
+ITEM_SCHEMA = (
+    "id string, category string, question string, expected_route string, gold_sql string, "
+    "expected_sources array<string>, must_include array<array<string>>"
+)
+
+
+def read_eval_items(spark: SparkSession, path: str) -> DataFrame:
+    """Question items, one JSON object per line."""
+    return spark.read.schema(ITEM_SCHEMA).json(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+def contains_all_groups(answer: Column, groups: Column) -> Column:
+    """Every group has an alternative that the normalised answer contains."""
+    return let(normalise_answer(answer), lambda text: F.forall(
+        groups, lambda group: F.exists(group, lambda option: F.contains(text, normalise_answer(option)))))
+
+
+def cell(name: str, kind: T.DataType) -> Column:
+    """A value as comparable text: numbers to two digits, text stripped and lower-case."""
+    value = F.col(name)
+    if isinstance(kind, T.BooleanType):
+        text = value.cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        finite = ~F.isnan(value) & (F.abs(value) != float("inf"))
+        text = F.when(finite, F.round(value, 2).cast("decimal(38,2)").cast("string")).otherwise(F.lower(value.cast("string")))
+    elif isinstance(kind, T.NumericType):
+        text = F.round(value.cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string")
+    else:
+        text = F.lower(strip(value.cast("string")))
+    return F.coalesce(text, F.lit("null"))
+
+
+def result_rows(df: DataFrame, item: str, order: str, name: str) -> DataFrame:
+    """Per item the rows of a result page in order, each an array of cells.
+
+    Result pages are capped when they are fetched, so these arrays are small."""
+    values = [f for f in df.schema.fields if f.name not in (item, order)]
+    cells = F.array(*[cell(f.name, f.dataType) for f in values])
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), cells.alias("c"))))
+    return df.groupBy(item).agg(F.transform(ordered, lambda x: x["c"]).alias(name))
+
+
+def rows_match(gold: Column, agent: Column) -> Column:
+    """The agent's rows contain the gold rows: first fit in order, each row used once."""
+
+    def step(acc: Column, wanted: Column) -> Column:
+        fits = F.transform(acc["left"], lambda cells: F.size(F.array_except(wanted, cells)) == 0)
+        return let(F.array_position(fits, True).cast("int"), lambda at: F.struct(
+            F.when(at == 0, acc["left"]).otherwise(F.concat(
+                F.slice(acc["left"], 1, F.greatest(at - 1, F.lit(0))),
+                F.slice(acc["left"], at + 1, F.size(acc["left"])))).alias("left"),
+            (acc["ok"] & (at > 0)).alias("ok")))
+
+    start = F.struct(agent.alias("left"), F.lit(True).alias("ok"))
+    contained = F.aggregate(gold, start, step, lambda acc: acc["ok"])
+    return (
+        F.when(F.size(gold) == 0, F.size(agent) == 0)
+        .when((F.size(gold) > 1) & (F.size(agent) != F.size(gold)), False)
+        .otherwise(contained)
+    )
+
+
+def result_matches(items: DataFrame, gold: DataFrame, agent: DataFrame, item: str) -> DataFrame:
+    """Per item whether the agent's result contains the gold result."""
+    none = F.array().cast("array<array<string>>")
+    return (
+        items.join(gold, item, "left").join(agent, item, "left")
+        .select(item, rows_match(F.coalesce("gold", none), F.coalesce("agent", none)).alias("matches"))
+    )
+
+
+def retrieval_scores(items: DataFrame, retrieved: DataFrame, expected: DataFrame) -> DataFrame:
+    """Per item: any expected source retrieved, and the share of retrieved ones expected."""
+    marked = expected.select("item", "source").distinct().withColumn("_expected", F.lit(1))
+    found = retrieved.join(marked, ["item", "source"], "left").groupBy("item").agg(
+        F.count("*").alias("retrieved"), F.count("_expected").alias("relevant"))
+    relevant = F.coalesce("relevant", F.lit(0))
+    return items.join(found, "item", "left").select(
+        "item", (relevant > 0).alias("hit"), F.coalesce(relevant / F.col("retrieved"), F.lit(0.0)).alias("precision"))
+
+
+def rates(df: DataFrame, *names: str) -> DataFrame:
+    """Mean and number of known values per boolean column, as rows."""
+    row = df.agg(*[x for n in names for x in (F.avg(F.col(n).cast("int")).alias(f"{n}_v"), F.count(n).alias(f"{n}_n"))])
+    entries = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"{n}_v").alias("value"), F.col(f"{n}_n").alias("n")) for n in names])
+    return row.select(F.explode(entries).alias("e")).select("e.*")
+
+
+def latency_summary(df: DataFrame, column: str) -> DataFrame:
+    """Median (interpolated) and 95th percentile (nearest rank)."""
+    return percentiles(df, column, {"p50": ("continuous", 0.5), "p95": ("nearest", 0.95)})
+
+
+METRICS = ["route_correct", "sql_correct", "retrieval_hit", "citation_correct", "answer_correct", "hybrid_success"]
+
+
+def summarise(results: DataFrame) -> DataFrame:
+    """All metrics overall and routing accuracy per category, as (metric, category, value, n) rows.
+
+    One aggregation over both grouping levels; latency percentiles come from one more."""
+    sums = [x for m in METRICS for x in (F.avg(F.col(m).cast("int")).alias(f"{m}_v"), F.count(m).alias(f"{m}_n"))]
+    grouped = results.groupingSets([[F.col("category")], []], F.col("category")).agg(
+        F.grouping_id().alias("_all"), F.count("*").alias("items"), *sums,
+        F.avg("retrieval_precision").alias("precision_v"), F.count("retrieval_precision").alias("precision_n"),
+        F.count("error").alias("errors"))
+
+    def entry(metric: str, value: Column, n: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), value.cast("double").alias("value"), n.alias("n"))
+
+    routing = entry("route_correct", F.col("route_correct_v"), F.col("route_correct_n"))
+    overall = F.array(
+        routing, *[entry(m, F.col(f"{m}_v"), F.col(f"{m}_n")) for m in METRICS[1:]],
+        entry("retrieval_precision", F.col("precision_v"), F.col("precision_n")),
+        entry("errors", F.col("errors"), F.col("items")))
+    rows = grouped.select(
+        F.when(F.col("_all") == 0, F.col("category")).otherwise("all").alias("category"),
+        F.explode(F.when(F.col("_all") == 0, F.array(routing)).otherwise(overall)).alias("e")).select("category", "e.*")
+    known = results.agg(F.count("latency_ms")).scalar()
+    latency = latency_summary(results, "latency_ms").withColumn("n", known).select(F.lit("all").alias("category"), F.explode(F.array(
+        entry("latency_p50", F.col("p50"), F.col("n")), entry("latency_p95", F.col("p95"), F.col("n")))).alias("e")).select("category", "e.*")
+    return rows.unionByName(latency)
+
+
+def citation_correct(answer: Column, cited: Column, expected: Column) -> Column:
+    """Something is cited, some of it is expected, and every marker stands in the answer.
+
+    ``cited`` is an array of (id, filename)."""
+    return (
+        (F.size(cited) > 0)
+        & F.exists(cited, lambda s: F.array_contains(expected, s["filename"]))
+        & F.forall(cited, lambda s: F.contains(answer, F.concat(F.lit("["), s["id"], F.lit("]"))))
+    )
+
+
+def hybrid_success(route_correct: Column, sql_correct: Column, retrieval_hit: Column) -> Column:
+    none = F.lit(False)
+    return F.coalesce(route_correct, none) & F.coalesce(sql_correct, none) & F.coalesce(retrieval_hit, none)
+
+
+def query_health(results: dict[str, DataFrame]) -> DataFrame:
+    """Whether each query runs and returns a row; a query is stopped after its first row."""
+    checks = [df.select(F.lit(1).alias("_x")).limit(1).agg(F.count("*").alias("n")).select(
+        F.lit(name).alias("query"), (F.col("n") > 0).alias("has_rows")) for name, df in results.items()]
+    return reduce(DataFrame.unionByName, checks)

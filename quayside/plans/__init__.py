@@ -12,6 +12,8 @@ MODULES = (
     "corpus",
     "intent",
     "retrieval",
+    "answers",
+    "evaluation",
 )
 
 
