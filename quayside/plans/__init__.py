@@ -14,6 +14,7 @@ MODULES = (
     "retrieval",
     "answers",
     "evaluation",
+    "streaming",
 )
 
 
