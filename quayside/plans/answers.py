@@ -27,7 +27,7 @@ def answers(t):
     """Every message as an answer with one of the citation forms and its valid ids."""
     key = F.col("conv_id") + F.col("turn")
     valid = F.element_at(F.array(*[lit_array(ids).cast("array<string>") for ids in VALID]), (key % len(VALID) + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", "role", F.concat_ws(" ", "text", pick(CITATIONS, key)).alias("answer"), valid.alias("valid"))
+    return t.spread("conversations").select("conv_id", "turn", "role", F.concat_ws(" ", "text", pick(CITATIONS, key)).alias("answer"), valid.alias("valid"))
 
 
 def audited(t):

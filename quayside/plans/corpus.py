@@ -11,7 +11,6 @@ from quayside.operators import chunking as ch
 from quayside.operators import corpus as c
 from quayside.plans.registry import query
 from quayside.plans.samples import DIRTY, HEADINGS, HOSTILE, MARKUP, WRAPPED
-from quayside.session import spread
 
 INLINE_RE2 = SPACE_RE2.replace(r"\t-\r", r"\t\x0b-\r")
 MARKERS_RE2 = "(?i)" + "|".join(f"(?:{p})" for p in PHRASES).replace(r"\s", f"[{SPACE_RE2}]")
@@ -127,7 +126,7 @@ def sectioned(t):
     """Documents between two heading-like lines and a wrapped passage, cleaned."""
     key, gap = F.col("doc_id"), F.lit("\n")
     text = F.concat(pick(HEADINGS, key), gap, "text", gap, pick(HEADINGS, key + 3), gap, pick(WRAPPED, key))
-    return spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", clean_text(text).alias("text"))
+    return t.spread("documents").select("doc_id", clean_text(text).alias("text"))
 
 
 def hostile(t, text="text"):
@@ -140,7 +139,7 @@ def hostile(t, text="text"):
 def t01(t):
     key = F.col("doc_id")
     dirty = F.concat(pick(DIRTY, key), "text", pick(DIRTY, key + 1))
-    clean = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", clean_text(dirty).alias("s"))
+    clean = t.spread("documents").select("doc_id", clean_text(dirty).alias("s"))
     return clean.select("doc_id", F.md5("s").alias("text_md5"), F.length("s").cast("bigint").alias("characters"))
 
 
@@ -149,7 +148,7 @@ def t01(t):
        SELECT page_id, md5(s) AS text_md5, length(s) AS characters FROM x""")
 def t02(t):
     key = F.col("page_id")
-    clean = t.pages.select("page_id", strip_markdown(F.concat(pick(MARKUP, key), "html", pick(MARKUP, key + 1))).alias("s"))
+    clean = t.spread("pages").select("page_id", strip_markdown(F.concat(pick(MARKUP, key), "html", pick(MARKUP, key + 1))).alias("s"))
     return clean.select("page_id", F.md5("s").alias("text_md5"), F.length("s").cast("bigint").alias("characters"))
 
 
@@ -219,7 +218,7 @@ def t09(t):
        y AS (SELECT doc_id, list_transform(regexp_extract_all(s, '{MARKERS_RE2}', 0)[1:5], lambda m: substr(m, 1, 80)) AS m FROM x)
        SELECT doc_id, array_to_string(m, ' | ') AS markers, len(m) > 0 AS suspicious FROM y""")
 def t10(t):
-    rows = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", hostile(t).alias("s"))
+    rows = t.spread("documents").select("doc_id", hostile(t).alias("s"))
     return rows.select("doc_id", F.array_join(injection_markers(F.col("s")), " | ").alias("markers"),
                        is_suspicious(F.col("s")).alias("suspicious"))
 
@@ -231,7 +230,7 @@ def t11(t):
     """The title travels with the document's row, so nothing is joined back."""
     key, gap = F.col("doc_id"), F.lit("\n")
     text = F.concat(pick(HEADINGS, key), gap, "text", gap, pick(HEADINGS, key + 3), gap, pick(WRAPPED, key))
-    rows = spread(t.documents.select("doc_id", "text", "source"), "doc_id").select("doc_id", "source", clean_text(text).alias("text"))
+    rows = t.spread("documents").select("doc_id", "source", clean_text(text).alias("text"))
     chunks = c.build_chunks(rows, "doc_id", ch.single_page(F.col("text")), title=F.col("source"), size=SIZE, overlap=OVERLAP)
     return chunks.select("doc_id", "chunk_index", F.md5("embedding_text").alias("text_md5"))
 
@@ -249,7 +248,7 @@ def hash_sql(source: str, key: str) -> str:
 
 @query("t12_hash_features", f"WITH {hash_sql('documents', 'doc_id')} SELECT doc_id, bucket, weight FROM features")
 def t12(t):
-    return c.hash_features(spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", F.col("text"))
+    return c.hash_features(t.spread("documents"), "doc_id", F.col("text"))
 
 
 ROLLUP_SQL = f"""WITH {chunks_sql(f'''SELECT doc_id, {clean_sql(f"text || chr(10) || {pick_sql(HOSTILE, 'doc_id')}")} AS text FROM documents
@@ -265,7 +264,7 @@ ROLLUP_SQL = f"""WITH {chunks_sql(f'''SELECT doc_id, {clean_sql(f"text || chr(10
     CASE WHEN chunk_count IS NOT NULL THEN '2001-07-15' END AS indexed_at FROM src LEFT JOIN n USING (doc_id)""")
 def t13(t):
     """Every document, and a blank attachment of each, which must fail."""
-    body = spread(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", hostile(t).alias("text"))
+    body = t.spread("documents").select("doc_id", hostile(t).alias("text"))
     blank = t.documents.select((-1 - F.col("doc_id")).alias("doc_id"), F.lit(" \n\t ").alias("text"))
     rows = body.unionByName(blank).select("doc_id", clean_text(F.col("text")).alias("text"))
     return c.document_rollup(rows, "doc_id", ch.single_page(F.col("text")), F.lit(1), F.lit("2001-07-15"), size=SIZE, overlap=OVERLAP)

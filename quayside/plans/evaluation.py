@@ -28,7 +28,7 @@ def _groups_sql() -> str:
 def e01(t):
     key = F.col("conv_id") + F.col("turn")
     groups = F.element_at(F.array(*[F.array(*[lit_array(g) for g in gs]) for gs in GROUPS]), (key % len(GROUPS) + 1).cast("int"))
-    return t.conversations.select("conv_id", "turn", e.contains_all_groups(
+    return t.spread("conversations").select("conv_id", "turn", e.contains_all_groups(
         F.concat_ws(" ", "text", pick(FACTS, F.col("conv_id"))), groups).alias("answer_correct"))
 
 

@@ -20,7 +20,7 @@ BN = r"[\x{980}-\x{9ff}]"
 
 def messages(t):
     """Every message twice: the sample question alone, and with the logged text before it."""
-    base = t.conversations.withColumn("question", pick(QUESTIONS, F.col("conv_id") * 5 + F.col("turn")))
+    base = t.spread("conversations").withColumn("question", pick(QUESTIONS, F.col("conv_id") * 5 + F.col("turn")))
     alone = base.select("conv_id", "turn", "role", F.lit("question").alias("form"), F.col("question").alias("text"))
     return alone.unionByName(base.select(
         "conv_id", "turn", "role", F.lit("whole").alias("form"), F.concat_ws(" ", "text", "question").alias("text")))
@@ -123,7 +123,7 @@ ROUTES = ["SQL", "RAG", "HYBRID", "GENERAL"]
 def l06(t):
     """Decisions derived from the events: model route and confidence, document match, inventory."""
     e = F.col("event_id")
-    logged = t.events.select(
+    logged = t.spread("events").select(
         "event_id", pick(ROUTES, e).alias("model_route"), (F.floor(e / 4) % 101 / 100).alias("model_confidence"),
         ((F.col("user_id") * 7 + e) % 100 / 100).alias("relevance"), (F.floor(e / 404) % 3).alias("documents"),
         (F.col("event_type") == "view").alias("asks_clarification"), pick(QUESTIONS, F.floor(e / 7)).alias("text"))
@@ -151,7 +151,7 @@ DIGITS = ["মোট ১২৩৪৫৬৭৮৯০  টাকা", "TOTAL is\t4
        SELECT conv_id, turn, md5(s) AS text_md5, right(s, 20) AS tail FROM x""")
 def l08(t):
     raw = F.concat("text", F.lit("\n"), pick(DIGITS, F.col("turn")))
-    return t.conversations.select("conv_id", "turn", i.normalise_answer(raw).alias("s")).select(
+    return t.spread("conversations").select("conv_id", "turn", i.normalise_answer(raw).alias("s")).select(
         "conv_id", "turn", F.md5("s").alias("text_md5"), F.expr("right(s, 20)").alias("tail"))
 
 

@@ -26,7 +26,7 @@ def corpus_files(t):
         .otherwise(raw)
     )
     ext = F.element_at(F.array(*map(F.lit, ["md", "markdown", "TXT", "csv", "exe"])), (kind + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(F.lit("/in/doc_"), "doc_id", F.lit("."), ext).alias("path"), content.alias("content"))
+    return t.spread("documents").select("doc_id", F.concat(F.lit("/in/doc_"), "doc_id", F.lit("."), ext).alias("path"), content.alias("content"))
 
 
 @query("s01_read_corpus",
@@ -65,7 +65,7 @@ def s03(t):
         .otherwise(raw)
     )
     ext = F.element_at(F.array(*map(F.lit, VARIANTS)), (kind + 1).cast("int"))
-    made = t.documents.select("doc_id", F.concat(F.lit("doc."), ext).alias("path"), content.alias("content"))
+    made = t.spread("documents").select("doc_id", F.concat(F.lit("doc."), ext).alias("path"), content.alias("content"))
     return files.validate_files(made, max_bytes=3000).select("doc_id", "error")
 
 

@@ -17,7 +17,6 @@ from quayside.plans.corpus import MARKERS_RE2
 from quayside.plans.intent import hits_sql
 from quayside.plans.registry import query
 from quayside.plans.samples import HOSTILE, QUESTIONS
-from quayside.session import spread
 
 K = 5
 
@@ -39,7 +38,7 @@ def documents(t):
 
 
 def texts(t):
-    return spread(t.documents.select("doc_id", "text", "lang"), "doc_id").select(
+    return t.spread("documents").select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("section"))
 
 
@@ -106,7 +105,7 @@ def r01(t):
        SELECT term, count(DISTINCT doc_id) AS chunks, count(*) AS positions, CAST(sum(pos) AS BIGINT) AS position_sum FROM p GROUP BY term""")
 def r02(t):
     """The index, summed up per term: chunks, positions, and the sum of the positions."""
-    postings = r.build_postings(spread(t.documents.select("doc_id", "lang", "text"), "doc_id"), "doc_id", F.concat_ws(" ", "lang", "text"))
+    postings = r.build_postings(t.spread("documents"), "doc_id", F.concat_ws(" ", "lang", "text"))
     per_chunk = postings.groupBy("term", "chunk_id").agg(F.count("*").alias("n"), F.sum("pos").alias("s"))
     return per_chunk.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("n").alias("positions"), F.sum("s").alias("position_sum"))
 
@@ -219,7 +218,7 @@ def r14(t):
        CASE WHEN page IS NOT NULL THEN source || ', Page ' || page WHEN section <> '' THEN source || ', ' || section ELSE source END AS label FROM s""")
 def r15(t):
     key = F.col("doc_id")
-    return t.documents.select(
+    return t.spread("documents").select(
         "doc_id", r.snippet(F.col("text")).alias("snippet"),
         r.source_label(F.col("source"), F.when(key % 2 == 1, key % 9 + 1), F.when(key % 3 != 0, F.col("lang"))).alias("label"))
 

@@ -110,5 +110,5 @@ def c10(t):
        x AS (SELECT doc_id, {redact_sql('s')} AS clean FROM s) SELECT doc_id, md5(clean) AS clean_md5, length(clean) AS characters, substr(clean, -60) AS tail FROM x""")
 def c11(t):
     line = F.concat("text", F.lit("\n"), pick(SECRETS, F.col("doc_id")))
-    clean = t.documents.select("doc_id", redact_secrets(line).alias("clean"))
+    clean = t.spread("documents").select("doc_id", redact_secrets(line).alias("clean"))
     return clean.select("doc_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("bigint").alias("characters"), F.expr("right(clean, 60)").alias("tail"))

@@ -9,6 +9,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quayside.session import spread
+
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -42,6 +44,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for CPU-heavy work: few small files are spread over the cores by key."""
+        table = getattr(self, name)
+        return spread(table, table.columns[0])
+
     @cached_property
     def commerce(self):
         from quayside.sources.commerce import Commerce

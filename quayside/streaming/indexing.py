@@ -15,6 +15,7 @@ from quayside.functions.injection import injection_markers
 from quayside.operators.chunking import CHUNK_SIZE, OVERLAP, chunk_array, single_page, token_estimate
 from quayside.operators.corpus import NO_READABLE_TEXT
 from quayside.operators.quality import checksum
+from quayside.session import spread
 
 DOCUMENTS = "document_id bigint, checksum string, status string, error string, chunk_count int, batch bigint"
 CHUNKS = (
@@ -37,15 +38,19 @@ class DocumentIndex:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Index (document_id, text, reindex) rows; usable as a foreachBatch sink."""
         stored = self._stored("documents", DOCUMENTS).filter(F.col("batch") != batch_id)
-        files = batch.select("document_id", "text", "reindex", checksum(F.col("text")).alias("checksum"))
+        files = spread(batch, "document_id").select("document_id", "text", "reindex", checksum(F.col("text")).alias("checksum"))
         # The batch is the small side: the stored checksums are only scanned.
         known = stored.filter("status <> 'refused'").select("checksum", F.col("document_id").alias("owner"))
         known = known.join(files.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("owner").alias("owner"))
         first = files.groupBy("checksum").agg(F.min("document_id").alias("first"))
         owners = first.join(known, "checksum", "left").select("checksum", F.coalesce("owner", "first").alias("owner"),
                                                               F.col("owner").isNotNull().alias("stored"))
-        judged = files.join(owners, "checksum").withColumn(
-            "refused", ~F.col("reindex") & ((F.col("owner") != F.col("document_id")) | F.col("stored")))
+        verdicts = files.drop("text").join(owners, "checksum").select(
+            "document_id", "checksum",
+            (~F.col("reindex") & ((F.col("owner") != F.col("document_id")) | F.col("stored"))).alias("refused")).distinct()
+        # Only ids and checksums were shuffled so far. An outer join can only build its right
+        # side, so the texts stay spread over their partitions and meet the verdicts there.
+        judged = files.join(verdicts, ["document_id", "checksum"], "left")
         chunks = F.when(~F.col("refused"), chunk_array(single_page(clean_text(F.col("text"))), self._size, self._overlap))
         work = judged.select("document_id", "checksum", "refused", chunks.alias("chunks"))
         # Both outputs are written from one table, so the folds run once.
