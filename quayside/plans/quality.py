@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quayside.functions.text import sql_list
+from quayside.operators import evaluation
 from quayside.operators import quality as q
 from quayside.plans.registry import query
-from quayside.sources import files
+from quayside.sources import files, snapshots
 from quayside.sources.commerce import ORDER_STATUS, RETURN_REASONS, with_views as v
 from quayside.sources.tables import SCHEMAS
+from quayside.streaming.run import new_folder
 
 
 def corpus_files(t):
@@ -125,6 +127,33 @@ def s08b(t):
     return q.json_safe(t.events.select("event_id", "ts"))
 
 
+@query("s09_eval_items_and_report",
+       """SELECT CASE WHEN turn % 2 = 0 THEN 'sql' ELSE 'rag' END AS category, count(*) AS items, count(*) FILTER (WHERE turn % 2 = 0) AS with_gold,
+       CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(turn % 3) AS BIGINT) AS sources FROM conversations WHERE role = 'user' GROUP BY 1""")
+def s09(t):
+    """User messages written as an item file, read back with the item schema, and reported on."""
+    folder, even = new_folder(t.spark, "items"), F.col("turn") % 2 == 0
+    items = t.conversations.filter("role = 'user'").select(
+        F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(even, "sql").otherwise("rag").alias("category"), F.col("text").alias("question"),
+        F.when(even, "SELECT 1").alias("gold_sql"), F.slice(F.array(F.lit("a.md"), F.lit("b.md")), 1, (F.col("turn") % 3).cast("int")).alias("expected_sources"))
+    items.write.json(f"{folder}/items")
+    report = evaluation.read_eval_items(t.spark, f"{folder}/items").groupBy("category").agg(
+        F.count("*").alias("items"), F.count("gold_sql").alias("with_gold"), F.sum(F.length("question")).alias("characters"),
+        F.sum(F.size("expected_sources")).alias("sources"))
+    evaluation.write_report(report, f"{folder}/report")
+    return t.spark.read.schema(report.schema).json(f"{folder}/report")
+
+
+@query("s10_snapshot",
+       """SELECT o_orderstatus AS status, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""")
+def s10(t):
+    """A snapshot partitioned by status; the filter on it skips whole folders."""
+    folder = new_folder(t.spark, "snapshot")
+    snapshots.write_snapshot(t.orders.withColumnRenamed("o_orderstatus", "status"), folder, ["status"])
+    return t.spark.read.parquet(folder).filter("status <> 'P'").groupBy("status").agg(
+        F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("total"))
+
+
 def constraints(t):
     c, ref = t.commerce, q.References
     return [
