@@ -37,12 +37,11 @@ def bucket_of_token(token: Column, dim: int = DIMENSIONS) -> Column:
 def hash_features(df: DataFrame, key: str, text: Column, dim: int = DIMENSIONS) -> DataFrame:
     """Sparse bag-of-words vectors: (key, bucket, weight); the last bucket is never zero.
 
-    Equal tokens of one text are counted before the shuffle, so a row per distinct
-    bucket and text is all that moves."""
+    Tokens become buckets in their row and are summed before the one shuffle, so a row
+    per distinct bucket and text is all that moves."""
     tokens = df.select(key, F.explode(feature_tokens(text)).alias("token"))
-    counted = tokens.groupBy(key, "token").agg(F.count("*").alias("n"))
+    hits = tokens.select(key, bucket_of_token(F.col("token"), dim).alias("bucket"), F.lit(1.0).alias("weight"))
     last = df.select(key, F.lit(dim - 1).alias("bucket"), F.lit(LAST_BUCKET_WEIGHT).alias("weight"))
-    hits = counted.select(key, bucket_of_token(F.col("token"), dim).alias("bucket"), F.col("n").cast("double").alias("weight"))
     return hits.unionByName(last).groupBy(key, "bucket").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 

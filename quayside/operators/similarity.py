@@ -8,7 +8,7 @@ worked off block by block, each block's result going to a table in shared storag
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,31 +90,37 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CANDIDATES, *,
-                  query: str = "query", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Exact: the k most similar vectors per query as (query, key, similarity, rank)."""
+def _in_blocks(queries: DataFrame, query: str, embedding: str, block: int,
+               search: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """Search with the whole query matrix if it is small, else block by block into a table."""
+    spark = queries.sparkSession
     wanted = queries.select(F.col(query).cast("bigint").alias("query"), F.col(embedding).alias("e")).filter("e is not null")
-    spark = vectors.sparkSession
     first = wanted.limit(block + 1).collect()
     if len(first) <= block:
-        return _top(_scan(vectors, key, embedding, *_matrix(first), k), key, k)
+        return search(*_matrix(first))
     blocks = -(-wanted.count() // (block // 2))
-    target = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
     numbered = wanted.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    target = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
     for number in range(blocks):
         rows = numbered.filter(F.col("_b") == number).drop("_b").collect()
         if rows:
-            found = _top(_scan(vectors, key, embedding, *_matrix(rows), k), key, k)
-            found.write.mode("overwrite").parquet(f"{target}/block={number}")
+            search(*_matrix(rows)).write.mode("overwrite").parquet(f"{target}/block={number}")
     return spark.read.parquet(target).drop("block")
 
 
+def vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CANDIDATES, *,
+                  query: str = "query", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Exact: the k most similar vectors per query as (query, key, similarity, rank)."""
+    return _in_blocks(queries, query, embedding, block, lambda ids, matrix: _top(
+        _scan(vectors, key, embedding, ids, matrix, k), key, k))
+
+
 def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CANDIDATES, *, cells: int = 16,
-                         probes: int = 4, query: str = "query", embedding: str = "embedding", seed: int = 7) -> DataFrame:
+                         probes: int = 4, query: str = "query", embedding: str = "embedding", seed: int = 7,
+                         block: int = BLOCK) -> DataFrame:
     """Approximate: vectors are clustered into cells, a query looks into its nearest cells.
 
-    A query table beyond one block is cut by the exact search's rule; with ``probes`` equal
-    to ``cells`` the result is exact."""
+    With ``probes`` equal to ``cells`` the result is exact."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
@@ -125,10 +131,9 @@ def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: in
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_u", predictionCol="cell").fit(points)
     placed = model.transform(points).drop("_u")
     centres = _unit(np.array(model.clusterCenters()))
-    wanted = queries.select(F.col(query).cast("bigint").alias("query"), F.col(embedding).alias("e")).filter("e is not null")
-    rows = wanted.limit(BLOCK + 1).collect()
-    if len(rows) > BLOCK:
-        raise ValueError(f"more than {BLOCK} queries: split the query table")
-    ids, matrix = _matrix(rows)
-    probed = np.argsort(-(_unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes]
-    return _top(_scan(placed, key, embedding, ids, matrix, k, ("cell", probed)), key, k)
+
+    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        probed = np.argsort(-(_unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes]
+        return _top(_scan(placed, key, embedding, ids, matrix, k, ("cell", probed)), key, k)
+
+    return _in_blocks(queries, query, embedding, block, search)

@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quayside.operators.carry import last_before
 
 MICROS = 1_000_000
+BLOCK_SECONDS = 60  # hits of one key and minute are sorted in one task
 
 
 def micros(column: str):
@@ -52,10 +53,11 @@ def _stretches(hits: DataFrame, window: int) -> DataFrame:
     """Number the stretches of each key that no pause of a whole window interrupts.
 
     Pauses are found block-wise, so that a key with very many hits is no single task."""
-    marked = last_before(hits, ["key"], "at", F.col("at"), "_previous", block=window * 64)
+    block = min(window, BLOCK_SECONDS * MICROS)
+    marked = last_before(hits, ["key"], "at", F.col("at"), "_previous", block=block)
     starts = marked.withColumn("_start", F.when(
         F.col("_previous").isNull() | (F.col("at") - F.col("_previous") >= window), F.col("at")))
-    opened = last_before(starts, ["key"], "at", F.col("_start"), "_opened", block=window * 64)
+    opened = last_before(starts, ["key"], "at", F.col("_start"), "_opened", block=block)
     return opened.withColumn("stretch", F.coalesce("_start", "_opened")).drop("_previous", "_start", "_opened")
 
 

@@ -7,7 +7,8 @@ newer version; readers take the newest version of each document."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quayside.functions.cleaning import clean_text
@@ -30,10 +31,10 @@ class DocumentIndex:
 
     def _stored(self, name: str, schema: str) -> DataFrame:
         """Rows of all finished batches; empty before the first."""
-        path = f"{self._folder}/{name}"
-        root = self._spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = root.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).exists(root)
-        return self._spark.read.schema(schema).parquet(path) if there else self._spark.createDataFrame([], schema)
+        try:
+            return self._spark.read.schema(schema).parquet(f"{self._folder}/{name}")
+        except AnalysisException:  # the folder does not exist yet
+            return self._spark.createDataFrame([], schema)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """Index (document_id, text, reindex) rows; usable as a foreachBatch sink."""

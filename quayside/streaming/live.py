@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quayside.streaming.run import new_folder, run_available, write_batches
@@ -11,7 +11,7 @@ from quayside.streaming.run import new_folder, run_available, write_batches
 def live_run_stats(runs: DataFrame, ts: str, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Runs, failures and total latency per window, route and status; later rows are dropped."""
     windowed = runs.withWatermark(ts, late).groupBy(F.window(ts, every).alias("w"), "route", "status")
-    return windowed.agg(F.count("*").alias("runs"), F.sum("total_ms").alias("total_ms"), ).select(
+    return windowed.agg(F.count("*").alias("runs"), F.sum("total_ms").alias("total_ms")).select(
         F.col("w.start").alias("window_start"), "route", "status", "runs", "total_ms")
 
 
