@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quayside.functions.text import SPACE
+from quayside.functions.text import SPACE, let
 
 MAX_MARKERS, MARKER_CHARS = 5, 80
 
@@ -26,11 +28,17 @@ PHRASES = [
 PATTERN = "(?iU)" + "|".join(f"(?:{p})" for p in PHRASES).replace(r"\s", f"[{SPACE}]")
 
 
-def injection_markers(text: Column) -> Column:
-    """The first phrases found, each shortened."""
-    found = F.slice(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), 1, MAX_MARKERS)
-    return F.transform(found, lambda m: F.substring(m, 1, MARKER_CHARS))
+# One by one on lower-case text: no letter case to fold, and no alternatives to try at
+# every character, which is about twice as fast on texts without any such phrase.
+QUICK = ["(?U)" + p.lower().replace(r"\s", f"[{SPACE}]") for p in PHRASES]
 
 
 def is_suspicious(text: Column) -> Column:
-    return text.rlike(PATTERN)
+    return let(F.lower(text), lambda lower: reduce(Column.__or__, [F.rlike(lower, F.lit(p)) for p in QUICK]))
+
+
+def injection_markers(text: Column) -> Column:
+    """The first phrases found, each shortened; the quick test spares clean texts the search."""
+    found = F.slice(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), 1, MAX_MARKERS)
+    shortened = F.transform(found, lambda m: F.substring(m, 1, MARKER_CHARS))
+    return F.when(is_suspicious(text), shortened).otherwise(F.array().cast("array<string>"))

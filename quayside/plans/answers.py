@@ -110,9 +110,9 @@ def a04a(t):
        || 'What it computes: Largest orders.' || chr(10) || 'SQL: SELECT ...' || chr(10) || 'o_orderkey | o_orderpriority' || chr(10)
        || array_to_string(list(line ORDER BY o_totalprice DESC, o_orderkey)[1:50], chr(10)) || chr(10) || '</database_result>' AS evidence FROM l""")
 def a04b(t):
-    largest = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(201)
     # The price orders the page but is not shown.
-    return a.database_evidence(largest, [F.desc("o_totalprice"), F.col("o_orderkey")], "DB1", "Largest orders.", "SELECT ...",
+    priced = t.orders.select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return a.database_evidence(priced, [F.desc("o_totalprice"), F.col("o_orderkey")], "DB1", "Largest orders.", "SELECT ...",
                                shown=["o_orderkey", "o_orderpriority"])
 
 
