@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quayside.functions.text import SPACE, let
+from quayside.functions.text import SPACE
 
 MAX_MARKERS, MARKER_CHARS = 5, 80
 
@@ -34,7 +34,8 @@ QUICK = ["(?U)" + p.lower().replace(r"\s", f"[{SPACE}]") for p in PHRASES]
 
 
 def is_suspicious(text: Column) -> Column:
-    return let(F.lower(text), lambda lower: reduce(Column.__or__, [F.rlike(lower, F.lit(p)) for p in QUICK]))
+    lower = F.lower(text)
+    return reduce(Column.__or__, [lower.rlike(p) for p in QUICK])
 
 
 def injection_markers(text: Column) -> Column:
