@@ -10,7 +10,7 @@ from quayside.operators import quality as q
 from quayside.plans.registry import query
 from quayside.sources import files, snapshots
 from quayside.sources.commerce import ORDER_STATUS, RETURN_REASONS, with_views as v
-from quayside.sources.tables import SCHEMAS
+from quayside.sources.tables import ROW_KEYS, SCHEMAS
 from quayside.streaming.run import new_folder
 
 
@@ -225,12 +225,6 @@ def s12(t):
     return lines.unionByName(totals).unionByName(identity)
 
 
-KEYS = {"region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",),
-        "part": ("p_partkey",), "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",),
-        "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",),
-        "conversations": ("conv_id", "turn")}
-
-
 def _profile_sql() -> str:
     parts = []
     for table, schema in SCHEMAS.items():
@@ -238,11 +232,11 @@ def _profile_sql() -> str:
         for i, (name, kind) in enumerate(columns):
             parts.append(
                 f"SELECT '{table}' AS \"table\", count(*) AS row_count, {len(columns)} AS column_count, {i + 1} AS position, '{name}' AS \"column\", "
-                f"'{kind.strip()}' AS type, {name in KEYS.get(table, ())} AS is_key, CAST(NULL AS VARCHAR) AS description, "
+                f"'{kind.strip()}' AS type, {name in ROW_KEYS.get(table, ())} AS is_key, CAST(NULL AS VARCHAR) AS description, "
                 f"count(*) FILTER (WHERE {name} IS NULL) AS null_count FROM {table}")
     return " UNION ALL ".join(parts)
 
 
 @query("s13_table_profiles", _profile_sql())
 def s13(t):
-    return q.profile_tables({name: getattr(t, name) for name in SCHEMAS}, KEYS)
+    return q.profile_tables({name: getattr(t, name) for name in SCHEMAS}, ROW_KEYS)

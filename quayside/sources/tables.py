@@ -31,6 +31,14 @@ SCHEMAS = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
+# Columns that tell the rows of a table apart (line items have none).
+ROW_KEYS = {
+    "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",),
+    "part": ("p_partkey",), "orders": ("o_orderkey",), "events": ("event_id",), "documents": ("doc_id",),
+    "embeddings": ("vec_id",), "pages": ("page_id",), "benchmark": ("item_id",), "labels": ("doc_id",),
+    "conversations": ("conv_id", "turn"),
+}
+
 
 class Tables:
     """Lazy access to the tables under one folder: ``Tables(spark, dir).orders``."""
@@ -45,9 +53,9 @@ class Tables:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for CPU-heavy work: few small files are spread over the cores by key."""
-        table = getattr(self, name)
-        return spread(table, table.columns[0])
+        """A table for CPU-heavy work: few small files are spread over the cores by row key,
+        so that a hot conversation does not become a hot partition."""
+        return spread(getattr(self, name), *ROW_KEYS[name])
 
     @cached_property
     def commerce(self):
