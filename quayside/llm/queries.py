@@ -43,3 +43,10 @@ def byte_level_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op3_url_filters")
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import urls
+
+    return urls.judge(table(spark, folder, "pages"), urls.local_table(spark, urls.labelled_urls()))
