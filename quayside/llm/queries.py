@@ -50,3 +50,24 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     from quayside.llm import urls
 
     return urls.judge(table(spark, folder, "pages"), urls.local_table(spark, urls.labelled_urls()))
+
+
+@query("op2_toxicity")
+def toxicity_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import toxicity
+
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op5_quality_classifier")
+def quality_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quayside.llm import quality
+    from quayside.llm.common import fold
+
+    docs = table(spark, folder, "documents")
+    model = quality.train(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("score"), F.col("predicted"))
