@@ -55,9 +55,10 @@ def url_filters(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_toxicity")
 def toxicity_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     from quayside.llm import toxicity
+    from quayside.llm.common import Store
 
     docs = table(spark, folder, "documents")
-    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels"), Store(spark, "toxicity")))
 
 
 @query("op5_quality_classifier")

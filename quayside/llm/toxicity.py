@@ -5,7 +5,8 @@ The model shares one weight vector across ordered thresholds: P(grade >= k) is t
 of the lower-cased words occurs. They are chosen by a count over the training texts, as Spark rows.
 
 ``labels.toxic`` has two classes, so the severity grades are made from the training documents: 0 is not
-toxic, and toxic ones get 1 to 3 by terciles of their telling windows per word. Expected severity is the sum of
+toxic, and toxic ones get 1 to 3 by
+terciles of how much their telling windows sum up to. Expected severity is the sum of
 P(grade >= k); a document is toxic where P(grade >= 1) is at least one half.
 
 Model and windows come from a sample of at most ``PER_CLASS`` labelled documents of each class. Every
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quayside.llm.common import Store
 from quayside.llm.quality import sample_labels
 
 PER_CLASS = 3000
@@ -95,7 +97,6 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, f
     value = np.log1p(np.concatenate([n for _, n in rows])) if rows else np.zeros(0)
     share = np.where(grades > 0, 0.5 / max(1, (grades > 0).sum()), 0.5 / max(1, (grades == 0).sum()))
     top = int(grades.max())
-    reached = grades[:, None] >= np.arange(1, top + 1)
     # thresholds = first, then first plus positive gaps: they stay in order
     w, base, gaps = np.full(features, 0.1), 1.0, np.zeros(top - 1)
     moments = [[np.zeros_like(np.atleast_1d(x), float)] * 2 for x in (w, base, gaps)]
@@ -123,7 +124,6 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, f
             step = 0.05 * (moments[k][0] / (1 - 0.9**t)) / (np.sqrt(moments[k][1] / (1 - 0.99**t)) + 1e-8)
             new.append(x - step)
         w, base, gaps = np.maximum(new[0], 0), float(new[1][0]), new[2]
-    assert reached.shape[1] == top
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
@@ -151,11 +151,15 @@ def telling_windows(texts: DataFrame, features: int, least: int) -> list[int]:
     return [r["held"] for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, features: int = FEATURES, least: int = LEAST_DOCUMENTS) -> Model:
-    """Fit to ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1. Without toxic labels, or
-    windows that tell them, the model finds nothing toxic. An id with several texts counts once a text."""
-    chosen = sample_labels(labels, "toxic", per_class, F.lit(True))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int"), "text")
+def train(docs: DataFrame, labels: DataFrame, store: Store, where: F.Column | None = None, per_class: int = PER_CLASS, features: int = FEATURES, least: int = LEAST_DOCUMENTS) -> Model:
+    """Fit to ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1, where ``where`` holds.
+
+    Equal texts count once, so a group of copies doesn't pass for evidence. Without toxic labels, or
+    windows that tell them, the model finds nothing toxic."""
+    chosen = sample_labels(labels, "toxic", per_class, F.lit(True) if where is None else where)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy(F.sha2("text", 256).alias("_key")).agg(F.min("label").cast("int").alias("label"), F.min("text").alias("text")).select("label", "text")
+    texts = store.keep(texts, "sample")
     found = np.sort(np.array(telling_windows(texts, features, least), np.int64).view(np.uint64))
     empty = Model(found, np.zeros(len(found)), np.arange(1.0, GRADES + 1))
     if not len(found):
@@ -163,21 +167,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, featur
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(*empty.counts(x), max(1, len((x or "").split()))) for x in batch.column(1).to_pylist()]
+            rows = [empty.counts(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array([r[k].astype("<i4").tobytes() for r in rows], pa.binary()) for k in (0, 1)], pa.array([r[2] for r in rows], pa.int64())],
-                ["label", "index", "n", "words"],
+                [batch.column(0), *[pa.array([r[k].astype("<i4").tobytes() for r in rows], pa.binary()) for k in (0, 1)]], ["label", "index", "n"]
             )
 
     # At most two small arrays for each of 2 * per_class documents.
-    rows = texts.mapInArrow(run, "label int, index binary, n binary, words long").distinct().orderBy("label", "index", "n", "words").collect()
+    rows = texts.mapInArrow(run, "label int, index binary, n binary").orderBy("label", "index", "n").collect()
     counts = [(np.frombuffer(r["index"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows]
     toxic = np.array([r["label"] == 1 for r in rows], bool)
-    rate = np.array([n.sum() / r["words"] for (_, n), r in zip(counts, rows, strict=True)])
+    amount = np.array([np.log1p(n).sum() for _, n in counts])
     if not toxic.any() or toxic.all():
         return empty
-    cuts = np.quantile(rate[toxic], [k / GRADES for k in range(1, GRADES)])
-    grades = np.where(toxic, 1 + np.searchsorted(cuts, rate, side="right"), 0)
+    cuts = np.quantile(amount[toxic], [k / GRADES for k in range(1, GRADES)])
+    grades = np.where(toxic, 1 + np.searchsorted(cuts, amount, side="right"), 0)
     return Model(found, *fit_ordinal(counts, grades, len(found)))
 
 
