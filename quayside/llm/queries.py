@@ -72,3 +72,14 @@ def quality_of_documents(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.train(docs, table(spark, folder, "labels"), fold("doc_id", 3) != 1)
     scored = quality.score_documents(docs, model)
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("score"), F.col("predicted"))
+
+
+@query("op8_lm_scoring")
+def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from quayside.llm import lm
+    from quayside.llm.common import Store, fold
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return lm.score_documents(table(spark, folder, "documents"), fold("doc_id", 5) == 1, path, Store(spark, "lm"))
