@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,8 +64,6 @@ def toxicity_of_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_quality_classifier")
 def quality_of_documents(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     from quayside.llm import quality
     from quayside.llm.common import fold
 
@@ -83,3 +82,33 @@ def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     return lm.score_documents(table(spark, folder, "documents"), fold("doc_id", 5) == 1, path, Store(spark, "lm"))
+
+
+@query("op1_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import ann
+    from quayside.llm.common import Store
+
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, Store(spark, "ann"))
+
+
+@query("op7_embedding_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+degree AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT c.vec_id, coalesce(d.n_links, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM component c LEFT JOIN degree d USING (vec_id)
+""")
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import embed_dedup
+    from quayside.llm.common import Store
+
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"), Store(spark, "vectors"))
