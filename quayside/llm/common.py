@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +18,14 @@ class Store:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.kept = 0
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table and read it back: later steps don't depend on the executors that made it."""
-        df.write.parquet(f"{self.base}/{name}", compression="zstd")
-        return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
+        self.kept += 1
+        path = f"{self.base}/{self.kept}-{name}"
+        df.write.parquet(path, compression="zstd")
+        return self.spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -130,7 +132,3 @@ def components(edges: DataFrame, store: Store, rounds: int = 40) -> DataFrame:
     return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
-
-
-def lengths(offsets: np.ndarray) -> np.ndarray:
-    return offsets[1:] - offsets[:-1]

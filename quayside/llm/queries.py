@@ -94,9 +94,9 @@ def nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_embedding_near_dedup", """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e) * list_inner_product(b.e, b.e)) >= 0.93
@@ -112,3 +112,25 @@ def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from quayside.llm.common import Store
 
     return embed_dedup.near_duplicates(table(spark, folder, "embeddings"), Store(spark, "vectors"))
+
+
+@query("op6_ngram_jaccard_join", r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS grams FROM w
+), s AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM g),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+  FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM common WHERE 100 * k >= 90 * (na + nb - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT g.doc_id, any_value(len(g.grams))::BIGINT AS n_shingles, min(r.b) AS component_id FROM g JOIN reach r ON g.doc_id = r.a GROUP BY g.doc_id
+""")
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import ngram_join
+    from quayside.llm.common import Store
+
+    return ngram_join.jaccard_components(table(spark, folder, "documents"), Store(spark, "join"))
