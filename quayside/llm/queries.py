@@ -134,3 +134,11 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     from quayside.llm.common import Store
 
     return ngram_join.jaccard_components(table(spark, folder, "documents"), Store(spark, "join"))
+
+
+@query("op4_substring_dedup")
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import substring
+    from quayside.llm.common import Store
+
+    return substring.repeats(table(spark, folder, "documents"), Store(spark, "substring"))
