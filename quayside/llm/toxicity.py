@@ -29,7 +29,7 @@ from quayside.llm.quality import sample_labels
 PER_CLASS = 3000
 WIDTHS = (5, 6, 7)
 FEATURES = 4096
-LEAST_DOCUMENTS = 4
+EVIDENCE, LEAST_RATIO = 12, 3
 GRADES = 3
 CHUNK = 1 << 20
 #: Bytes that end a word: ASCII but letters and digits. They become blanks, so windows see word ends.
@@ -127,9 +127,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, f
     return w, base + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def telling_windows(texts: DataFrame, features: int, least: int) -> list[int]:
+def telling_windows(texts: DataFrame, features: int) -> list[int]:
     """The windows that mark toxic texts best, from ``texts(label, text)``: by documents of each class that
-    hold them (a count over all rows), ordered by the log ratio times the toxic documents."""
+    hold them (a count over all rows). So many windows are tried that chance alone would give some; only those
+    whose counts chance explains too badly (``EVIDENCE``) are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,18 +141,22 @@ def telling_windows(texts: DataFrame, features: int, least: int) -> list[int]:
                     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), label, np.int32))], ["held", "label"])
 
     total = {r["label"]: r["count"] for r in texts.groupBy("label").count().collect()}
-    toxic, clean = F.sum("label"), F.count("*") - F.sum("label")
-    ratio = F.log((F.col("toxic") + 0.5) / (total.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (total.get(0, 0) + 1))
+    share = (total.get(1, 0) + 0.5) / (total.get(0, 0) + total.get(1, 0) + 1)
+    toxic, clean = F.col("toxic"), F.col("clean")
+    held = toxic + clean
+    # How much likelier these counts are than at the share of toxic texts, as a log ratio.
+    gain = toxic * F.log(toxic / (held * share)) + F.when(clean > 0, clean * F.log(clean / (held * (1 - share)))).otherwise(0.0)
+    ratio = F.log((toxic + 0.5) / (total.get(1, 0) + 1)) - F.log((clean + 0.5) / (total.get(0, 0) + 1))
     rows = (
         texts.select("label", "text").mapInArrow(run, "held long, label int")
-        .groupBy("held").agg(toxic.alias("toxic"), clean.alias("clean"))
-        .where(F.col("toxic") >= least).withColumn("_ratio", ratio).where("_ratio > 3")
-        .orderBy(F.desc(F.col("_ratio") * F.col("toxic")), "held").limit(features).select("held").collect()
+        .groupBy("held").agg(F.sum("label").alias("toxic"), (F.count("*") - F.sum("label")).alias("clean"))
+        .where((toxic > 0) & (ratio > LEAST_RATIO)).withColumn("_gain", gain).where(F.col("_gain") > EVIDENCE)
+        .orderBy(F.desc("_gain"), "held").limit(features).select("held").collect()
     )
     return [r["held"] for r in rows]
 
 
-def train(docs: DataFrame, labels: DataFrame, store: Store, where: F.Column | None = None, per_class: int = PER_CLASS, features: int = FEATURES, least: int = LEAST_DOCUMENTS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, store: Store, where: F.Column | None = None, per_class: int = PER_CLASS, features: int = FEATURES) -> Model:
     """Fit to ``docs(doc_id, text)`` that ``labels(doc_id, toxic)`` marks 0 or 1, where ``where`` holds.
 
     Equal texts count once, so a group of copies doesn't pass for evidence. Without toxic labels, or
@@ -160,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, store: Store, where: F.Column | No
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy(F.sha2("text", 256).alias("_key")).agg(F.min("label").cast("int").alias("label"), F.min("text").alias("text")).select("label", "text")
     texts = store.keep(texts, "sample")
-    found = np.sort(np.array(telling_windows(texts, features, least), np.int64).view(np.uint64))
+    found = np.sort(np.array(telling_windows(texts, features), np.int64).view(np.uint64))
     empty = Model(found, np.zeros(len(found)), np.arange(1.0, GRADES + 1))
     if not len(found):
         return empty
