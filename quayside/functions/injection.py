@@ -28,14 +28,17 @@ PHRASES = [
 PATTERN = "(?iU)" + "|".join(f"(?:{p})" for p in PHRASES).replace(r"\s", f"[{SPACE}]")
 
 
-# One by one on lower-case text: no letter case to fold, and no alternatives to try at
-# every character, which is about twice as fast on texts without any such phrase.
+# Letters that equal i, k or s when case is ignored, though lower-casing keeps them apart.
+FOLDED, FOLDS_TO = "İıKſ", "iiks"
+# One by one on folded text: no letter case to try, and no alternatives at every character,
+# which is about twice as fast on texts without any such phrase.
 QUICK = ["(?U)" + p.lower().replace(r"\s", f"[{SPACE}]") for p in PHRASES]
 
 
 def is_suspicious(text: Column) -> Column:
-    lower = F.lower(text)
-    return reduce(Column.__or__, [lower.rlike(p) for p in QUICK])
+    """Whether ``PATTERN`` finds anything."""
+    folded = F.lower(F.translate(text, FOLDED, FOLDS_TO))
+    return reduce(Column.__or__, [folded.rlike(p) for p in QUICK])
 
 
 def injection_markers(text: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quayside.operators.ranking import join_with_nulls
+
 BLOCK = 4096
 
 
@@ -24,7 +26,7 @@ def last_before(df: DataFrame, keys: list[str], order: str, value: Column, name:
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*keys, "_block", F.last("_tail", ignorenulls=True).over(earlier).alias("_far"))
     return (
-        rows.join(summary, [*keys, "_block"])
+        join_with_nulls(rows, summary, [*keys, "_block"])
         .withColumn(name, F.coalesce("_near", "_far"))
         .drop("_v", "_block", "_near", "_far")
     )

@@ -7,20 +7,37 @@ fills a third of the table is still one row."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 5000  # buckets per unit of ln(1 + |value|): about 0.02 % of the value
 
 
+NULLS, NANS = -(2**62), 2**62  # buckets of their own: nulls come last in falling order, NaN first
+
+
 def bucket_of(value: Column, resolution: int = RESOLUTION) -> Column:
     """Order-preserving bucket; wide ranges and heavy tails still spread."""
-    return F.floor(F.signum(value) * F.log1p(F.abs(value)) * resolution)
+    finite = F.floor(F.signum(value) * F.log1p(F.least(F.abs(value), F.lit(1.7e308))) * resolution)
+    infinite = F.abs(value) == float("inf")
+    beyond = F.when(value > 0, F.lit(NANS - 1)).otherwise(F.lit(NULLS + 1))
+    return F.when(value.isNull(), F.lit(NULLS)).when(F.isnan(value), F.lit(NANS)).when(infinite, beyond).otherwise(finite)
+
+
+def join_with_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on columns of the same names, where null equals null; the left columns stay."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def with_rank(df: DataFrame, column: str, name: str = "rank", by: list[str] | None = None,
               resolution: int = RESOLUTION) -> DataFrame:
-    """RANK() OVER (PARTITION BY by ORDER BY column DESC), also for the whole table."""
+    """RANK() OVER (PARTITION BY by ORDER BY column DESC), also for the whole table.
+
+    NaN is the largest value and nulls come last; null keys are a group of their own."""
     keys = list(by or [])
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
     counts = counts.withColumn("_b", bucket_of(F.col(column).cast("double"), resolution))
@@ -29,8 +46,8 @@ def with_rank(df: DataFrame, column: str, name: str = "rank", by: list[str] | No
         *keys, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*keys, "_b").orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1)
     rank = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)) + 1
-    ranks = counts.join(offsets, [*keys, "_b"]).select(*keys, column, rank.alias(name))
-    return df.join(ranks, [*keys, column])
+    ranks = join_with_nulls(counts, offsets, [*keys, "_b"]).select(*keys, column, rank.alias(name))
+    return join_with_nulls(df, ranks, [*keys, column])
 
 
 def percentiles(df: DataFrame, column: str, wanted: dict[str, tuple[str, float]],

@@ -13,7 +13,8 @@ from quayside.plans.registry import query
 from quayside.plans.samples import DIRTY, HEADINGS, HOSTILE, MARKUP, WRAPPED
 
 INLINE_RE2 = SPACE_RE2.replace(r"\t-\r", r"\t\x0b-\r")
-MARKERS_RE2 = "(?i)" + "|".join(f"(?:{p})" for p in PHRASES).replace(r"\s", f"[{SPACE_RE2}]")
+# The checking engine doesn't take the dotted and dotless i for an i.
+MARKERS_RE2 = "(?i)" + "|".join(f"(?:{p})" for p in PHRASES).replace("i", "[iİı]").replace(r"\s", f"[{SPACE_RE2}]")
 SIZE, OVERLAP = 900, 150
 
 

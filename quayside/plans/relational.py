@@ -122,16 +122,22 @@ def g11(t):
 
 
 @query("g12_rank_over_whole_table",
-       "SELECT p_partkey, p_name, rank() OVER (ORDER BY p_retailprice DESC) AS price_rank FROM part")
+       """WITH x AS (SELECT p_partkey, p_name, CASE p_partkey % 20 WHEN 7 THEN NULL WHEN 8 THEN 'nan'::DOUBLE WHEN 9 THEN -p_retailprice ELSE p_retailprice END AS price FROM part)
+       SELECT p_partkey, p_name, rank() OVER (ORDER BY price DESC NULLS LAST) AS price_rank FROM x""")
 def g12(t):
-    return with_rank(t.part.select("p_partkey", "p_name", "p_retailprice"), "p_retailprice", "price_rank").drop("p_retailprice")
+    """Prices of which some are made null, NaN or negative."""
+    kind = F.pmod("p_partkey", F.lit(20))
+    price = F.when(kind == 7, F.lit(None)).when(kind == 8, F.lit(float("nan"))).when(kind == 9, -F.col("p_retailprice")).otherwise(F.col("p_retailprice"))
+    return with_rank(t.part.select("p_partkey", "p_name", price.alias("price")), "price", "price_rank").drop("price")
 
 
 @query("g12b_rank_per_group",
-       "SELECT p_partkey, rank() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_retailprice DESC) AS price_rank FROM part")
+       """SELECT p_partkey, rank() OVER (PARTITION BY CASE WHEN p_partkey % 10 <> 3 THEN p_brand END, p_type, p_size ORDER BY p_retailprice DESC) AS price_rank FROM part""")
 def g12b(t):
-    keys = ["p_brand", "p_type", "p_size"]
-    return with_rank(t.part.select("p_partkey", "p_retailprice", *keys), "p_retailprice", "price_rank", keys).select(
+    """Some brands are unknown: they are a group too."""
+    keys = ["brand", "p_type", "p_size"]
+    known = F.when(F.pmod("p_partkey", F.lit(10)) != 3, F.col("p_brand")).alias("brand")
+    return with_rank(t.part.select("p_partkey", "p_retailprice", known, "p_type", "p_size"), "p_retailprice", "price_rank", keys).select(
         "p_partkey", "price_rank")
 
 

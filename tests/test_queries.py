@@ -13,9 +13,11 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 import __spark_entry__ as entry  # noqa: E402
 from check import kind, norm  # noqa: E402
 from conftest import SF  # noqa: E402
+from quayside.plans import load_all  # noqa: E402
 from quayside.sources.tables import SCHEMAS  # noqa: E402
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = dict(load_all())
+ORACLES = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 PYTHON = ("s01", "t0", "t11", "t13", "r0", "r1", "e03", "a06", "st")  # file decoding, NFC, vector products, admission
 
 
