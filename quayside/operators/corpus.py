@@ -37,12 +37,22 @@ def bucket_of_token(token: Column, dim: int = DIMENSIONS) -> Column:
 def hash_features(df: DataFrame, key: str, text: Column, dim: int = DIMENSIONS) -> DataFrame:
     """Sparse bag-of-words vectors: (key, bucket, weight); the last bucket is never zero.
 
-    Tokens become buckets in their row and are summed before the one shuffle, so a row
-    per distinct bucket and text is all that moves."""
-    tokens = df.select(key, F.explode(feature_tokens(text)).alias("token"))
-    hits = tokens.select(key, bucket_of_token(F.col("token"), dim).alias("bucket"), F.lit(1.0).alias("weight"))
-    last = df.select(key, F.lit(dim - 1).alias("bucket"), F.lit(LAST_BUCKET_WEIGHT).alias("weight"))
-    return hits.unionByName(last).groupBy(key, "bucket").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    All tokens of a text are in its row, so they are counted there: nothing is shuffled and the text is
+    read once. Buckets and counts are two passes over the row's sorted buckets."""
+    buckets = F.transform(feature_tokens(text), lambda token: bucket_of_token(token, dim))
+    rows = df.select(key, F.array_sort(F.coalesce(buckets, F.array().cast("array<int>"))).alias("_buckets"))
+    n = F.size("_buckets")
+    # The last place of each run of equal buckets; a run's length is its distance from the one before.
+    ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.get("_buckets", i) != F.get("_buckets", i - 1)))
+    rows = rows.select(key, "_buckets", F.when(n > 0, ends).otherwise(F.array().cast("array<int>")).alias("_ends"))
+    counted = F.transform("_ends", lambda end, i: F.struct(
+        F.get("_buckets", end - 1).alias("bucket"),
+        (end - F.when(i > 0, F.get("_ends", i - 1)).otherwise(0)).cast("double").alias("weight")))
+    last = dim - 1
+    plus = F.transform(counted, lambda x: F.struct(x["bucket"].alias("bucket"), F.round(x["weight"] + F.when(x["bucket"] == last, LAST_BUCKET_WEIGHT).otherwise(0.0), 6).alias("weight")))
+    alone = F.array(F.struct(F.lit(last).alias("bucket"), F.lit(LAST_BUCKET_WEIGHT).alias("weight")))
+    whole = F.when(F.array_contains("_buckets", last), plus).otherwise(F.concat(plus, alone))
+    return rows.select(key, F.inline(whole))
 
 
 def build_chunks(documents: DataFrame, key: str, pages: Column, *, title: Column, size: int = CHUNK_SIZE,

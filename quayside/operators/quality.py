@@ -19,7 +19,8 @@ def dedup_by_checksum(df: DataFrame, key: str, content: str) -> DataFrame:
 
     The keeper is a map-side minimum per checksum. Only checksums that repeat are joined
     back; a group of copies that fills a third of the table is a skewed left side that
-    AQE splits, and rows without copies never leave the anti-duplicate default."""
+    AQE splits, and rows without copies never leave the anti-duplicate default. (Reading the texts
+    once would need one exchange by checksum for both sides, which nothing splits.)"""
     marked = df.select(key, checksum(F.col(content)).alias("checksum"))
     keepers = marked.groupBy("checksum").agg(F.min(key).alias("keeper"), F.count("*").alias("_n"))
     repeated = keepers.filter("_n > 1").drop("_n")
@@ -45,23 +46,33 @@ def result_page(df: DataFrame, max_rows: int, *order: Column) -> DataFrame:
     )
 
 
-def iso_timestamp(column: Column) -> Column:
+LONG_DIGITS = 18  # digits that any whole number of 64 bits can hold
+
+
+def iso_timestamp(column: Column, zoned: bool) -> Column:
+    """ISO form; a time with zone ends with its offset in the session's zone."""
     micros = F.date_format(column, "SSSSSS")
     return F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"),
-                    F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""))
+                    F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""),
+                    F.date_format(column, "xxx") if zoned else F.lit(""))
 
 
 def json_safe(df: DataFrame) -> DataFrame:
-    """Columns as JSON scalars: floats to 6 digits, whole decimals to integers, ISO times."""
+    """Columns as JSON scalars: floats to 6 digits, whole decimals to integers, ISO times.
+
+    Whole decimals that 64 bits may not hold stay decimals."""
 
     def convert(field: T.StructField) -> Column:
         column, kind = F.col(field.name), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             column = F.round(column, 6)
         elif isinstance(kind, T.DecimalType):
-            column = column.cast("bigint" if kind.scale == 0 else "double")
+            if kind.scale > 0:
+                column = column.cast("double")
+            elif kind.precision <= LONG_DIGITS:
+                column = column.cast("bigint")
         elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            column = iso_timestamp(column)
+            column = iso_timestamp(column, isinstance(kind, T.TimestampType))
         elif isinstance(kind, T.DateType):
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(kind, T.BinaryType):
@@ -93,7 +104,7 @@ class Unique:
 
 @dataclass(frozen=True)
 class References:
-    """Rows whose key has no partner. Keys are counted first, so a hot key is one row."""
+    """Rows whose key has no partner (a null key passes). Keys are counted first, so a hot key is one row."""
 
     name: str
     child: DataFrame
@@ -101,12 +112,6 @@ class References:
     parent: DataFrame
     parent_column: str
 
-    def violations(self) -> DataFrame:
-        keys = self.child.filter(F.col(self.column).isNotNull()).groupBy(F.col(self.column).alias("_k"))
-        known = self.parent.select(F.col(self.parent_column).alias("_k"))
-        orphans = keys.agg(F.count("*").alias("_n")).join(known, "_k", "left_anti")
-        return orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("violations"))
-
 
 @dataclass(frozen=True)
 class Check:
@@ -116,13 +121,36 @@ class Check:
     table: DataFrame
     condition: Column
 
-    def violations(self) -> DataFrame:
-        return self.table.agg(F.count_if(~self.condition).alias("violations"))
+
+def _by_table(constraints: list, table: str) -> list[list]:
+    groups: dict[int, list] = {}
+    for c in constraints:
+        groups.setdefault(id(getattr(c, table)), []).append(c)
+    return list(groups.values())
+
+
+def _named(pairs: list[tuple[str, Column]]) -> Column:
+    return F.inline(F.array(*[F.struct(F.lit(n).alias("constraint"), v.alias("value")) for n, v in pairs]))
 
 
 def check_constraints(constraints: list[Unique | References | Check]) -> DataFrame:
-    """One row per constraint with its number of violating rows."""
-    counted = [c.violations().select(F.lit(c.name).alias("constraint"), "violations") for c in constraints]
+    """One row per constraint with its number of violating rows.
+
+    All checks of a table are one aggregation over one scan. All foreign keys are counted together,
+    with one scan of a child for its keys and one join; keys are compared as text."""
+    kinds = {k: [c for c in constraints if isinstance(c, k)] for k in (Unique, References, Check)}
+    counted = [c.violations().select(F.lit(c.name).alias("constraint"), "violations") for c in kinds[Unique]]
+    for checks in _by_table(kinds[Check], "table"):
+        row = checks[0].table.agg(*[F.count_if(~c.condition).alias(f"n{i}") for i, c in enumerate(checks)])
+        counted.append(row.select(_named([(c.name, F.col(f"n{i}")) for i, c in enumerate(checks)])).withColumnRenamed("value", "violations"))
+    if refs := kinds[References]:
+        children = [cs[0].child.select(_named([(c.name, F.col(c.column).cast("string")) for c in cs])) for cs in _by_table(refs, "child")]
+        keys = reduce(DataFrame.unionByName, children).where("value is not null").groupBy("constraint", "value").agg(F.count("*").alias("n"))
+        known = reduce(DataFrame.unionByName, [c.parent.select(F.lit(c.name).alias("constraint"), F.col(c.parent_column).cast("string").alias("value")) for c in refs])
+        # Parents take part with no rows of their own, so every constraint has a result.
+        none = refs[0].child.sparkSession.range(1).select(_named([(c.name, F.lit(None).cast("string")) for c in refs]))
+        orphans = keys.join(known, ["constraint", "value"], "left_anti").select("constraint", "n").unionByName(none.select("constraint", F.lit(0).cast("bigint").alias("n")))
+        counted.append(orphans.groupBy("constraint").agg(F.sum("n").alias("violations")))
     return reduce(DataFrame.unionByName, counted)
 
 

@@ -111,14 +111,16 @@ def s07(t):
 
 @query("s08_json_safe", v(
     """SELECT o.o_orderkey, round(o.o_totalprice / 7, 6) AS share, CAST(o.o_totalprice AS DOUBLE) AS amount, CAST(o.o_totalprice AS DECIMAL(14,0))::BIGINT AS whole,
-    strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') AS placed, strftime(o.o_orderdate, '%Y-%m-%d') AS day, '<binary>' AS raw, o.o_orderstatus = 'F' AS done
+    strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') AS placed, strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS placed_zoned,
+    CAST(o.o_orderkey::DECIMAL(18,0) * 100000000000000000000::DECIMAL(21,0) AS VARCHAR) AS huge, strftime(o.o_orderdate, '%Y-%m-%d') AS day, '<binary>' AS raw, o.o_orderstatus = 'F' AS done
     FROM orders o"""))
 def s08(t):
     typed = t.orders.select(
         "o_orderkey", (F.col("o_totalprice") / 7).alias("share"), F.col("o_totalprice").cast("decimal(14,2)").alias("amount"),
-        F.col("o_totalprice").cast("decimal(14,0)").alias("whole"), F.col("o_orderdate").alias("placed"),
+        F.col("o_totalprice").cast("decimal(14,0)").alias("whole"), F.col("o_orderdate").alias("placed"), F.col("o_orderdate").cast("timestamp").alias("placed_zoned"),
+        (F.col("o_orderkey").cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)")).cast("decimal(38,0)").alias("huge"),
         F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").cast("binary").alias("raw"), (F.col("o_orderstatus") == "F").alias("done"))
-    return q.json_safe(typed)
+    return q.json_safe(typed).withColumn("huge", F.col("huge").cast("string"))
 
 
 @query("s08b_event_times_as_iso",
@@ -169,10 +171,12 @@ def constraints(t):
         ref("labels_document_fk", t.labels, "doc_id", t.documents, "doc_id"),
         ref("benchmark_label_fk", t.benchmark, "item_id", t.labels, "doc_id"),
         q.Check("quantity_positive", t.lineitem, F.col("l_quantity") > 0),
-        q.Check("rating_range", c.reviews(), F.col("rating").between(1, 5)),
-        q.Check("order_status_vocabulary", c.orders(), F.col("status").isin(*ORDER_STATUS.values())),
+        q.Check("quantity_range", t.lineitem, F.col("l_quantity").between(1, 40)),
+        q.Check("return_flag_vocabulary", t.lineitem, F.col("l_returnflag").isin("A", "R")),
+        q.Check("line_status_vocabulary", t.lineitem, F.col("l_linestatus").isin("F", "O")),
+        q.Check("order_status_known", t.orders, F.col("o_orderstatus").isin(*ORDER_STATUS)),
+        q.Check("order_status_closed", t.orders, F.col("o_orderstatus").isin("F", "P")),
         q.Check("payment_status_vocabulary", c.payments(), F.col("status").isin("completed", "pending", "refunded")),
-        q.Check("return_reason_vocabulary", c.returns(), F.col("reason").isin(*RETURN_REASONS)),
         q.Check("balance_not_negative", t.customer, F.col("c_acctbal") >= 0),
     ]
 
@@ -196,10 +200,10 @@ def _check(name, table, condition):
     _ref("items_order_fk", "lineitem", "l_orderkey", "orders", "o_orderkey"), _ref("items_product_fk", "lineitem", "l_partkey", "part", "p_partkey"),
     _ref("orders_customer_fk", "orders", "o_custkey", "customer", "c_custkey"), _ref("labels_document_fk", "labels", "doc_id", "documents", "doc_id"),
     _ref("benchmark_label_fk", "benchmark", "item_id", "labels", "doc_id"),
-    _check("quantity_positive", "lineitem", "l_quantity > 0"), _check("rating_range", "v_reviews", "rating BETWEEN 1 AND 5"),
-    _check("order_status_vocabulary", "v_orders", f"list_contains({sql_list(ORDER_STATUS.values())}, status)"),
+    _check("quantity_positive", "lineitem", "l_quantity > 0"), _check("quantity_range", "lineitem", "l_quantity BETWEEN 1 AND 40"), _check("return_flag_vocabulary", "lineitem", "l_returnflag IN ('A', 'R')"),
+    _check("line_status_vocabulary", "lineitem", "l_linestatus IN ('F', 'O')"), _check("order_status_known", "orders", "o_orderstatus IN ('F', 'O', 'P')"),
+    _check("order_status_closed", "orders", "o_orderstatus IN ('F', 'P')"),
     _check("payment_status_vocabulary", "v_payments", "status IN ('completed', 'pending', 'refunded')"),
-    _check("return_reason_vocabulary", "v_returns", f"list_contains({sql_list(RETURN_REASONS)}, reason)"),
     _check("balance_not_negative", "customer", "c_acctbal >= 0")])))
 def s11(t):
     return q.check_constraints(constraints(t))
