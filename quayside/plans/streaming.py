@@ -29,36 +29,49 @@ class Streams:
         return self.spark.readStream.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}[.]parquet")
 
 
-ADMISSION_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ADMISSION_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_id % 50 NOT IN (11, 12)),
   s AS (SELECT event_id, user_id, n, [us] AS kept, true AS accepted, CAST(NULL AS BIGINT) AS retry_after FROM e WHERE n = 1
     UNION ALL SELECT event_id, user_id, n, CASE WHEN len(live) < {LIMIT} THEN list_append(live, us) ELSE live END, len(live) < {LIMIT},
       CASE WHEN len(live) >= {LIMIT} THEN CAST(greatest(1, ceil((live[1] + {WINDOW * 1_000_000} - us) / 1000000)) AS BIGINT) END
     FROM (SELECT e.event_id, e.user_id, e.n, e.us, list_filter(s.kept, lambda k: k > e.us - {WINDOW * 1_000_000}) AS live FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
-  SELECT event_id, accepted, retry_after FROM s"""
+  SELECT event_id, accepted, retry_after FROM s UNION ALL SELECT event_id, false, NULL FROM events WHERE event_id % 50 IN (11, 12)"""
+
+
+def hits(events):
+    """Some events lack a user, some a time."""
+    kind = F.pmod("event_id", F.lit(50))
+    return events.select("event_id", F.when(kind != 11, F.col("user_id")).alias("user_id"), F.when(kind != 12, F.col("ts")).alias("ts"))
 
 
 @query("st01a_sliding_window_admission", ADMISSION_SQL)
 def st01a(t):
-    return admit(t.events, "user_id", "ts", "event_id", LIMIT, WINDOW)
+    return admit(hits(t.events), "user_id", "ts", "event_id", LIMIT, WINDOW)
 
 
 @query("st01b_admission_stream", ADMISSION_SQL)
 def st01b(t):
     folder = new_folder(t.spark, "admission")
-    run_available(admit_stream(Streams(t).events, "user_id", "ts", "event_id", LIMIT, WINDOW, evict_idle=False), write_batches(f"{folder}/rows"), folder)
+    run_available(admit_stream(hits(Streams(t).events), "user_id", "ts", "event_id", LIMIT, WINDOW, evict_idle=False), write_batches(f"{folder}/rows"), folder)
     return t.spark.read.parquet(f"{folder}/rows").drop("batch")
 
 
 @query("st02_incremental_index",
        f"""WITH {chunks_sql(f"SELECT min(doc_id) AS doc_id, {clean_sql('text')} AS text FROM documents GROUP BY text")},
        n AS (SELECT doc_id, count(*) AS n FROM chunks GROUP BY 1)
+       SELECT doc_id AS document_id, 'superseded' AS status, 0 AS chunk_count FROM documents WHERE doc_id % 10 = 3 UNION ALL
        SELECT d.doc_id AS document_id, CASE WHEN src.doc_id IS NULL THEN 'refused' WHEN n IS NULL THEN 'failed' ELSE 'indexed' END AS status, CAST(coalesce(n, 0) AS INTEGER) AS chunk_count
        FROM documents d LEFT JOIN src USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def st02(t):
     folder = new_folder(t.spark, "index")
     index = DocumentIndex(t.spark, folder)
-    files = Streams(t).documents.select(F.col("doc_id").alias("document_id"), "text", F.lit(False).alias("reindex"))
-    run_available(files, index.process, folder)
+    files = Streams(t).documents.select(F.col("doc_id").alias("document_id"), "text", F.lit(False).alias("reindex"), F.lit(1).alias("sent"))
+
+    def with_older(batch, batch_id):
+        """Some documents come with an older version in the same batch."""
+        older = batch.where("document_id % 10 = 3").withColumns({"text": F.concat(F.lit("old "), "text"), "sent": F.lit(0)})
+        index.process(batch.unionByName(older), batch_id)
+
+    run_available(files, with_older, folder)
     return index.attempts().select("document_id", "status", "chunk_count")
 
 

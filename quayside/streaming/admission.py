@@ -61,10 +61,21 @@ def _stretches(hits: DataFrame, window: int) -> DataFrame:
     return opened.withColumn("stretch", F.coalesce("_start", "_opened")).drop("_previous", "_start", "_opened")
 
 
+def _complete(hits: DataFrame, key: str, ts: str, hit_id: str) -> tuple[DataFrame, DataFrame]:
+    """Hits that can be judged, and the result rows of those without a key or a time: not accepted, and
+    without a time after which to retry, since waiting would not help."""
+    timed = hits.select(F.col(hit_id).alias("hit"), F.col(key).alias("key"), micros(ts).alias("at"))
+    lacking = F.col("key").isNull() | F.col("at").isNull()
+    refused = timed.where(lacking).select(F.col("hit").alias(hit_id), F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("retry_after"))
+    return timed.where(~lacking), refused
+
+
 def admit(hits: DataFrame, key: str, ts: str, hit_id: str, limit: int, window_seconds: float) -> DataFrame:
-    """Every hit with ``accepted`` and ``retry_after`` (seconds, null when accepted)."""
+    """Every hit with ``accepted`` and ``retry_after`` (seconds, null when accepted).
+
+    A hit without a key or a time is not accepted, with a null ``retry_after``."""
     window = int(window_seconds * MICROS)
-    timed = hits.select(F.col(hit_id).alias("hit"), F.col(key).alias("key"), micros(ts).alias("at"))
+    timed, refused = _complete(hits, key, ts, hit_id)
     # Hits of one key at the same instant share a stretch: number the instants, then join the hits back.
     instants = _stretches(timed.select("key", "at").distinct(), window)
     rows = timed.join(instants, ["key", "at"])
@@ -85,7 +96,7 @@ def admit(hits: DataFrame, key: str, ts: str, hit_id: str, limit: int, window_se
 
     ordered = rows.repartition("key", "stretch").sortWithinPartitions("key", "stretch", "at", "hit")
     judged = ordered.mapInPandas(scan, "hit bigint, accepted boolean, retry bigint")
-    return judged.select(F.col("hit").alias(hit_id), "accepted", F.when(~F.col("accepted"), F.col("retry")).alias("retry_after"))
+    return judged.select(F.col("hit").alias(hit_id), "accepted", F.when(~F.col("accepted"), F.col("retry")).alias("retry_after")).union(refused)
 
 
 def admit_stream(hits: DataFrame, key: str, ts: str, hit_id: str, limit: int, window_seconds: float,
@@ -96,7 +107,7 @@ def admit_stream(hits: DataFrame, key: str, ts: str, hit_id: str, limit: int, wi
     A continuous stream drops keys that were idle for a window by processing time; a run
     over the available input must not, since timers would keep it going for ever."""
     window = int(window_seconds * MICROS)
-    timed = hits.select(F.col(hit_id).alias("hit"), F.col(key).alias("key"), micros(ts).alias("at"))
+    timed, refused = _complete(hits, key, ts, hit_id)
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -113,4 +124,5 @@ def admit_stream(hits: DataFrame, key: str, ts: str, hit_id: str, limit: int, wi
     timeout = GroupStateTimeout.ProcessingTimeTimeout if evict_idle else GroupStateTimeout.NoTimeout
     judged = timed.groupBy("key").applyInPandasWithState(
         step, "hit bigint, accepted boolean, retry bigint", "kept array<bigint>", "append", timeout)
-    return judged.select(F.col("hit").alias(hit_id), "accepted", F.when(~F.col("accepted"), F.col("retry")).alias("retry_after"))
+    judged = judged.select(F.col("hit").alias(hit_id), "accepted", F.when(~F.col("accepted"), F.col("retry")).alias("retry_after"))
+    return judged.union(refused)

@@ -18,6 +18,7 @@ from quayside.operators.corpus import NO_READABLE_TEXT
 from quayside.operators.quality import checksum
 from quayside.session import spread
 
+SUPERSEDED = "A later version of this document came in the same batch."
 DOCUMENTS = "document_id bigint, checksum string, status string, error string, chunk_count int, batch bigint"
 CHUNKS = (
     "document_id bigint, chunk_index int, content string, page int, section string, token_estimate int, "
@@ -33,15 +34,25 @@ class DocumentIndex:
         """Rows of all finished batches; empty before the first."""
         try:
             return self._spark.read.schema(schema).parquet(f"{self._folder}/{name}")
-        except AnalysisException:  # the folder does not exist yet
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything but a folder that does not exist yet
+                raise
             return self._spark.createDataFrame([], schema)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
-        """Index (document_id, text, reindex) rows; usable as a foreachBatch sink."""
+        """Index (document_id, text, reindex[, sent]) rows; usable as a foreachBatch sink.
+
+        Of several versions of a document in a batch the last by ``sent`` counts (of equal ones that of the
+        largest checksum), the others are recorded as superseded; equal rows count once."""
         stored = self._stored("documents", DOCUMENTS).filter(F.col("batch") != batch_id)
-        files = spread(batch, "document_id").select("document_id", "text", "reindex", checksum(F.col("text")).alias("checksum"))
+        sent = F.col("sent") if "sent" in batch.columns else F.lit(0)
+        rows = spread(batch, "document_id").select("document_id", "text", "reindex", sent.alias("sent"), checksum(F.col("text")).alias("checksum"))
+        rows = rows.dropDuplicates(["document_id", "checksum"])
+        last = rows.groupBy("document_id").agg(F.max_by("checksum", F.struct("sent", "checksum")).alias("checksum"))
+        files = rows.join(last, ["document_id", "checksum"], "left_semi")
+        older = rows.select("document_id", "checksum").join(last, ["document_id", "checksum"], "left_anti")
         # The batch is the small side: the stored checksums are only scanned.
-        known = stored.filter("status <> 'refused'").select("checksum", F.col("document_id").alias("owner"))
+        known = stored.filter("status not in ('refused', 'superseded')").select("checksum", F.col("document_id").alias("owner"))
         known = known.join(files.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("owner").alias("owner"))
         first = files.groupBy("checksum").agg(F.min("document_id").alias("first"))
         owners = first.join(known, "checksum", "left").select("checksum", F.coalesce("owner", "first").alias("owner"),
@@ -64,7 +75,9 @@ class DocumentIndex:
             F.when(F.col("refused"), "refused").when(found, "indexed").otherwise("failed").alias("status"),
             F.when(F.col("refused"), "This file is already in the knowledge base.").when(~found, NO_READABLE_TEXT).alias("error"),
             F.when(F.col("refused"), 0).otherwise(F.size("chunks")).alias("chunk_count"),
-        ).write.mode("overwrite").parquet(f"{self._folder}/documents/batch={batch_id}")
+        ).unionByName(older.select(
+            "document_id", "checksum", F.lit("superseded").alias("status"), F.lit(SUPERSEDED).alias("error"), F.lit(0).alias("chunk_count"),
+        )).write.mode("overwrite").parquet(f"{self._folder}/documents/batch={batch_id}")
         work.filter(~F.col("refused")).select("document_id", F.posexplode("chunks").alias("chunk_index", "c")).select(
             "document_id", "chunk_index", "c.content", "c.page", "c.section", token_estimate(F.col("c.content")).alias("token_estimate"),
             (F.size(injection_markers(F.col("c.content"))) > 0).alias("suspicious"),
@@ -76,7 +89,7 @@ class DocumentIndex:
 
     def documents(self) -> DataFrame:
         """The newest accepted version of each document."""
-        accepted = self.attempts().filter("status <> 'refused'")
+        accepted = self.attempts().filter("status not in ('refused', 'superseded')")
         newest = accepted.groupBy("document_id").agg(F.max("batch").alias("batch"))
         return accepted.join(newest, ["document_id", "batch"])
 
