@@ -38,11 +38,13 @@ def recent_messages(messages: DataFrame, key: str, order: str, n: int = HISTORY_
 
 
 def history_line(role: Column, text: Column, route: Column, sql: Column) -> Column:
-    """ "User: ..." or "Assistant: ... [route=...; SQL: ...]", long contents cut."""
+    """ "User: ..." or "Assistant: ... [route=...; SQL: ...; SQL: ...]", long contents cut.
+
+    ``sql`` is an array: all statements of the message, of which null and empty ones are left out."""
     content = shorten(collapse(text), MESSAGE_CHARS)
-    query = F.substring(collapse(sql), 1, SQL_CHARS)
+    statements = F.filter(F.transform(sql, lambda x: F.substring(collapse(x), 1, SQL_CHARS)), lambda x: x != "")
     extras = F.concat_ws("; ", F.when(route != "", F.concat(F.lit("route="), route)),
-                         F.when(query != "", F.concat(F.lit("SQL: "), query)))
+                         F.transform(statements, lambda x: F.concat(F.lit("SQL: "), x)))
     suffix = F.when(extras != "", F.concat(F.lit(" ["), extras, F.lit("]"))).otherwise("")
     return F.when(role == "user", F.concat(F.lit("User: "), content)).otherwise(
         F.concat(F.lit("Assistant: "), content, suffix))

@@ -156,16 +156,16 @@ REASONS = ["", "no matching rows"]
 
 
 @query("a07_fallback_reply",
-       f"""WITH {MESSAGES}, {LANGUAGE}, x AS (SELECT conv_id, turn, language, {pick_sql(ROUTES, 'conv_id + turn')} AS route, (conv_id // 3) % 2 AS db, (conv_id // 5) % 2 AS failures, turn % 2 AS passages,
-         {pick_sql(REASONS, 'conv_id')} AS reason FROM codes WHERE form = 'question'),
+       f"""WITH {MESSAGES}, {LANGUAGE}, x AS (SELECT conv_id, turn, form, language, {pick_sql(ROUTES, 'conv_id + turn')} AS route, (conv_id // 3) % 2 AS db, (conv_id // 5) % 2 AS failures, turn % 2 AS passages,
+         {pick_sql(REASONS, 'conv_id')} AS reason FROM codes),
        k AS (SELECT *, CASE WHEN route = 'SQL' AND db = 0 THEN CASE WHEN failures > 0 THEN 'sql_failed' ELSE 'no_data' END WHEN route = 'RAG' AND passages = 0 THEN 'no_documents'
          WHEN route = 'HYBRID' AND db = 0 AND passages = 0 THEN 'nothing_found' END AS "case" FROM x),
        texts AS (SELECT * FROM (VALUES {', '.join("('" + key + "', '" + lang + "', '" + text.replace("'", "''") + "')" for key, ts in lx.REPLIES.items() for lang, text in ts.items())}) z("case", language, reply))
-       SELECT conv_id, turn, k."case" AS reply_case, CASE WHEN reason <> '' AND k.language = 'en' AND k."case" IS NOT NULL THEN reply || chr(10) || chr(10) || '_' || reason || '_' ELSE reply END AS reply
+       SELECT conv_id, turn, form, k."case" AS reply_case, CASE WHEN reason <> '' AND k.language = 'en' AND k."case" IS NOT NULL THEN reply || chr(10) || chr(10) || '_' || reason || '_' ELSE reply END AS reply
        FROM k LEFT JOIN texts ON texts."case" = k."case" AND texts.language = CASE k.language WHEN 'mixed' THEN 'bn' ELSE k.language END""")
 def a07(t):
     key = F.col("conv_id")
-    rows = messages(t).filter("form = 'question'").withColumn("reply_case", a.fallback_case(
+    rows = messages(t).withColumn("reply_case", a.fallback_case(
         pick(ROUTES, key + F.col("turn")), F.floor(key / 3) % 2, F.floor(key / 5) % 2, F.col("turn") % 2))
     reply = a.fallback_reply(F.col("reply_case"), detect_language(F.col("text")), pick(REASONS, key))
-    return rows.select("conv_id", "turn", "reply_case", reply.alias("reply"))
+    return rows.select("conv_id", "turn", "form", "reply_case", reply.alias("reply"))

@@ -43,10 +43,9 @@ def l01(t):
                               i.bengali_ratio(F.col("text")).alias("bengali_ratio"))
 
 
-@query("l02_language_distribution", f"WITH {MESSAGES}, {LANGUAGE} SELECT language, count(*) AS messages FROM codes WHERE form = 'question' GROUP BY 1")
+@query("l02_language_distribution", f"WITH {MESSAGES}, {LANGUAGE} SELECT form, language, count(*) AS messages FROM codes GROUP BY ALL")
 def l02(t):
-    asked = messages(t).filter("form = 'question'")
-    return asked.groupBy(i.detect_language(F.col("text")).alias("language")).agg(F.count("*").alias("messages"))
+    return messages(t).groupBy("form", i.detect_language(F.col("text")).alias("language")).agg(F.count("*").alias("messages"))
 
 
 def hits_sql(terms, text: str = "padded") -> str:

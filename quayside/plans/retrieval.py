@@ -91,11 +91,11 @@ FUSE_SQL = f"""{QUERIES_SQL}, {KEYWORD_SQL}, {VECTOR_SQL},
 
 @query("r01_keyword_terms",
        f"""WITH src AS (SELECT item_id AS query_id, 0 AS variant, text FROM benchmark UNION ALL
-         SELECT doc_id, 1, {pick_sql(QUESTIONS, 'doc_id')} FROM documents), {terms_sql('src')}
+         SELECT doc_id, 1, {pick_sql(QUESTIONS, 'doc_id')} || ' ' || text FROM documents), {terms_sql('src')}
        SELECT query_id, variant, array_to_string(CASE WHEN len(terms) > 0 THEN terms END, ' | ') AS terms FROM terms""")
 def r01(t):
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), "text").unionByName(
-        t.documents.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("variant"), pick(QUESTIONS, F.col("doc_id")).alias("text")))
+        t.documents.select(F.col("doc_id").alias("query_id"), F.lit(1).alias("variant"), F.concat_ws(" ", pick(QUESTIONS, F.col("doc_id")), "text").alias("text")))
     return asked.select("query_id", "variant", F.array_join(r.keyword_terms(F.col("text")), " | ").alias("terms"))
 
 

@@ -43,13 +43,15 @@ def c03(t):
        f"""WITH m AS (SELECT conv_id, turn, role, {collapse_sql('text')} AS s, {pick_sql(ROUTES, 'conv_id + turn')} AS route FROM conversations
          QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8),
        p AS (SELECT *, CASE WHEN length(s) <= 500 THEN s ELSE substr(s, 1, 499) || '…' END AS content,
-         CASE WHEN route IN ('SQL', 'HYBRID') THEN '; SQL: SELECT count(*) FROM orders WHERE o_orderkey > ' || turn ELSE '' END AS q FROM m),
+         CASE WHEN route IN ('SQL', 'HYBRID') THEN '; SQL: SELECT count(*) FROM orders WHERE o_orderkey > ' || turn ELSE '' END ||
+         CASE WHEN route = 'HYBRID' THEN '; SQL: SELECT max(o_totalprice) FROM orders' ELSE '' END AS q FROM m),
        l AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'User: ' || content ELSE 'Assistant: ' || content || ' [route=' || route || q || ']' END AS line FROM p),
        b AS (SELECT *, sum(length(line)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS spent FROM l)
        SELECT conv_id, array_to_string(list(line ORDER BY turn), chr(10)) AS history, count(*) AS lines FROM b WHERE spent <= 1500 GROUP BY 1""")
 def c04(t):
     route = pick(ROUTES, F.col("conv_id") + F.col("turn"))
-    sql = F.when(route.isin("SQL", "HYBRID"), F.concat(F.lit("SELECT count(*)\n  FROM orders WHERE o_orderkey > "), "turn"))
+    first = F.when(route.isin("SQL", "HYBRID"), F.concat(F.lit("SELECT count(*)\n  FROM orders WHERE o_orderkey > "), "turn"))
+    sql = F.array(first, F.lit(" "), F.when(route == "HYBRID", F.lit("SELECT max(o_totalprice)\tFROM orders")))
     line = c.history_line(F.col("role"), F.col("text"), route, sql)
     return c.history_window(t.conversations, "conv_id", "turn", line, n=8, max_chars=1500)
 
