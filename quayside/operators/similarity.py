@@ -8,12 +8,14 @@ worked off block by block, each block's result going to a table in shared storag
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quayside.session import shared_dir
 
@@ -48,7 +50,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return ids[order], scores[order]
 
 
-def _scan(vectors: DataFrame, key: str, embedding: str, query_ids: np.ndarray, matrix: np.ndarray, k: int,
+def _scan(vectors: DataFrame, key: str, embedding: str, query_ids: list[str], matrix: np.ndarray, k: int,
           cells: tuple[str, np.ndarray] | None = None) -> DataFrame:
     """k best vectors per query and task; with ``cells`` only vectors of probed cells."""
     shared = vectors.sparkSession.sparkContext.broadcast((query_ids, _unit(matrix), None if cells is None else cells[1]))
@@ -56,11 +58,11 @@ def _scan(vectors: DataFrame, key: str, embedding: str, query_ids: np.ndarray, m
 
     def best_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, queries, probes = shared.value
-        kept = [(np.empty(0, dtype=np.int64), np.empty(0)) for _ in names]
+        kept: list[tuple | None] = [None] * len(names)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = np.asarray(batch.column(0).to_pylist())  # numbers or strings
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False)
             scores = np.round(queries @ _unit(rows.reshape(batch.num_rows, -1).astype(np.float64)).T, DIGITS)
             where = None if cell_column is None else batch.column(2).to_numpy(zero_copy_only=False)
@@ -69,16 +71,20 @@ def _scan(vectors: DataFrame, key: str, embedding: str, query_ids: np.ndarray, m
                 if where is not None:
                     probed = np.isin(where, probes[i])
                     found, value = found[probed], value[probed]
-                old_ids, old = kept[i]
-                kept[i] = _best(np.concatenate([old_ids, found]), np.concatenate([old, value]), k)
-        for name, (ids, scores) in zip(names, kept):
-            if len(ids):
-                yield pa.RecordBatch.from_pydict({
-                    "query": pa.array(np.full(len(ids), name)), key: pa.array(ids), "similarity": pa.array(scores)})
-
-    columns = [F.col(key).cast("bigint").alias(key), F.col(embedding)] + ([F.col(cell_column)] if cell_column else [])
-    usable = vectors.filter(F.col(embedding).isNotNull()).select(*columns)
-    return usable.mapInArrow(best_per_task, f"query bigint, {key} bigint, similarity double")
+                if kept[i] is not None:
+                    found, value = np.concatenate([kept[i][0], found]), np.concatenate([kept[i][1], value])
+                kept[i] = _best(found, value, k)
+        for name, best in zip(names, kept):
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(best[0]), pa.string()), pa.array(best[0].tolist(), kind), pa.array(best[1])], ["query", key, "similarity"])
+
+    columns = [F.col(key), F.col(embedding)] + ([F.col(cell_column)] if cell_column else [])
+    # A vector of another length can't be compared; it is no result.
+    usable = vectors.filter(F.size(embedding) == matrix.shape[1]).select(*columns)
+    key_type = vectors.schema[key].dataType
+    kind = pa.string() if isinstance(key_type, T.StringType) else pa.int64() if isinstance(key_type, T.LongType) else pa.int32()
+    return usable.mapInArrow(best_per_task, f"query string, `{key}` {key_type.simpleString()}, similarity double")
 
 
 def _top(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -86,15 +92,29 @@ def _top(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)
+def _matrix(rows) -> tuple[list[str], np.ndarray]:
+    """Ids and vectors of the queries; those that are not of the usual length find nothing."""
+    lengths = Counter(len(r[1]) for r in rows)
+    size = lengths.most_common(1)[0][0] if rows else 0
+    rows = [r for r in rows if len(r[1]) == size]
+    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), size)
+
+
+def _in_blocks(queries: DataFrame, query: list[str], embedding: str, block: int,
+               search: Callable[[list[str], np.ndarray], DataFrame]) -> DataFrame:
+    """Search with the whole query matrix if it is small, else block by block into a table.
 
+    The key columns of a query travel as one JSON text and are taken apart again."""
+    found = _found(queries, query, embedding, block, search)
+    types = ", ".join(f"`{q}` {queries.schema[q].dataType.simpleString()}" for q in query)
+    parts = found.withColumn("_key", F.from_json("query", types))
+    return parts.select(*[F.col(f"_key.`{q}`").alias(q) for q in query], *[c for c in found.columns if c != "query"])
 
-def _in_blocks(queries: DataFrame, query: str, embedding: str, block: int,
-               search: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
-    """Search with the whole query matrix if it is small, else block by block into a table."""
+
+def _found(queries: DataFrame, query: list[str], embedding: str, block: int, search) -> DataFrame:
     spark = queries.sparkSession
-    wanted = queries.select(F.col(query).cast("bigint").alias("query"), F.col(embedding).alias("e")).filter("e is not null")
+    key = F.to_json(F.struct(*query), {"ignoreNullFields": "false"})
+    wanted = queries.select(key.alias("query"), F.col(embedding).alias("e")).filter("e is not null")
     first = wanted.limit(block + 1).collect()
     if len(first) <= block:
         return search(*_matrix(first))
@@ -109,9 +129,11 @@ def _in_blocks(queries: DataFrame, query: str, embedding: str, block: int,
 
 
 def vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CANDIDATES, *,
-                  query: str = "query", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """Exact: the k most similar vectors per query as (query, key, similarity, rank)."""
-    return _in_blocks(queries, query, embedding, block, lambda ids, matrix: _top(
+                  query: str | list[str] = "query", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """Exact: the k most similar vectors per query as (query, key, similarity, rank).
+
+    ``query`` names the column, or the columns, that identify a query; ids are numbers or strings."""
+    return _in_blocks(queries, [query] if isinstance(query, str) else query, embedding, block, lambda ids, matrix: _top(
         _scan(vectors, key, embedding, ids, matrix, k), key, k))
 
 
@@ -132,8 +154,8 @@ def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: in
     placed = model.transform(points).drop("_u")
     centres = _unit(np.array(model.clusterCenters()))
 
-    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    def search(ids: list[str], matrix: np.ndarray) -> DataFrame:
         probed = np.argsort(-(_unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes]
         return _top(_scan(placed, key, embedding, ids, matrix, k, ("cell", probed)), key, k)
 
-    return _in_blocks(queries, query, embedding, block, search)
+    return _in_blocks(queries, [query], embedding, block, search)

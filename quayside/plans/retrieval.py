@@ -26,7 +26,7 @@ def queries(t):
     whole = base.select("query_id", F.lit(0).alias("variant"), "text", F.col("query_id").alias("vec_id"))
     rest = base.select("query_id", F.lit(1).alias("variant"), F.regexp_replace("text", r"^[^.]*\.\s*", "").alias("text"),
                        (F.col("query_id") * 2 + 1).alias("vec_id"))
-    return whole.unionByName(rest).join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
+    return r.asked_variants(whole.unionByName(rest)).join(t.embeddings.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
 
 
 def documents(t):
@@ -55,8 +55,10 @@ def lists(t):
             r.vector_lists(queries(t), c["vectors"], allowed=c["allowed"]))
 
 
-QUERIES_SQL = r"""q AS (SELECT item_id AS query_id, 0 AS variant, text, item_id AS vec_id FROM benchmark
+QUERIES_SQL = r"""every AS (SELECT item_id AS query_id, 0 AS variant, text, item_id AS vec_id FROM benchmark
     UNION ALL SELECT item_id, 1, regexp_replace(text, '^[^.]*\.\s*', ''), item_id * 2 + 1 FROM benchmark),
+  q AS (SELECT * FROM every WHERE trim(text) <> '' QUALIFY row_number() OVER (PARTITION BY query_id, trim(text) ORDER BY variant) = 1),
+  nv AS (SELECT query_id, count(*) AS variants FROM q GROUP BY 1),
   qv AS (SELECT query_id, variant, text, embedding FROM q LEFT JOIN embeddings USING (vec_id)),
   ch AS (SELECT d.doc_id AS chunk_id, d.source || ' ' || d.doc_id AS title, d.source || '_' || d.doc_id || '.txt' AS filename, text AS content, lang AS section, embedding
     FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN embeddings ON vec_id = d.doc_id WHERE coalesce(toxic, 0) <> 1)"""
@@ -85,7 +87,7 @@ FUSE_SQL = f"""{QUERIES_SQL}, {KEYWORD_SQL}, {VECTOR_SQL},
   filled AS (SELECT query_id, chunk_id, fused, keyword_score, coalesce(vector_score, {SIM.format(a='ch.embedding', b='qv.embedding', digits=4)}) AS vector_score
     FROM fused JOIN ch USING (chunk_id) JOIN qv USING (query_id) WHERE variant = 0),
   relevant AS (SELECT * FROM filled WHERE coalesce(vector_score, 0) >= 0.3 OR (keyword_score IS NOT NULL AND coalesce(vector_score, 0) >= 0.225)),
-  scored AS (SELECT *, least(1.0, round(fused * 61 / 4, 9)) AS score FROM relevant),
+  scored AS (SELECT *, least(1.0, round(fused * 61 / (2 * variants), 9)) AS score FROM relevant JOIN nv USING (query_id)),
   results AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM scored)"""
 
 

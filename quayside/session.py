@@ -60,11 +60,6 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def at_most(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Give CPU-heavy work on a scan at least one partition per core.
 

@@ -74,13 +74,41 @@ def test_document_filter_takes_ids(spark):
     assert [x["chunk_id"] for x in r.searchable(chunks, docs, [20, 30]).collect()] == [3]
 
 
-def test_keyword_search_without_broadcast(spark, monkeypatch):
+def test_keyword_search_without_broadcast(spark):
     texts, _ = knowledge(spark)
     q = ask(spark, ("return items shipping", None))
     postings = r.build_postings(texts, "chunk_id", F.concat_ws(" ", *TEXT))
     want = r.keyword_search(q, postings).collect()
-    monkeypatch.setattr(r, "SMALL_ROWS", 0)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     assert sorted(r.keyword_search(q, postings).collect()) == sorted(want) and want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_any_number_of_variants_and_ids_of_any_kind(spark):
+    emb = spark.createDataFrame([("a-1", [1.0, 0.0]), ("b-2", [0.0, 1.0]), ("odd", [1.0]), ("none", None)], "chunk_id string, embedding array<double>")
+    rows = [("q", 0, [1.0, 0.0]), ("q", 64, [0.0, 1.0]), ("p", 0, [0.6, 0.8]), ("p", 1, [1.0, 2.0, 3.0]), (None, 5, [1.0, 0.0])]
+    queries = spark.createDataFrame(rows, "query_id string, variant int, embedding array<double>")
+    got = {(x["query_id"], x["variant"], x["rank"]): x["chunk_id"] for x in r.vector_lists(queries, emb, 2).collect()}
+    assert got == {("q", 0, 1): "a-1", ("q", 0, 2): "b-2", ("q", 64, 1): "b-2", ("q", 64, 2): "a-1",
+                   ("p", 0, 1): "b-2", ("p", 0, 2): "a-1", (None, 5, 1): "a-1", (None, 5, 2): "b-2"}
+
+
+def test_a_blank_variant_does_not_lower_scores(spark):
+    texts, emb = knowledge(spark)
+    text = F.concat_ws(" ", *TEXT)
+    one = ask(spark, ("return items policy", [1.0, 0.0, 0.0]))
+    two = ask(spark, ("return items policy", [1.0, 0.0, 0.0]), ("  ", None))
+    assert r.hybrid_search(one, texts, emb, text, 3).collect() == r.hybrid_search(two, texts, emb, text, 3).collect()
+
+
+def test_ranks_keep_nulls_and_nan(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0), ("a", None), ("a", nan), ("a", inf), ("a", -inf), (None, 2.0), (None, None), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = sorted((str(x["k"]), str(x["v"]), x["rank"]) for x in with_rank(df, "v", by=["k"]).collect())
+    assert got == sorted([("a", "nan", 1), ("a", "inf", 2), ("a", "1.0", 3), ("a", "-inf", 4), ("a", "None", 5), ("None", "2.0", 1), ("None", "2.0", 1), ("None", "None", 3)])
+    assert with_rank(df, "v").count() == len(rows)
 
 
 def test_rerank_drops_low_grades(spark):
