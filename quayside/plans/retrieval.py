@@ -117,19 +117,33 @@ def r03(t):
     return lists(t)[0]
 
 
-@query("r04_vector_search",
-       f"""WITH s AS (SELECT q.item_id AS query, v.vec_id, {SIM.format(a='e.embedding', b='v.embedding', digits=9)} AS s
+NEAREST_SQL = f"""WITH s AS (SELECT q.item_id AS query, v.vec_id, {SIM.format(a='e.embedding', b='v.embedding', digits=9)} AS s
        FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v)
-       SELECT query, vec_id, round(s, 4) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20""")
+       SELECT query, vec_id, round(s, 4) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"""
+
+
+def asked_vectors(t):
+    return t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query")
+
+
+@query("r04_vector_search", NEAREST_SQL)
 def r04(t):
-    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query")
-    return vector_search(asked, t.embeddings, "vec_id").withColumn("similarity", F.round("similarity", 4))
+    return vector_search(asked_vectors(t), t.embeddings, "vec_id").withColumn("similarity", F.round("similarity", 4))
 
 
-@query("r05_approx_vector_search")
+@query("r05_approx_vector_search", NEAREST_SQL)
 def r05(t):
-    asked = t.embeddings.join(t.benchmark.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").withColumnRenamed("vec_id", "query")
-    return approx_vector_search(asked, t.embeddings, "vec_id").withColumn("similarity", F.round("similarity", 4))
+    """Looking into all cells finds what the exact search finds."""
+    return approx_vector_search(asked_vectors(t), t.embeddings, "vec_id", cells=12, probes=12).withColumn("similarity", F.round("similarity", 4))
+
+
+@query("r05b_recall_of_probed_cells", "SELECT count(*) AS queries, true AS most_found FROM benchmark JOIN embeddings ON vec_id = item_id")
+def r05b(t):
+    """Over half of the exact results (by chance: a quarter) are in the quarter of the cells that a query reads."""
+    asked = asked_vectors(t)
+    exact, found = vector_search(asked, t.embeddings, "vec_id"), approx_vector_search(asked, t.embeddings, "vec_id")
+    shared = exact.join(found.select("query", "vec_id", F.lit(1).alias("hit")), ["query", "vec_id"], "left")
+    return shared.agg(F.countDistinct("query").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) > 0.5).alias("most_found"))
 
 
 @query("r06_rank_fusion", f"WITH {FUSE_SQL} SELECT query_id, chunk_id, round(fused, 9) AS fused FROM fused")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,3 +69,10 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     planning a join to count its partitions would run it."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of a cluster that does not have it installed."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quayside-"), "quayside"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(archive)
