@@ -197,13 +197,27 @@ def test_lattice_sums_over_all_segmentations():
     lattice = lm.Lattice(pieces, logs)
     for word in ("a", "the", "other", "nation", "é", "日本", "x日", "3.14"):
         paths = brute_marginal(lattice, lm.MARK + word)
-        assert math.isclose(lattice.marginal(word.encode()), math.log(sum(map(math.exp, paths))), rel_tol=1e-12)
+        assert math.isclose(lattice.marginals([word.encode()])[0], math.log(sum(map(math.exp, paths))), rel_tol=1e-12)
         counts = np.zeros(len(logs))
-        lattice.expect(word.encode(), 2.0, counts)
+        lattice.expect([word.encode()], np.array([2.0]), counts)
         spelled = sum(n * (len(pieces[k]) if k < len(pieces) else 0) for k, n in enumerate(counts))
         total = len(lm.MARK + word) * 2
         assert counts.sum() > 0 and spelled <= total + 1e-9
-    assert math.isfinite(lattice.marginal(b"a" * 50_000)) and math.isfinite(lattice.marginal(b"\xff\xfe".decode("latin-1").encode()))
+    assert np.isfinite(lattice.marginals([b"a" * 50_000, b"\xff\xfe".decode("latin-1").encode()])).all()
+
+
+def test_words_together_give_what_they_give_alone(monkeypatch):
+    pieces, logs = lm.vocabulary(PIECES)
+    lattice = lm.Lattice(pieces, logs)
+    found = [w.encode() for w in "the other nation é 日本 x日 internationalisation a b ab 3.14 ÿ the -- don't".split()]
+    times = np.arange(1.0, len(found) + 1)
+    together, alone = np.zeros(len(logs)), np.zeros(len(logs))
+    marginals = lattice.marginals(found)
+    lattice.expect(found, times, together)
+    monkeypatch.setattr(lm, "SHORT", 0)
+    assert np.allclose(marginals, lattice.marginals(found), rtol=1e-12)
+    lattice.expect(found, times, alone)
+    assert np.allclose(together, alone, rtol=1e-9, atol=1e-15)
 
 
 def check_scores(docs, got, path):
@@ -219,8 +233,7 @@ def check_scores(docs, got, path):
     n, v = sum(count.values()) + ends, len(count) + (ends > 0)
     pieces, logs = lm.vocabulary(path)
     lattice, expected = lm.Lattice(pieces, logs), np.zeros(len(logs))
-    for x, c in count.items():
-        lattice.expect(x, c, expected)
+    lattice.expect(list(count), np.array(list(count.values()), float), expected)
     expected[-1] = ends
     fitted = expected + lm.PRIOR * len(logs) * np.exp(logs)
     logs = np.log(fitted / fitted.sum())
@@ -228,7 +241,7 @@ def check_scores(docs, got, path):
     want = []
     for i, w in rows:
         base = sum(math.log10((count.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w) + math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
-        score = (sum(lattice.marginal(x) for x in w) + logs[-1]) / math.log(10)
+        score = (lattice.marginals(w).sum() + logs[-1]) / math.log(10)
         want.append((i, held(i, 5), len(w) + 1, sum(x in count for x in w) + (ends > 0), n, base, score))
     key = lambda r: (str(r[0]), r[2], round(r[5], 6))
     got = sorted(map(tuple, got.collect()), key=key)
