@@ -13,6 +13,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quayside.sources.commerce import ORDER_STATUS, STATUS_CODES
+
 AS_OF = date(2001, 7, 15)
 
 # Yearly spend that reaches a membership tier, and shipping fees.
@@ -81,8 +83,13 @@ def last_months(months: int, as_of: date = AS_OF) -> Period:
 
 
 def live(orders: DataFrame, period: Period = ALL_TIME) -> DataFrame:
-    """Orders that count as sales in a period."""
-    return orders.filter((F.col("status") != "cancelled") & period.holds("order_date"))
+    """Orders that count as sales in a period: of any known status but cancelled."""
+    counted = [code for code, status in ORDER_STATUS.items() if status != "cancelled"]
+    return orders.filter(F.col("status_code").isin(counted) & period.holds("order_date"))
+
+
+def cancelled(orders: DataFrame, period: Period = ALL_TIME) -> DataFrame:
+    return orders.filter((F.col("status_code") == STATUS_CODES["cancelled"]) & period.holds("order_date"))
 
 
 def as_amount(total: Column) -> Column:

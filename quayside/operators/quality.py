@@ -125,7 +125,7 @@ class Check:
 def _by_table(constraints: list, table: str) -> list[list]:
     groups: dict[int, list] = {}
     for c in constraints:
-        groups.setdefault(id(getattr(c, table)), []).append(c)
+        groups.setdefault(getattr(c, table).semanticHash(), []).append(c)
     return list(groups.values())
 
 

@@ -79,7 +79,7 @@ def q07(t):
 @query("q08_cancelled_this_year", v(
     "SELECT count(*) AS orders FROM v_orders WHERE status = 'cancelled' AND order_date >= TIMESTAMP '2001-01-01'"))
 def q08(t):
-    return m.count_rows(t.commerce.orders().filter((F.col("status") == "cancelled") & m.this_year().holds("order_date")), "orders")
+    return m.count_rows(m.cancelled(t.commerce.orders(), m.this_year()), "orders")
 
 
 @query("q09_top_completed_payment_method", v(
@@ -298,7 +298,7 @@ def q38(t):
 @query("q39a_cancelled_this_month", v(
     "SELECT count(*) AS orders FROM v_orders WHERE status = 'cancelled' AND order_date >= TIMESTAMP '2001-07-01'"))
 def q39a(t):
-    return m.count_rows(t.commerce.orders().filter((F.col("status") == "cancelled") & m.this_month().holds("order_date")), "orders")
+    return m.count_rows(m.cancelled(t.commerce.orders(), m.this_month()), "orders")
 
 
 @query("q39b_top_city_last_month", v(

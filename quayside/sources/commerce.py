@@ -14,6 +14,7 @@ MONEY = "decimal(14,2)"
 
 # Vocabularies of the business schema.
 ORDER_STATUS = {"F": "delivered", "O": "shipped", "P": "cancelled"}
+STATUS_CODES = {status: code for code, status in ORDER_STATUS.items()}
 RETURN_REASONS = ["defective", "damaged_in_transit", "wrong_item", "not_as_described", "size_issue", "changed_mind"]
 REORDER_LEVEL = 20
 
@@ -35,6 +36,7 @@ class Commerce:
             F.col("o_custkey").alias("customer_id"),
             F.col("o_orderdate").alias("order_date"),
             status.alias("status"),
+            F.col("o_orderstatus").alias("status_code"),  # filters on the code itself reach the scan
             F.col("o_orderpriority").alias("channel"),
             money(F.col("o_totalprice")).alias("total_amount"),
         )

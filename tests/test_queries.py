@@ -58,3 +58,16 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["q01_orders_last_month"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "GreaterThanOrEqual(o_orderdate" in plan
     assert "ReadSchema: struct<o_orderdate:timestamp_ntz>" in plan
+
+
+def test_status_filters_reach_the_scan(spark):
+    for name, pushed in (("q08_cancelled_this_year", "EqualTo(o_orderstatus,P)"), ("q02_revenue_last_30_days", "In(o_orderstatus, [F,O])")):
+        assert pushed in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_scan_serves_all_checks_of_a_table(spark):
+    plan = QUERIES["s11_constraint_violations"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.split("Initial Plan")[0].splitlines() if "FileScan" in line]
+    assert sum("/lineitem.parquet" in x for x in scans) <= 4  # unique key, foreign keys, checks, the inventory view
+    features = QUERIES["t12_hash_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert features.count("FileScan") == 1 and "hashpartitioning" not in features
