@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,16 +39,21 @@ def fold(column: str, remainder_of: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % remainder_of
 
 
-def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
-    """Tuples as record batches of bounded length."""
-    pending: list[tuple] = []
-    for row in rows:
-        pending.append(row)
-        if len(pending) == size:
-            yield to_batch(pending, schema)
-            pending = []
-    if pending:
-        yield to_batch(pending, schema)
+def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap of ``2 ** bits`` cells of some 64-bit hashes; of bounded size, whatever the rows.
+
+    It spares work on what isn't there; a cell may hold others, so a join has to follow."""
+    h = (F.shiftrightunsigned(column, 64 - bits) + 1).alias("h")
+    held = rows.select(h).groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    cells = np.zeros(1 << (bits - 3), np.uint8)
+    for row in held.toLocalIterator():  # 4 kB a row
+        cells[(row["at"] - 1) * 4096 : row["at"] * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return cells
+
+
+def in_bitmap(cells: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    cell = h.view(np.uint64) >> np.uint64(64 - bits)
+    return (cells[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

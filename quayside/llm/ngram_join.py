@@ -8,8 +8,9 @@ in pairs: the prefix is extended until its rare n-grams, and the frequent ones l
 a rare n-gram or a pair of frequent ones of one class. Very small and very large sets use single n-grams
 throughout; sets near the limits do both, so no pair falls between.
 
-Equal sets are one. Sets that share a signature with the smallest id of its bucket form clusters; only
-these are verified, exactly, in bounded blocks. Large clusters are verified block by block against one leading block
+Equal sets are one. Sets of similar size that share a signature are compared by how many n-grams they hold in
+each of a few dozen parts of the hash space, which bounds what they can have in common; those that
+pass form clusters. Only clusters are verified, exactly, in bounded blocks. Large clusters are verified block by block against one leading block
 first, and then only across the components that this leaves. So the links of a group of copies are never listed:
 blocks give spanning forests."""
 
@@ -23,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from quayside.llm.common import Store, components, words
+from quayside.llm.common import Store, bitmap, components, in_bitmap, words
 
 CELL_BITS, SLICE_BITS = 22, 16  # cells of the count, and cells that one row of it holds
 GROUPS = 8
 PAIRED = (64, 2048)  # sizes of sets whose frequent n-grams count in pairs
 BLOCK_SETS, BLOCK_GRAMS = 256, 1 << 20
-BITMAP = 1 << 23
+PARTS = 64  # parts of the hash space whose n-grams are counted
+SMALL_BUCKET = 256  # sets of a signature that are compared with each other; more are one cluster unseen
+PAIRS = 1 << 17
+SIGNATURE_BITS, ID_BITS = 26, 23  # of bitmaps that spare work
 COLUMNS = 8192
 
 
@@ -91,27 +95,65 @@ def _mixed(x: np.ndarray, kind: int) -> np.ndarray:
 
 def _measure(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """A row for each document (id, size, fingerprint), and the task's counts of n-grams by cell in slices."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary()), ("times", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("counts", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary()), ("times", pa.binary())])
     counts = np.zeros(1 << CELL_BITS, np.uint32)
     for batch in batches:
-        sizes, prints, cells = [], [], []
+        sizes, prints, spread, cells = [], [], [], []
         for text in batch.column(1).to_pylist():
             grams = ngrams(text, width)
             sizes.append(len(grams))
             prints.append(xxh3_128_digest(grams.tobytes()))
+            spread.append(counts_of(grams))
             cells.append((grams >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
             if sum(map(len, cells[-64:])) > 1 << 20 or len(cells) >= 512:
                 _add(counts, cells)
         _add(counts, cells)
         k = batch.num_rows
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *[pa.nulls(k, f.type) for f in list(schema)[3:]]], schema=schema)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(spread, pa.binary()), *[pa.nulls(k, f.type) for f in list(schema)[4:]]], schema=schema)
     for at in range(0, 1 << CELL_BITS, 1 << SLICE_BITS):
         part = counts[at : at + (1 << SLICE_BITS)]
         if len(used := np.flatnonzero(part)):
-            row = [None, None, None, at >> SLICE_BITS, used.astype("<u2").tobytes(), part[used].astype("<u4").tobytes()]
+            if 6 * len(used) < len(part) or part.max() > 255:
+                listed = used.astype("<u2").tobytes(), part[used].astype("<u4").tobytes()
+            else:
+                listed = b"", part.astype("u1").tobytes()  # all cells, a byte each
+            row = [None, None, None, None, at >> SLICE_BITS, *listed]
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
+def counts_of(grams: np.ndarray) -> bytes:
+    """How many n-grams lie in each part of the hash space; 255 for all stands for no count, if one is larger."""
+    counts = np.bincount((grams % np.uint64(PARTS)).astype(np.int64), minlength=PARTS)
+    return (counts if counts.max(initial=0) < 255 else np.full(PARTS, 255)).astype(np.uint8).tobytes()
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Buckets of sets in rows: a spanning forest of the pairs that may be similar."""
+    for batch in batches:
+        bucket = batch.column(0)
+        flat, sizes = bucket.flatten(), np.asarray(bucket.value_lengths())
+        ids, n = np.asarray(flat.field("doc_id")), np.asarray(flat.field("n"))
+        counts = np.frombuffer(b"".join(flat.field("counts").to_pylist()), np.uint8).reshape(len(ids), PARTS)
+        uncounted = (counts == 255).all(axis=1)
+        starts = np.cumsum(sizes) - sizes
+        left, right = [], []
+        for m in np.unique(sizes):
+            i, j = np.triu_indices(m, 1)
+            of = starts[sizes == m][:, None]
+            i, j = (of + i).ravel(), (of + j).ravel()
+            for k in range(0, len(i), PAIRS):
+                a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+                smaller = np.minimum(n[a], n[b])
+                common = np.where(uncounted[a] | uncounted[b], smaller, np.minimum(counts[a], counts[b]).sum(axis=1, dtype=np.int64))
+                may = 100 * common >= percent * (n[a] + n[b] - common)
+                left.append(ids[a[may]])
+                right.append(ids[b[may]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = forest(nodes, at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _add(counts: np.ndarray, cells: list[np.ndarray]) -> None:
     if cells:
         used, n = np.unique(np.concatenate(cells), return_counts=True)
@@ -124,7 +166,10 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at, cells, times in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
             held = total.setdefault(at, np.zeros(1 << SLICE_BITS, np.uint64))
-            held[np.frombuffer(cells, "<u2")] += np.frombuffer(times, "<u4")
+            if cells:
+                held[np.frombuffer(cells, "<u2")] += np.frombuffer(times, "<u4")
+            else:
+                held += np.frombuffer(times, "u1")
     for at, held in total.items():
         level = np.round(256 * np.log2(1 + held.astype(float))).astype("<u2").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([level], pa.binary()), pa.array([int(held.sum())], pa.int64())], ["slice", "level", "n"])
@@ -211,14 +256,15 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 3, percent: i
     Rows without an id are returned with a null component and link with nothing. Other columns are
     dropped. N-grams and equal sets are told apart by 64 and 128-bit hashes."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = "doc_id long, n long, fp binary, slice int, cells binary, times binary"
+    names = "doc_id long, n long, fp binary, counts binary, slice int, cells binary, times binary"
     measured = store.keep(texts.mapInArrow(lambda b: _measure(b, width), names), "measured")
-    rows = measured.where("n is not null").select("doc_id", "n", "fp")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    rows = measured.where("n is not null").select("doc_id", "n", "fp", "counts")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("counts").alias("counts"))
     classes = store.keep(classes, "classes")
 
     least = percent / (100 - percent)  # smaller sets have only equal ones as partners
-    shared = docs.sparkSession.sparkContext.broadcast(_levels(measured))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(_levels(measured))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, cut = shared.value
@@ -236,57 +282,68 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 3, percent: i
     reps = classes.where(F.col("n") >= least).select(F.col("rep").alias("doc_id")).distinct()
     signed_rows = texts.where("doc_id is not null").mapInArrow(signed, "doc_id long, signatures array<long>")
     signed_rows = store.keep(signed_rows.join(reps, "doc_id", "left_semi").select("doc_id", F.explode("signatures").alias("s")), "signatures")
-    leads = signed_rows.groupBy("s").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("s", "lead")
-    stars = signed_rows.join(leads, "s").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()
-    clusters = store.keep(components(stars, store).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster"), "clusters")
+    repeated = signed_rows.groupBy("s").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
+    cells = spark.sparkContext.broadcast(bitmap(repeated, "s", SIGNATURE_BITS))
+
+    def repeating(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(cells.value, batch.column(1).to_numpy(zero_copy_only=False), SIGNATURE_BITS)))
+
+    # Similar sets have similar sizes, so those of a signature meet by size: the sizes of two neighbouring
+    # bands together. A band is as wide as sizes of similar sets may differ.
+    size_of = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
+    band = F.floor(F.log(F.col("n").cast("double")) / (np.log(100 / percent) * 1.0001))
+    in_bands = signed_rows.mapInArrow(repeating, "doc_id long, s long").join(size_of, "doc_id")
+    in_bands = in_bands.select("doc_id", "s", F.explode(F.array(band, band + 1)).alias("band"))
+    leads = in_bands.groupBy("s", "band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last"), F.count("*").alias("m")).where("lead < last").drop("last")
+    found = store.keep(in_bands.join(leads, ["s", "band"]), "candidates")
+    in_large = found.where((F.col("m") > SMALL_BUCKET) & (F.col("doc_id") != F.col("lead"))).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
+    counts = classes.select(F.col("rep").alias("doc_id"), "n", "counts")
+    small = found.where(F.col("m") <= SMALL_BUCKET).join(counts, "doc_id").groupBy("s", "band").agg(F.collect_list(F.struct("doc_id", "n", "counts")).alias("bucket"))
+    stars = in_large.union(small.select("bucket").mapInArrow(lambda b: _compare(b, percent), "a long, b long")).distinct()
+    clusters = components(stars, store).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
+    clusters = store.keep(clusters.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("size")), "doc_id"), "clusters")
+    parts = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS), F.lit(1)).cast("long")
+    placed = clusters.join(clusters.groupBy("cluster").agg(parts.alias("chunks")), "cluster")
+    placed = placed.select("doc_id", "cluster", "chunks", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"))
 
     # Sets of the clustered documents only: a bitmap of bounded size spares the others the work.
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-    bits = clusters.select((cell + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    bitmap = np.zeros(BITMAP // 8, np.uint8)
-    for row in bits.collect():  # at most BITMAP / 32768 rows of 4 kB
-        bitmap[(row["at"] - 1) * 4096 : row["at"] * 4096] = np.frombuffer(row["bits"], np.uint8)
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
+    wanted = spark.sparkContext.broadcast(bitmap(clusters.select(F.xxhash64("doc_id").alias("h")), "h", ID_BITS))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            taken = batch.filter(pa.array((wanted.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            taken = batch.filter(pa.array(in_bitmap(wanted.value, batch.column(2).to_numpy(zero_copy_only=False), ID_BITS)))
             found = [(doc, ngrams(text, width)) for doc, text in zip(taken.column(0).to_pylist(), taken.column(1).to_pylist(), strict=True)]
-            found = [(doc, x) for doc, x in found if len(x) >= least]
-            columns = [[d for d, _ in found], [len(x) for _, x in found], [x.tobytes() for _, x in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "size", "grams"])
-
-    sets = texts.where("doc_id is not null").select("doc_id", "text", cell.alias("h")).mapInArrow(members, "doc_id long, size long, grams binary")
-    sizes = F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_GRAMS)
-    sets = sets.join(clusters, "doc_id")
-    sets = store.keep(sets, "sets")
-    chunks = sets.groupBy("cluster").agg(F.greatest(F.ceil(sizes), F.lit(1)).cast("long").alias("chunks"))
-    dealt = sets.join(chunks, "cluster")
-    blocks = store.keep(_blocks(dealt, ["cluster"], F.pmod(F.xxhash64("doc_id"), F.col("chunks"))), "blocks")
-    leading = blocks.where("chunk = 0").select("cluster", F.col("block").alias("leading"))
-    alone = blocks.select("cluster", "chunk", F.when(F.col("chunk") > 0, F.col("block")).alias("block"))
-    pairs = alone.join(leading, "cluster", "left").select("block", "leading")
-    lead_only = blocks.join(leading.select("cluster"), "cluster", "left_anti").select("block", F.lit(None).cast(blocks.schema["block"].dataType).alias("leading"))
-    edges = store.keep(pairs.union(lead_only).mapInArrow(lambda b: _verify(b, percent), "a long, b long"), "links")
+            found = [(doc, x.tobytes()) for doc, x in found if len(x) >= least]
+            columns = zip(*found, strict=True) if found else [[]] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.binary()), strict=True)], ["doc_id", "grams"])
+
+    sets = texts.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(members, "doc_id long, grams binary")
+    blocks = store.keep(_blocks(sets.join(placed, "doc_id"), ["cluster", "chunks"], F.col("chunk")), "blocks")
+    nothing = F.lit(None).cast(blocks.schema["block"].dataType).alias("leading")
+    alone = blocks.where("chunks = 1 or chunk = 0").select("block", nothing)
+    several = blocks.where("chunks > 1")
+    led = several.where("chunk > 0").join(several.where("chunk = 0").select("cluster", F.col("block").alias("leading")), "cluster", "left").select("block", "leading")
+    edges = store.keep(alone.union(led).mapInArrow(lambda b: _verify(b, percent), "a long, b long"), "links")
 
     # Clusters of several blocks that are still apart: whatever belongs to different components.
-    several = chunks.where("chunks > 1").select("cluster")
     if several.limit(1).count():
         joined = components(edges, store).withColumnRenamed("node", "doc_id")
-        apart = sets.join(several, "cluster", "left_semi").join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = store.keep(apart, "apart")
+        apart = several.select("cluster", F.inline("block")).withColumn("size", F.octet_length("grams") / 8)
+        apart = store.keep(apart.join(joined, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "apart")
         size = apart.groupBy("cluster", "component").agg(F.count("*").alias("many"), F.sum("size").alias("grams_in"))
-        open_ = size.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("many") < BLOCK_SETS, F.col("many")).otherwise(0)).alias("few"), F.sum(F.when(F.col("many") < BLOCK_SETS, F.col("grams_in")).otherwise(0)).alias("few_grams")).where("parts > 1")
-        placed = apart.join(size, ["cluster", "component"]).join(open_, "cluster")
         small = F.col("many") < BLOCK_SETS
+        open_ = size.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum(F.when(small, F.col("many"))).alias("few"), F.sum(F.when(small, F.col("grams_in"))).alias("few_grams")).where("parts > 1")
+        together = apart.join(size, ["cluster", "component"]).join(open_.drop("parts"), "cluster")
         parts = F.greatest(F.ceil(F.when(small, F.greatest(F.col("few") / BLOCK_SETS, F.col("few_grams") / BLOCK_GRAMS)).otherwise(F.greatest(F.col("many") / BLOCK_SETS, F.col("grams_in") / BLOCK_GRAMS))), F.lit(1)).cast("long")
-        placed = placed.withColumn("whole", F.when(small, F.lit(None)).otherwise(F.col("component"))).withColumn("parts", parts)
-        mixed = store.keep(_blocks(placed, ["cluster", "whole"], F.pmod(F.xxhash64(F.when(small, F.col("component")).otherwise(F.col("doc_id"))), F.col("parts"))), "mixed")
+        together = together.withColumn("whole", F.when(small, F.lit(None)).otherwise(F.col("component")))
+        dealt = F.pmod(F.xxhash64(F.when(small, F.col("component")).otherwise(F.col("doc_id"))), parts)
+        mixed = store.keep(_blocks(together, ["cluster", "whole"], dealt), "mixed")
         left, right = mixed.alias("l"), mixed.alias("r")
-        before = (F.coalesce("l.whole", F.lit(-1)) < F.coalesce("r.whole", F.lit(-1))) | (F.col("l.whole").isNull() & F.col("r.whole").isNull() & (F.col("l.chunk") <= F.col("r.chunk")))
+        both_mixed = F.col("l.whole").isNull() & F.col("r.whole").isNull()
+        before = (F.coalesce("l.whole", F.lit(-1)) < F.coalesce("r.whole", F.lit(-1))) | (both_mixed & (F.col("l.chunk") <= F.col("r.chunk")))
         others = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & before)
-        same = F.col("l.whole").isNull() & F.col("r.whole").isNull() & (F.col("l.chunk") == F.col("r.chunk"))
+        same = both_mixed & (F.col("l.chunk") == F.col("r.chunk"))
         others = others.select(F.col("l.block").alias("block"), F.when(~same, F.col("r.block")).alias("leading"))
         edges = edges.union(store.keep(others.mapInArrow(lambda b: _verify(b, percent), "a long, b long"), "more"))
 
