@@ -16,12 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Bytes of remembered pre-tokens beyond which a pre-token isn't remembered.
 LONG = 256
 
@@ -68,14 +69,17 @@ class RankQueue:
         return (a << 6) | ((word & -word).bit_length() - 1)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
 class Vocabulary:
     """Ranks of a vocabulary file, and the merge rank of each pair of token ids."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.bytes = dict(zip(self.ranks.values(), self.ranks.keys(), strict=True))
-        self.size = max(self.bytes, default=0) + 1
+        self.ranks = read_ranks(path)
+        self.size = max(self.ranks.values(), default=0) + 1
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
         self.pairs: dict[int, int] = {}  # left id * 2^32 + right id
         for token, rank in self.ranks.items():
@@ -179,17 +183,17 @@ class Encoder:
         return out
 
 
-def _groups(texts: list[str | None], size: int = 1 << 21) -> Iterator[list[str | None]]:
-    """Consecutive texts of about ``size`` characters together; a longer one is alone."""
-    group, held = [], 0
-    for x in texts:
-        if group and held + len(x or "") > size:
-            yield group
-            group, held = [], 0
-        group.append(x)
-        held += len(x or "")
-    if group:
-        yield group
+def _slices(batch: pa.RecordBatch, text: str, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of about ``size`` bytes of text together; a longer text is alone."""
+    first, held = 0, 0
+    lengths = pc.binary_length(batch.column(text)).to_pylist()
+    for i, n in enumerate(lengths):
+        if i > first and held + (n or 0) > size:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n or 0
+    if batch.num_rows:
+        yield batch.slice(first)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -202,7 +206,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
         for batch in batches:
-            yield _put(batch, text, ids, [v for g in _groups(batch.column(text).to_pylist()) for v in encoder(g)])
+            for part in _slices(batch, text):
+                yield _put(part, text, ids, encoder(part.column(text).to_pylist()))
 
     rest = [f for f in docs.schema.fields if f.name not in (text, ids)]
     return docs.drop(*({ids} - {text})).mapInArrow(run, _schema(docs, rest, ids))
@@ -214,7 +219,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", content: str = "conte
     An id that the vocabulary lacks fails the job; a null value gives no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _vocabulary(path).bytes
+        table = {rank: token for token, rank in read_ranks(path).items()}
         for batch in batches:
             yield _put(batch, ids, content, [b"".join([table[x] for x in np.frombuffer(v or b"", "<u4").tolist()]) for v in batch.column(ids).to_pylist()])
 
