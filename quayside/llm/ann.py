@@ -28,6 +28,7 @@ LEAF_ROWS = 4096  # rows a leaf should hold; a fuller one is several blocks
 SAMPLE = 16_384
 LEAST_IN_NODE = 16
 RECALL = 0.97
+HELD = 1 << 19  # found rows that a task holds before it thins them out
 
 
 @dataclass
@@ -119,7 +120,7 @@ def fit(points: np.ndarray, rows: int, top: int, recall: float = RECALL, trees:
         np.add.at(steps, np.min([step[first[i] + filed[i, near]] for i in range(len(forest))], axis=0), 1)
     if not steps.sum():
         return forest, total
-    return forest, int(np.searchsorted(np.cumsum(steps) / steps.sum(), recall) )
+    return forest, int(np.searchsorted(np.cumsum(steps) / steps.sum(), recall))
 
 
 def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, recall: float = RECALL) -> DataFrame:
@@ -166,11 +167,22 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
     sought = vectors.blocks(rows.where("asked").select("vec_id", "v").distinct().mapInArrow(asked, kind), ["leaf"], ["vec_id", "v"], "sought", 512)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        waiting, n = [kept], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 sides = [batch.column(batch.schema.get_field_index(x)) for x in ("held", "sought")]
                 (ids, v), (asking, q) = [(np.asarray(vectors.column(x, i, "vec_id")), vectors.matrix(vectors.column(x, i, "v").to_pylist(), size)) for x in sides]
-                yield _best(ids, v, asking, q, top)
+                waiting.append(_best(ids, v, asking, q, top))
+                n += len(waiting[-1][0])
+                if n > HELD:  # a query's best rows of all leaves seen so far
+                    kept = _leading([np.concatenate(x) for x in zip(*waiting, strict=True)], top)
+                    waiting, n = [kept], 0
+                    if len(kept[0]) > HELD:
+                        yield _rows(kept)
+                        waiting = []
+        if waiting:
+            yield _rows(_leading([np.concatenate(x) for x in zip(*waiting, strict=True)], top))
 
     joined = held.join(sought, "leaf").select("held", "sought").mapInArrow(best, names)
     ranked = joined.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -178,22 +190,34 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
     return ranked.withColumn("rank", place).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-def _best(ids: np.ndarray, v: np.ndarray, asking: np.ndarray, q: np.ndarray, top: int) -> pa.RecordBatch:
+def _best(ids: np.ndarray, v: np.ndarray, asking: np.ndarray, q: np.ndarray, top: int) -> list[np.ndarray]:
     """Each query's best rows of a block, by exact products; products that may tie stay in until then."""
     rough = q @ v.T
     rough[asking[:, None] == ids[None, :]] = -np.inf
-    out = []
+    owner, near = [], []
     for k in range(len(asking)):
-        if len(ids) > top:
-            least = np.partition(rough[k], -top)[-top]
-            near = np.flatnonzero(rough[k] >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else rough[k] > -np.inf)
-        else:
-            near = np.flatnonzero(rough[k] > -np.inf)
-        exact = (v[near] * q[k]).sum(axis=1)
-        order = np.lexsort((ids[near], -exact))
-        # several vectors of one id may be among them, so ids are counted
-        _, first = np.unique(ids[near][order], return_index=True)
-        order = order[np.sort(first)[:top]]
-        out.append((np.full(len(order), asking[k]), ids[near][order], exact[order]))
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
-    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+        least = np.partition(rough[k], -top)[-top] if len(ids) > top else -np.inf
+        near.append(np.flatnonzero(rough[k] >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else rough[k] > -np.inf))
+        owner.append(np.full(len(near[-1]), k))
+    owner, near = np.concatenate(owner), np.concatenate(near)
+    exact = np.concatenate([(v[near[k : k + 65536]] * q[owner[k : k + 65536]]).sum(axis=1) for k in range(0, len(near), 65536)] or [np.zeros(0)])
+    return _leading([asking[owner], ids[near], exact], top)
+
+
+def _leading(rows: list[np.ndarray], top: int) -> list[np.ndarray]:
+    """The best ``top`` ids of each query, an id with its best score."""
+    asked, ids, score = rows
+    order = np.lexsort((-score, ids, asked))
+    asked, ids, score = asked[order], ids[order], score[order]
+    new = np.ones(len(asked), bool)
+    new[1:] = (asked[1:] != asked[:-1]) | (ids[1:] != ids[:-1])
+    asked, ids, score = asked[new], ids[new], score[new]
+    order = np.lexsort((ids, -score, asked))
+    asked, ids, score = asked[order], ids[order], score[order]
+    first = np.searchsorted(asked, asked)  # where each query's rows begin
+    kept = np.arange(len(asked)) - first < top
+    return [asked[kept], ids[kept], score[kept]]
+
+
+def _rows(rows: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])

@@ -90,7 +90,7 @@ class Forest:
         return True
 
 
-def _thin(batches: Iterator[pa.RecordBatch], limit: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def thin(batches: Iterator[pa.RecordBatch], limit: int = 1 << 17) -> Iterator[pa.RecordBatch]:
     """Edges that connect the same vertices as those read; at most ``limit`` are held at a time."""
     forest, kept = Forest(), []
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -112,7 +112,7 @@ def components(edges: DataFrame, store: Store, rounds: int = 40) -> DataFrame:
     pair = (
         edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
         .where("a is not null and b is not null and a <> b")
-        .mapInArrow(_thin, "a long, b long")
+        .mapInArrow(thin, "a long, b long")
     )
     pair = store.keep(pair.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges-0")
     before = None

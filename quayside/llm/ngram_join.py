@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
-from quayside.llm.common import Store, bitmap, components, in_bitmap, words
+from quayside.llm.common import Store, bitmap, components, in_bitmap, thin, words
 
 CELL_BITS, SLICE_BITS = 22, 16  # cells of the count, and cells that one row of it holds
 GROUPS = 8
@@ -300,7 +300,7 @@ def jaccard_components(docs: DataFrame, store: Store, width: int = 3, percent: i
     in_large = found.where((F.col("m") > SMALL_BUCKET) & (F.col("doc_id") != F.col("lead"))).select(F.col("doc_id").alias("a"), F.col("lead").alias("b"))
     counts = classes.select(F.col("rep").alias("doc_id"), "n", "counts")
     small = found.where(F.col("m") <= SMALL_BUCKET).join(counts, "doc_id").groupBy("s", "band").agg(F.collect_list(F.struct("doc_id", "n", "counts")).alias("bucket"))
-    stars = in_large.union(small.select("bucket").mapInArrow(lambda b: _compare(b, percent), "a long, b long")).distinct()
+    stars = in_large.union(small.select("bucket").mapInArrow(lambda b: thin(_compare(b, percent)), "a long, b long")).distinct()
     clusters = components(stars, store).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "cluster")
     clusters = store.keep(clusters.join(classes.groupBy(F.col("rep").alias("doc_id")).agg(F.sum("n").alias("size")), "doc_id"), "clusters")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS), F.lit(1)).cast("long")
