@@ -154,6 +154,19 @@ def test_repeats_cover_every_common_run(spark, store):
     assert all(places <= covered[i] for i, places in brute_repeats(rows, 50).items())
 
 
+@pytest.mark.parametrize("copies", [40, 600])
+def test_a_repeat_is_found_whose_parts_are_frequent(spark, store, copies):
+    """On both sides of HOT occurrences of a part."""
+    a, b = prose(81, 25), prose(82, 25)
+    rows = [(k, f"{prose(1000 + k, 30)} {(a, b)[k % 2]} {prose(9000 + k, 30)}") for k in range(2 * copies)]
+    rows += [(k, f"{prose(2000 + k, 30)} {a} {b} {prose(8000 + k, 30)}") for k in (5000, 6000)]
+    rows += [(k, f"{prose(1000 + k, 30)} {(a, b)[k % 2]} {prose(9000 + k, 30)}") for k in range(10_000, 10_000 + 2 * copies)]
+    covered = {i: set() for i, _ in rows}
+    for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), store).collect():
+        covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert covered == brute_repeats(rows, 45) and covered[6000] == set(range(30, 80))
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs, store):
     got = substring.repeats(odd_docs, store).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(8, 7)}
