@@ -1,5 +1,7 @@
 """Operators 4 and 6 against brute force on small tables."""
 
+import random
+
 import numpy as np
 import pytest
 from helpers import SF, clashing, prose, rows_of
@@ -167,6 +169,32 @@ def test_a_repeat_is_found_whose_parts_are_frequent(spark, store, copies):
     assert covered == brute_repeats(rows, 45) and covered[6000] == set(range(30, 80))
 
 
+def changed_every(words_, step, seed, kind="changed"):
+    """Every ``step``-th word changed, from a place that the seed draws; or random ones, one in ``step``."""
+    order = random.Random(seed)
+    at = order.randrange(step)
+    hit = [order.random() < 1 / step for _ in words_] if kind == "random" else [k % step == at for k in range(len(words_))]
+    return [f"new{seed}x{k}" if hit[k] else w for k, w in enumerate(words_)]
+
+
+@pytest.mark.parametrize("kind, least", [("changed", {12: 1, 10: 1, 8: 1, 7: 1, 6: 1, 5: 1}), ("random", {12: 0.99, 10: 0.99, 8: 0.98, 7: 0.97, 6: 0.97, 5: 0.95})])
+def test_recall_of_fuzzy_repeats(spark, store, kind, least):
+    """Passages of 60 words, of those that are still similar enough: how many are found, by distance of changes."""
+    rows, due = [], {}
+    for step in least:
+        for k in range(100):
+            a = prose(step * 1000 + k, 60, 4000).split()
+            b = changed_every(a, step, step * 1000 + k, kind)
+            i = 2 * (step * 1000 + k)
+            rows += [(i, f"{prose(i, 30, 4000)} {' '.join(a)} {prose(i + 50_000, 30, 4000)}"), (i + 1, f"{prose(i + 100_000, 30, 4000)} {' '.join(b)} {prose(i + 150_000, 30, 4000)}")]
+            if sum(x == y for x, y in zip(a, b)) >= 0.8 * 60:
+                due.setdefault(step, set()).add(i + 1)
+    got = {r["doc_id"] for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), store).collect()}
+    recall = {step: len(ids & got) / len(ids) for step, ids in due.items()}
+    print(kind, {s: (round(x, 3), len(due[s])) for s, x in recall.items()})
+    assert all(recall[step] >= x for step, x in least.items())
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs, store):
     got = substring.repeats(odd_docs, store).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(8, 7)}
