@@ -133,7 +133,8 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
     An empty table gives none; with fewer candidates a query gets them all. Other columns are dropped."""
     good = table.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & vectors.usable("embedding"))
     size = vectors.usual_size(good, "embedding")
-    rows = store.keep(vectors.packed(good.where(F.size("embedding") == size), "embedding"), "vectors")
+    rows = vectors.packed(good.where(F.size("embedding") == size), "embedding")
+    rows = store.keep(rows.groupBy("vec_id", "v").agg(F.max("asked").alias("asked")), "vectors")
     names = "query_id long, vec_id long, score double"
     n = rows.count()
     if not n:
@@ -164,7 +165,7 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
 
     kind = "leaf long, vec_id long, v binary"
     held = vectors.blocks(rows.select("vec_id", "v").mapInArrow(filed, kind), ["leaf"], ["vec_id", "v"], "held", LEAF_ROWS)
-    sought = vectors.blocks(rows.where("asked").select("vec_id", "v").distinct().mapInArrow(asked, kind), ["leaf"], ["vec_id", "v"], "sought", 512)
+    sought = vectors.blocks(rows.where("asked").select("vec_id", "v").mapInArrow(asked, kind), ["leaf"], ["vec_id", "v"], "sought", 512)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
@@ -191,12 +192,15 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
 
 
 def _best(ids: np.ndarray, v: np.ndarray, asking: np.ndarray, q: np.ndarray, top: int) -> list[np.ndarray]:
-    """Each query's best rows of a block, by exact products; products that may tie stay in until then."""
+    """Rows of each query's best ids of a block, by exact products; products that may tie stay in until then."""
     rough = q @ v.T
     rough[asking[:, None] == ids[None, :]] = -np.inf
+    order = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+    of_ids = rough if len(starts) == len(ids) else np.maximum.reduceat(rough[:, order], starts, axis=1)
     owner, near = [], []
     for k in range(len(asking)):
-        least = np.partition(rough[k], -top)[-top] if len(ids) > top else -np.inf
+        least = np.partition(of_ids[k], -top)[-top] if len(starts) > top else -np.inf
         near.append(np.flatnonzero(rough[k] >= least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else rough[k] > -np.inf))
         owner.append(np.full(len(near[-1]), k))
     owner, near = np.concatenate(owner), np.concatenate(near)

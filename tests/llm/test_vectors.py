@@ -53,6 +53,25 @@ def test_search(spark, store, monkeypatch, n):
     assert found / sum(map(len, want.values())) >= 0.9
 
 
+@pytest.mark.parametrize("vectors_of_an_id", [1, 3, 40])
+def test_search_counts_ids_not_rows(spark, store, vectors_of_an_id):
+    """Every row twice, and one id with several vectors near all queries."""
+    order = np.random.default_rng(4)
+    rows = [(k, order.normal(size=8)) for k in range(60)]
+    rows += [(60, rows[0][1] * (2 + k / 100)) for k in range(vectors_of_an_id)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in rows * 2], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") < 10, store).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in range(10):
+        best = {}
+        for k, v in rows:
+            if k != q:
+                best[k] = max(best.get(k, -INF), float(rows[q][1] @ v))
+        want = sorted(best, key=lambda k: (-best[k], k))[:20]
+        assert [got[q][i + 1][0] for i in range(20)] == want
+
+
 def test_search_of_no_rows(spark, store):
     assert rows_of(ann.search(table(spark, []), F.col("vec_id") % 20 == 0, store)) == []
     assert rows_of(ann.search(table(spark, [], odd=[]), F.col("vec_id") % 20 == 0, store)) == []
