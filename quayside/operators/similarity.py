@@ -22,6 +22,7 @@ from quayside.session import shared_dir
 CANDIDATES = 20
 BLOCK = 4096  # queries per broadcast matrix: 12 MB at 384 dimensions
 FITTED = 20_000
+RECALL, ASKED = 0.95, 512  # recall that the number of probes is chosen for, and sample queries it is measured on
 DIGITS = 9  # scores that agree this far are ties, decided by id
 
 
@@ -138,13 +139,29 @@ def vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CAN
         _scan(vectors, key, embedding, ids, matrix, k), key, k))
 
 
+def _probes(points: np.ndarray, cell: np.ndarray, centres: np.ndarray, k: int, seed: int) -> int:
+    """How many cells to read for ``RECALL`` of the ``k`` nearest of some of the points among the others."""
+    asked = np.random.default_rng(seed).permutation(len(points))[:ASKED]
+    steps = np.zeros(len(centres) + 1)
+    for q in asked:
+        score = points @ points[q]
+        score[q] = -np.inf
+        near = np.argsort(-score, kind="stable")[: min(k, len(points) - 1)]
+        place = np.empty(len(centres), np.int64)
+        place[np.argsort(-(centres @ points[q]), kind="stable")] = np.arange(len(centres))
+        np.add.at(steps, place[cell[near]] + 1, 1)
+    if not steps.sum():
+        return len(centres)
+    return int(np.searchsorted(np.cumsum(steps) / steps.sum(), RECALL))
+
+
 def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CANDIDATES, *, cells: int | None = None,
                          probes: int | None = None, query: str = "query", embedding: str = "embedding", seed: int = 7,
                          block: int = BLOCK) -> DataFrame:
     """Approximate: vectors are stored by cell, and a query reads its nearest cells only.
 
-    Without ``cells`` there are as many as the root of the number of vectors; without ``probes`` a quarter
-    of them is read. With ``probes`` equal to ``cells`` the result is exact. The cells' centres are
+    Without ``cells`` there are as many as the root of the number of vectors; without ``probes`` so many of them are
+    read that sample queries find ``RECALL`` of their true neighbours among the sample. With ``probes`` equal to ``cells`` the result is exact. The cells' centres are
     fitted to at most ``FITTED`` vectors, those of the lowest hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
@@ -153,7 +170,6 @@ def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: in
     unit = Normalizer(inputCol="_v", outputCol="_u", p=2.0)
     usable = vectors.filter(F.col(embedding).isNotNull()).select(key, embedding)
     cells = cells or max(1, round(usable.count() ** 0.5))
-    probes = probes or -(-cells // 4)
     points = unit.transform(usable.withColumn("_v", array_to_vector(embedding))).drop("_v")
     fitted = points.orderBy(F.xxhash64(key), key).limit(FITTED)
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="_u", predictionCol="cell").fit(fitted)
@@ -161,6 +177,9 @@ def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: in
     model.transform(points).drop("_u").repartition("cell", F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy("cell").parquet(folder)
     placed = vectors.sparkSession.read.parquet(folder)
     centres = _unit(np.array(model.clusterCenters()))
+    if not probes:
+        sampled = model.transform(fitted).select("cell", "_u").collect()
+        probes = _probes(np.array([r["_u"].toArray() for r in sampled]), np.array([r["cell"] for r in sampled]), centres, k, seed)
 
     def search(ids: list[str], matrix: np.ndarray) -> DataFrame:
         probed = np.argsort(-(_unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes]
