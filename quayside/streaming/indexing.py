@@ -18,6 +18,7 @@ from quayside.operators.corpus import NO_READABLE_TEXT
 from quayside.operators.quality import checksum
 from quayside.session import spread
 
+NO_ID = "This document has no id."
 SUPERSEDED = "A later version of this document came in the same batch."
 DOCUMENTS = "document_id bigint, checksum string, status string, error string, chunk_count int, batch bigint"
 CHUNKS = (
@@ -43,14 +44,20 @@ class DocumentIndex:
         """Index (document_id, text, reindex[, sent]) rows; usable as a foreachBatch sink.
 
         Of several versions of a document in a batch the last by ``sent`` counts (of equal ones that of the
-        largest checksum), the others are recorded as superseded; equal rows count once."""
+        largest checksum), the others are recorded as superseded. Equal texts of a document are one version, sent
+        when the last of them was, and re-indexed if any of them asks for it. Null texts and rows without an id
+        are recorded as failed."""
         stored = self._stored("documents", DOCUMENTS).filter(F.col("batch") != batch_id)
         sent = F.col("sent") if "sent" in batch.columns else F.lit(0)
         rows = spread(batch, "document_id").select("document_id", "text", "reindex", sent.alias("sent"), checksum(F.col("text")).alias("checksum"))
-        rows = rows.dropDuplicates(["document_id", "checksum"])
+        rows = rows.groupBy("document_id", "checksum").agg(F.first("text").alias("text"), F.max("reindex").alias("reindex"), F.max("sent").alias("sent"))
+        nameless = rows.filter("document_id is null")
+        rows = rows.filter("document_id is not null")
         last = rows.groupBy("document_id").agg(F.max_by("checksum", F.struct("sent", "checksum")).alias("checksum"))
-        files = rows.join(last, ["document_id", "checksum"], "left_semi")
-        older = rows.select("document_id", "checksum").join(last, ["document_id", "checksum"], "left_anti")
+        newest = last.select(F.col("document_id").alias("_id"), F.col("checksum").alias("_checksum"))
+        is_last = (F.col("document_id") == F.col("_id")) & F.col("checksum").eqNullSafe(F.col("_checksum"))
+        files = rows.join(newest, is_last, "left_semi")
+        older = rows.select("document_id", "checksum").join(newest, is_last, "left_anti")
         # The batch is the small side: the stored checksums are only scanned.
         known = stored.filter("status not in ('refused', 'superseded')").select("checksum", F.col("document_id").alias("owner"))
         known = known.join(files.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("owner").alias("owner"))
@@ -64,19 +71,23 @@ class DocumentIndex:
         # side, so the texts stay spread over their partitions and meet the verdicts there.
         judged = files.join(verdicts, ["document_id", "checksum"], "left")
         chunks = F.when(~F.col("refused"), chunk_array(single_page(clean_text(F.col("text"))), self._size, self._overlap))
+        # A null text has no verdict: nothing is like it.
+        judged = judged.withColumn("refused", F.coalesce("refused", F.lit(False)))
         work = judged.select("document_id", "checksum", "refused", chunks.alias("chunks"))
         # Both outputs are written from one table, so the folds run once.
         staged = f"{self._folder}/staged/batch={batch_id}"
         work.write.mode("overwrite").parquet(staged)
         work = self._spark.read.schema(work.schema).parquet(staged)
-        found = F.size("chunks") > 0
+        found = F.coalesce(F.size("chunks") > 0, F.lit(False))
         work.select(
             "document_id", "checksum",
             F.when(F.col("refused"), "refused").when(found, "indexed").otherwise("failed").alias("status"),
             F.when(F.col("refused"), "This file is already in the knowledge base.").when(~found, NO_READABLE_TEXT).alias("error"),
-            F.when(F.col("refused"), 0).otherwise(F.size("chunks")).alias("chunk_count"),
+            F.when(F.col("refused"), 0).when(found, F.size("chunks")).otherwise(0).alias("chunk_count"),
         ).unionByName(older.select(
             "document_id", "checksum", F.lit("superseded").alias("status"), F.lit(SUPERSEDED).alias("error"), F.lit(0).alias("chunk_count"),
+        )).unionByName(nameless.select(
+            "document_id", "checksum", F.lit("failed").alias("status"), F.lit(NO_ID).alias("error"), F.lit(0).alias("chunk_count"),
         )).write.mode("overwrite").parquet(f"{self._folder}/documents/batch={batch_id}")
         work.filter(~F.col("refused")).select("document_id", F.posexplode("chunks").alias("chunk_index", "c")).select(
             "document_id", "chunk_index", "c.content", "c.page", "c.section", token_estimate(F.col("c.content")).alias("token_estimate"),

@@ -97,3 +97,15 @@ def test_reindex_replaces(spark, tmp_path):
     index.process(spark.createDataFrame([(1, "New text.", True), (4, "Old text.", False)], schema), 1)
     assert [r["content"] for r in index.chunks().filter("document_id = 1").collect()] == ["New text."]
     assert {r["document_id"]: r["status"] for r in index.attempts().filter("batch = 1").collect()} == {1: "indexed", 4: "refused"}
+
+
+def test_last_version_of_a_batch_with_repeats_nulls_and_flags(spark, tmp_path):
+    schema = "document_id bigint, text string, reindex boolean, sent int"
+    index = DocumentIndex(spark, str(tmp_path / "versions"))
+    index.process(spark.createDataFrame([(2, "kept text", False, 1)], schema), 0)
+    rows = [(1, "text A", False, 1), (1, "text B", False, 2), (1, "text A", False, 3), (2, "kept text", False, 1), (2, "kept text", True, 1),
+            (3, None, False, 2), (3, "older", False, 1), (None, "nobody's", False, 1)]
+    index.process(spark.createDataFrame(rows, schema).repartition(3), 1)
+    got = {(r["document_id"], r["status"], r["chunk_count"]) for r in index.attempts().filter("batch = 1").collect()}
+    assert got == {(1, "indexed", 1), (1, "superseded", 0), (2, "indexed", 1), (3, "failed", 0), (3, "superseded", 0), (None, "failed", 0)}
+    assert {(r["document_id"], r["content"]) for r in index.chunks().collect()} == {(1, "text A"), (2, "kept text")}
