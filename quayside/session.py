@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
@@ -47,18 +48,22 @@ def local_session(cpus: str | int = "*", memory: str = "8g", **conf: str) -> Spa
     return tune(spark)
 
 
+_own_folders: dict[str, str] = {}  # by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where a session names none (tests on one machine) is a local folder made."""
+    Only where a session on one machine names none (tests) is a local folder made, one for each application."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="quayside-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own_folders:
+        _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="quayside-")
+    return _own_folders[context.applicationId]
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:

@@ -12,7 +12,7 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
 
 import __spark_entry__ as entry  # noqa: E402
 from check import kind, norm  # noqa: E402
-from conftest import SF  # noqa: E402
+from paths import SF  # noqa: E402
 from quayside.plans import load_all  # noqa: E402
 from quayside.sources.tables import SCHEMAS  # noqa: E402
 
