@@ -142,3 +142,89 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from quayside.llm.common import Store
 
     return substring.repeats(table(spark, folder, "documents"), Store(spark, "substring"))
+
+
+@query("op13_sharding")
+def sharding_of_documents(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import sharding
+    from quayside.llm.common import Store
+
+    return sharding.shard_documents(table(spark, folder, "documents"), Store(spark, "sharding"))
+
+
+def _centroid_sql(clusters: int = 8, rounds: int = 10) -> str:
+    """Each round is an assignment of all vectors and the means of the clusters, in whole numbers."""
+    assign = """
+a{r} AS MATERIALIZED (
+  SELECT v.row, arg_min(k.c, k.d * 16 + k.c) AS c, min(k.d) AS d FROM (
+    SELECT v.row, c.c, list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT AS d FROM v, c{r} c
+  ) k JOIN v USING (row) GROUP BY v.row
+)"""
+    means = """
+s{r} AS MATERIALIZED (
+  SELECT a.c, i.i, sum(v.e[i.i]) AS s, count(*) AS n FROM a{r} a JOIN v USING (row), range(1, 65) i(i) GROUP BY a.c, i.i
+), c{n} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.e, c.e) AS e FROM c{r} c
+  LEFT JOIN (SELECT c, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS e FROM s{r} GROUP BY c) m USING (c)
+)"""
+    parts = ["""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)""", f"""
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1)::INTEGER AS c, e FROM v WHERE vec_id IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= {clusters}
+)"""]
+    for r in range(rounds):
+        parts += [assign.format(r=r), means.format(r=r, n=r + 1)]
+    parts.append(assign.format(r=rounds))
+    return "WITH " + ",".join(parts) + f"""
+SELECT v.vec_id, a.c AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+  (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c USING (c)"""
+
+
+@query("op11_centroid_clustering", _centroid_sql())
+def centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import centroids
+    from quayside.llm.common import Store
+
+    return centroids.digest(centroids.cluster(table(spark, folder, "embeddings"), Store(spark, "centroids")))
+
+
+@query("op12_source_divergence", r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS MATERIALIZED (SELECT doc, lang, source, term, count(*) AS n FROM (SELECT doc, lang, source, unnest(terms) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS c FROM t GROUP BY lang, term HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+groups AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, sum(n) AS c FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+of_groups AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0)::HUGEINT + 1)) // (coalesce(o.n, 0) + l.v) AS p,
+    1 + (1000000000 * (k.c::HUGEINT + 1)) // (l.n + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN of_groups o USING (lang, source) LEFT JOIN counts c USING (lang, source, term)
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // q AS value FROM p WHERE c > 0 AND p > q
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(any_value(f.value), 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source, b.source AS other, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+  GROUP BY a.lang, a.source, b.source
+), both_parts AS (SELECT * FROM term UNION ALL SELECT * FROM pair)
+SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER w)::INTEGER AS rank FROM both_parts
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item)
+QUALIFY part = 'pair' OR row_number() OVER w <= 200
+""")
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    from quayside.llm import divergence
+    from quayside.llm.common import Store
+
+    return divergence.audit(table(spark, folder, "documents"), Store(spark, "divergence"))
