@@ -24,6 +24,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+SCAN_BLOCK = 128
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], Column], emits: str,
+         finish: Callable[[Column, Column], Column]) -> Column:
+    """Walk through an array with a state of bounded size, emitting one value (or null) an element.
+
+    ``step(state, item)`` gives ``struct(state, emit)``, ``finish(state, emitted)`` the result. A fold that
+    appends to its accumulator copies it at every step; here only a block's values are copied, and the blocks
+    are joined once at the end, so the time grows with the array's length."""
+    none, no_blocks = F.array().cast(f"array<{emits}>"), F.array().cast(f"array<array<{emits}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return let(step(acc["state"], item), lambda s: F.struct(
+            s["state"].alias("state"), F.array_append(acc["out"], s["emit"]).alias("out")))
+
+    def over(whole: Column) -> Column:
+        def block(acc: Column, at: Column) -> Column:
+            walked = F.aggregate(F.slice(whole, at, SCAN_BLOCK), F.struct(acc["state"].alias("state"), none.alias("out")), one)
+            return let(walked, lambda w: F.struct(w["state"].alias("state"), F.array_append(acc["out"], w["out"]).alias("out")))
+
+        starts = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole), F.lit(SCAN_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(starts, F.struct(state.alias("state"), no_blocks.alias("out")), block,
+                           lambda acc: finish(acc["state"], F.flatten(acc["out"])))
+
+    return let(items, over)
+
+
 def strip(text: Column) -> Column:
     """Remove white space at both ends (``trim`` knows the plain blank only)."""
     return F.regexp_replace(text, rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")

@@ -1,15 +1,15 @@
 """Section-aware chunking, wholly inside each document's row.
 
-A document is one row (its pages an array), so headings, wrapped lines, sentences and
-the greedy packing are folds over arrays of that row: no shuffle, no Python, and any
-number of documents in parallel. Only the finished chunks become rows."""
+A document is one row (its pages an array). Lines, sections, pieces and chunks are each one walk over an array of that
+row with a small state (the open line, section or chunk): no shuffle, no Python, time in proportion
+to the text, and any number of documents in parallel. Only the finished chunks become rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quayside.functions.text import SPACE, let, strip
+from quayside.functions.text import SPACE, let, scan, strip
 
 CHUNK_SIZE, OVERLAP = 900, 150
 # What a heading looks like.
@@ -22,7 +22,7 @@ SMALL_WORDS = "a an and as at by for in of on or the to vs with per not".split()
 SENTENCE_END = rf"(?U)(?=[{SPACE}])(?<=[.!?।])[{SPACE}]+"
 MARKDOWN_HEADING = rf"(?U)^#{{1,6}}[{SPACE}]+([^\n]+?)[{SPACE}]*#*$"
 
-CHUNK = "array<struct<content:string,page:int,section:string>>"
+CHUNK_FIELDS = "struct<content:string,page:int,section:string>"
 
 
 def no_text() -> Column:
@@ -67,24 +67,34 @@ def text_lines(text: Column) -> Column:
 def merge_wrapped_lines(lines: Column) -> Column:
     """Join a line to the previous one where the layout broke a sentence.
 
-    The test looks at the line as merged so far, hence a fold."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), no_text().alias("last"))
+    The test looks at the line as merged so far, of which the state keeps as much as a heading may have,
+    and the last character. The lines themselves are joined once, when it is known where each begins."""
+    nothing = F.struct(no_text().alias("head"), no_text().alias("end"))
 
-    def step(acc: Column, line: Column) -> Column:
-        last = acc["last"]
-        continues = (
-            last.isNotNull() & F.substring(line, 1, 3).rlike(r"^(?:\p{Ll}|\p{Nd}(?!\. ))")
-            & ~F.lit(TERMINAL).contains(F.right(last, F.lit(1))) & ~heading_shape(last)
-        )
-        joined = F.struct(acc["done"].alias("done"), F.concat(last, F.lit(" "), line).alias("last"))
-        started = F.struct(
-            F.when(last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"),
-            line.alias("last"))
-        return F.when(F.coalesce(continues, F.lit(False)), joined).otherwise(started)
+    def step(state: Column, line: Column) -> Column:
+        head = state["head"]
+        continues = F.coalesce(
+            head.isNotNull() & F.substring(line, 1, 3).rlike(r"^(?:\p{Ll}|\p{Nd}(?!\. ))")
+            & ~F.lit(TERMINAL).contains(state["end"]) & ~heading_shape(head), F.lit(False))
+
+        def moved(goes_on: Column) -> Column:
+            merged = F.when(goes_on, F.concat(head, F.lit(" "), line)).otherwise(line)
+            opened = F.struct(F.substring(merged, 1, HEADING_CHARS + 1).alias("head"), F.right(line, F.lit(1)).alias("end"))
+            return F.struct(opened.alias("state"), (~goes_on).alias("emit"))
+
+        return let(continues, moved)
+
+    def joined(whole: Column) -> Column:
+        def between(starts: Column) -> Column:
+            return F.transform(starts, lambda start, k: F.array_join(
+                F.slice(whole, start, F.coalesce(F.get(starts, k + 1), F.size(whole) + 1) - start), " "))
 
-    return F.aggregate(
-        lines, empty, step,
-        lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"])))
+        def begins(_: Column, flags: Column) -> Column:
+            return F.filter(F.transform(flags, lambda flag, i: F.when(flag, i + 1)), lambda i: i.isNotNull())
+
+        return let(scan(whole, nothing, step, "boolean", begins), between)
+
+    return let(lines, joined)
 
 
 def page_units(text: Column, markdown: bool) -> Column:
@@ -110,24 +120,24 @@ def sectionise(pages: Column, markdown: bool = False, title: Column | None = Non
     units = F.flatten(F.transform(pages, lambda p: F.transform(
         page_units(p["text"], markdown),
         lambda u: F.struct(u.alias("text"), p["page"].cast("int").alias("page"), _heading_of(u, markdown).alias("heading")))))
-    blocks = F.array().cast("array<struct<text:string,page:int,section:string>>")
-    empty = F.struct(no_text().alias("section"), blocks.alias("blocks"))
-
-    def add(acc: Column, text: Column, unit: Column, section: Column) -> Column:
-        block = F.struct(text.alias("text"), unit["page"].alias("page"), section.alias("section"))
-        return F.array_append(acc["blocks"], block)
 
-    def step(acc: Column, unit: Column) -> Column:
+    def step(section: Column, unit: Column) -> Column:
         heading = unit["heading"]
-        is_title = acc["section"].isNull() & F.coalesce(F.lower(heading) == F.lower(title), F.lit(False))
-        section = F.substring(heading, 1, SECTION_CHARS)
+        is_title = section.isNull() & F.coalesce(F.lower(heading) == F.lower(title), F.lit(False))
+
+        def result(after: Column, text: Column) -> Column:
+            block = F.struct(text.alias("text"), unit["page"].alias("page"), after.alias("section"))
+            return F.struct(after.alias("state"), F.when(text != "", block).alias("emit"))
+
         rest = strip(F.regexp_replace(unit["text"], r"^[^\n]*\n?", ""))
-        plain = F.struct(acc["section"].alias("section"), add(acc, unit["text"], unit, acc["section"]).alias("blocks"))
-        opened = F.struct(section.alias("section"), F.when(rest == "", acc["blocks"]).otherwise(
-            add(acc, rest, unit, section)).alias("blocks"))
-        return F.when(heading.isNull(), plain).when(is_title, acc).otherwise(opened)
+        return (
+            F.when(heading.isNull(), result(section, unit["text"]))
+            .when(is_title, result(section, no_text()))
+            .otherwise(result(F.substring(heading, 1, SECTION_CHARS), rest))
+        )
 
-    return F.aggregate(units, empty, step, lambda acc: acc["blocks"])
+    return scan(units, no_text(), step, "struct<text:string,page:int,section:string>",
+                lambda _, blocks: F.filter(blocks, lambda b: b.isNotNull()))
 
 
 def _cut(sentence: Column, limit: int) -> Column:
@@ -140,27 +150,25 @@ def _cut(sentence: Column, limit: int) -> Column:
 
 def split_long(text: Column, limit: int) -> Column:
     """Pieces of at most ``limit`` characters, packed greedily from whole sentences."""
-    empty = F.struct(F.array().cast("array<string>").alias("pieces"), F.lit("").alias("current"))
+    none = F.array().cast("array<string>")
 
-    def put(acc: Column, sentence: Column) -> Column:
-        full = (acc["current"] != "") & (F.length(acc["current"]) + 1 + F.length(sentence) > limit)
-        return F.when(full, F.struct(F.array_append(acc["pieces"], acc["current"]).alias("pieces"), sentence.alias("current"))).otherwise(
-            F.struct(acc["pieces"].alias("pieces"), F.when(
-                (acc["current"] == "") | (sentence == ""), F.concat(acc["current"], sentence)).otherwise(
-                F.concat(acc["current"], F.lit(" "), sentence)).alias("current")))
+    def put(current: Column, ahead: Column, sentence: Column) -> Column:
+        """``ahead`` is emitted at once, before what is being packed."""
+        full = (current != "") & (F.length(current) + 1 + F.length(sentence) > limit)
+        longer = F.when((current == "") | (sentence == ""), F.concat(current, sentence)).otherwise(F.concat(current, F.lit(" "), sentence))
+        return F.when(full, F.struct(sentence.alias("state"), F.array_append(ahead, current).alias("emit"))).otherwise(
+            F.struct(longer.alias("state"), ahead.alias("emit")))
 
-    def step(acc: Column, sentence: Column) -> Column:
-        # Pieces cut from a giant sentence are emitted at once, before what is being packed.
+    def step(current: Column, sentence: Column) -> Column:
         def giant(parts: Column) -> Column:
-            cuts = F.slice(parts, 1, F.size(parts) - 1)
-            ahead = F.struct(F.concat(acc["pieces"], cuts).alias("pieces"), acc["current"].alias("current"))
-            return let(ahead, lambda a: put(a, F.element_at(parts, -1)))
+            return put(current, F.slice(parts, 1, F.size(parts) - 1), F.element_at(parts, -1))
+
+        return F.when(F.length(sentence) <= limit, put(current, none, sentence)).otherwise(let(_cut(sentence, limit), giant))
 
-        return F.when(F.length(sentence) <= limit, put(acc, sentence)).otherwise(let(_cut(sentence, limit), giant))
+    def finish(current: Column, pieces: Column) -> Column:
+        return F.concat(F.flatten(pieces), F.when(current == "", none).otherwise(F.array(current)))
 
-    packed = F.aggregate(
-        split_sentences(text), empty, step,
-        lambda acc: F.when(acc["current"] == "", acc["pieces"]).otherwise(F.array_append(acc["pieces"], acc["current"])))
+    packed = scan(split_sentences(text), F.lit(""), step, "array<string>", finish)
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
@@ -181,37 +189,35 @@ def overlap_tail(text: Column, overlap: int) -> Column:
 
 def pack(pieces: Column, size: int, overlap: int) -> Column:
     """Pieces (text, page, section) to chunks that never cross a page or section."""
-    empty = F.struct(
-        F.array().cast(CHUNK).alias("chunks"), no_text().alias("buffer"),
-        F.lit(None).cast("int").alias("page"), no_text().alias("section"))
+    empty = F.struct(no_text().alias("buffer"), F.lit(None).cast("int").alias("page"), no_text().alias("section"))
 
-    def flushed(acc: Column, content: Column) -> Column:
-        chunk = F.struct(content.alias("content"), acc["page"].alias("page"), acc["section"].alias("section"))
-        return F.when(content == "", acc["chunks"]).otherwise(F.array_append(acc["chunks"], chunk))
+    def chunk(state: Column, content: Column) -> Column:
+        return F.when(content != "", F.struct(content.alias("content"), state["page"].alias("page"), state["section"].alias("section")))
 
-    def step(acc: Column, piece: Column) -> Column:
-        buffer, text = acc["buffer"], piece["text"]
-        same = piece["page"].eqNullSafe(acc["page"]) & piece["section"].eqNullSafe(acc["section"])
+    def step(state: Column, piece: Column) -> Column:
+        buffer, text = state["buffer"], piece["text"]
+        same = piece["page"].eqNullSafe(state["page"]) & piece["section"].eqNullSafe(state["section"])
         full = F.length(buffer) + 1 + F.length(text) > size
 
-        def state(chunks: Column, kept: Column) -> Column:
+        def result(kept: Column, content: Column) -> Column:
             joined = F.when(kept.isNull(), text).otherwise(F.concat(kept, F.lit("\n"), text))
-            return F.struct(chunks.alias("chunks"), joined.alias("buffer"),
-                            piece["page"].alias("page"), piece["section"].alias("section"))
+            after = F.struct(joined.alias("buffer"), piece["page"].alias("page"), piece["section"].alias("section"))
+            return F.struct(after.alias("state"), chunk(state, content).alias("emit"))
 
         def carried(content: Column) -> Column:
-            return let(overlap_tail(content, overlap), lambda tail: state(
-                flushed(acc, content), F.when((tail != "") & (tail != content), tail)))
+            return let(overlap_tail(content, overlap), lambda tail: result(F.when((tail != "") & (tail != content), tail), content))
 
         return (
-            F.when(buffer.isNull(), state(acc["chunks"], no_text()))
-            .when(~same, state(flushed(acc, strip(buffer)), no_text()))
+            F.when(buffer.isNull(), result(no_text(), no_text()))
+            .when(~same, result(no_text(), strip(buffer)))
             .when(full, let(strip(buffer), carried))
-            .otherwise(state(acc["chunks"], buffer))
+            .otherwise(result(buffer, no_text()))
         )
 
-    return F.aggregate(pieces, empty, step, lambda acc: F.when(
-        acc["buffer"].isNull(), acc["chunks"]).otherwise(flushed(acc, strip(acc["buffer"]))))
+    def finish(state: Column, chunks: Column) -> Column:
+        return F.filter(F.array_append(chunks, chunk(state, strip(state["buffer"]))), lambda c: c.isNotNull())
+
+    return scan(pieces, empty, step, CHUNK_FIELDS, finish)
 
 
 def chunk_array(pages: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP,

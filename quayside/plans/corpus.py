@@ -98,24 +98,47 @@ def tail_sql(content: str, overlap: int) -> str:
 
 def chunks_sql(source: str, size: int = SIZE, overlap: int = OVERLAP) -> str:
     """CTEs from ``source(doc_id, text)`` (cleaned) to ``chunks`` of plain text without title."""
-    none = "CAST([] AS STRUCT(content VARCHAR, section VARCHAR)[])"
-    flush = "list_append(a.chunks, {'content': a.buffer, 'section': a.section})"
     return f"""
     src AS ({source}),
     units AS (SELECT doc_id, unnest(m) AS unit, generate_subscripts(m, 1) AS pos FROM (SELECT doc_id, {merged_sql(lines_sql('text'))} AS m FROM src)),
     marked AS (SELECT *, {heading_sql('unit')} AS is_heading FROM units),
     sections AS (SELECT *, last_value(CASE WHEN is_heading THEN substr(unit, 1, 300) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM marked),
-    blocks AS (SELECT doc_id, pos, section, unit AS text FROM sections WHERE NOT is_heading),
-    split AS (SELECT doc_id, pos, section, {split_sql('text', size)} AS p FROM blocks),
-    pieces AS (SELECT doc_id, section, pos, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM split),
-    lists AS (SELECT doc_id, list({{'chunks': {none}, 'buffer': piece, 'section': section}} ORDER BY pos, k) AS l FROM pieces GROUP BY doc_id),
+    blocks AS (SELECT doc_id, pos, CAST(NULL AS INTEGER) AS page, section, unit AS text FROM sections WHERE NOT is_heading),
+    {packed_sql(size, overlap)}"""
+
+
+def packed_sql(size: int = SIZE, overlap: int = OVERLAP) -> str:
+    """CTEs from ``blocks(doc_id, pos, page, section, text)`` to ``chunks``."""
+    none = "CAST([] AS STRUCT(content VARCHAR, page INTEGER, section VARCHAR)[])"
+    flush = "list_append(a.chunks, {'content': a.buffer, 'page': a.page, 'section': a.section})"
+    return f"""split AS (SELECT doc_id, pos, page, section, {split_sql('text', size)} AS p FROM blocks),
+    pieces AS (SELECT doc_id, page, section, pos, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM split),
+    lists AS (SELECT doc_id, list({{'chunks': {none}, 'buffer': piece, 'page': page, 'section': section}} ORDER BY pos, k) AS l FROM pieces GROUP BY doc_id),
     folded AS (SELECT doc_id, list_reduce(l, lambda a, x:
-      CASE WHEN a.section IS DISTINCT FROM x.section THEN {{'chunks': {flush}, 'buffer': x.buffer, 'section': x.section}}
+      CASE WHEN a.section IS DISTINCT FROM x.section OR a.page IS DISTINCT FROM x.page THEN {{'chunks': {flush}, 'buffer': x.buffer, 'page': x.page, 'section': x.section}}
       WHEN length(a.buffer) + 1 + length(x.buffer) > {size} THEN
-        {{'chunks': {flush}, 'buffer': CASE WHEN {tail_sql('a.buffer', overlap)} IN ('', a.buffer) THEN x.buffer ELSE {tail_sql('a.buffer', overlap)} || chr(10) || x.buffer END, 'section': x.section}}
-      ELSE {{'chunks': a.chunks, 'buffer': a.buffer || chr(10) || x.buffer, 'section': x.section}} END) AS a FROM lists),
+        {{'chunks': {flush}, 'buffer': CASE WHEN {tail_sql('a.buffer', overlap)} IN ('', a.buffer) THEN x.buffer ELSE {tail_sql('a.buffer', overlap)} || chr(10) || x.buffer END, 'page': x.page, 'section': x.section}}
+      ELSE {{'chunks': a.chunks, 'buffer': a.buffer || chr(10) || x.buffer, 'page': x.page, 'section': x.section}} END) AS a FROM lists),
     arrays AS (SELECT doc_id, {flush} AS c FROM folded),
-    chunks AS (SELECT doc_id, CAST(unnest(generate_series(0, len(c) - 1)) AS INTEGER) AS chunk_index, unnest(c).content AS content, unnest(c).section AS section FROM arrays)"""
+    chunks AS (SELECT doc_id, CAST(unnest(generate_series(0, len(c) - 1)) AS INTEGER) AS chunk_index, unnest(c).content AS content, unnest(c).page AS page, unnest(c).section AS section FROM arrays)"""
+
+
+def paged_sql(source: str, markdown: bool) -> str:
+    """CTEs from ``source(doc_id, title, page, text)``, a row a page, to ``blocks``."""
+    if markdown:
+        units = f"list_filter(list_transform(regexp_split_to_array(text, '\n[{SPACE_RE2}]*\n'), lambda u: {strip_sql('u')}), lambda u: u <> '')"
+        found = strip_sql(f"regexp_extract(split_part(unit, chr(10), 1), '^#{{1,6}}[{SPACE_RE2}]+([^\n]+?)[{SPACE_RE2}]*#*$', 1)")
+    else:
+        units, found = merged_sql(lines_sql("text")), f"CASE WHEN {heading_sql('unit')} THEN unit ELSE '' END"
+    return f"""
+    src AS ({source}),
+    units AS (SELECT doc_id, title, page, unnest(m) AS unit, generate_subscripts(m, 1) AS k FROM (SELECT *, {units} AS m FROM src)),
+    marked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) AS pos, nullif({found}, '') AS heading FROM units),
+    begun AS (SELECT *, min(CASE WHEN lower(heading) <> lower(title) THEN pos END) OVER (PARTITION BY doc_id) AS first FROM marked),
+    opened AS (SELECT *, heading IS NOT NULL AND lower(heading) = lower(title) AND pos < coalesce(first, pos + 1) AS is_title FROM begun),
+    sections AS (SELECT *, last_value(CASE WHEN NOT is_title THEN substr(heading, 1, 300) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos) AS section,
+      CASE WHEN heading IS NULL THEN unit WHEN is_title THEN '' ELSE {strip_sql("substr(unit, length(split_part(unit, chr(10), 1)) + 2)")} END AS text FROM opened),
+    blocks AS (SELECT doc_id, pos, page, section, text FROM sections WHERE text <> '')"""
 
 
 # --- inputs ------------------------------------------------------------------------------
@@ -130,6 +153,35 @@ def sectioned(t):
     return t.spread("documents").select("doc_id", clean_text(text).alias("text"))
 
 
+# Two pages: the title, a heading with text right below, paragraphs; then a paragraph of the open section, and another heading.
+PAGED = {
+    True: (lambda pick, text, gap: ["# ", "source", gap, gap, "## ", pick(0), gap, "First line", gap, gap, text, gap, gap, "# ", "source"],
+           lambda pick, text, gap: ["Carried over.", gap, " ", gap, "### ", pick(3), " ##", gap, gap, pick(4), gap, "#NoHeading"]),
+    False: (lambda pick, text, gap: ["source", gap, pick(0), gap, text], lambda pick, text, gap: ["and carried over.", gap, pick(3), gap, "Done with it."]),
+}
+
+
+def _paged_sql(markdown: bool) -> str:
+    body = "replace(text, chr(10), chr(10) || ' ' || chr(10))" if markdown else "text"
+    pages = []
+    for number, build in enumerate(PAGED[markdown], 1):
+        parts = build(lambda k: (pick_sql(HEADINGS, f"doc_id + {k}"),), (body,), ("chr(10)",))
+        text = " || ".join(p[0] if isinstance(p, tuple) else "source" if p == "source" else f"'{p}'" for p in parts)
+        pages.append(f"SELECT doc_id, source AS title, CAST({number} AS INTEGER) AS page, {clean_sql(text, markdown)} AS text FROM documents")
+    return paged_sql(" UNION ALL ".join(pages), markdown)
+
+
+def paged(t, markdown: bool):
+    """Documents of two pages, titled by their source: ``doc_id, source, pages``."""
+    body = F.replace("text", F.lit("\n"), F.lit("\n \n")) if markdown else F.col("text")
+    pages = []
+    for number, build in enumerate(PAGED[markdown], 1):
+        parts = build(lambda k: pick(HEADINGS, F.col("doc_id") + k), body, F.lit("\n"))
+        text = F.concat(*[F.col(p) if isinstance(p, str) and p == "source" else F.lit(p) if isinstance(p, str) else p for p in parts])
+        pages.append(F.struct(clean_text(text, markdown).alias("text"), F.lit(number).alias("page")))
+    return t.spread("documents").select("doc_id", "source", F.array(*pages).alias("pages"))
+
+
 def hostile(t, text="text"):
     return F.concat(text, F.lit("\n"), pick(HOSTILE, F.col("doc_id")))
 
@@ -179,6 +231,24 @@ def t05(t):
         "doc_id", "block_no", "b.section", F.md5("b.text").alias("text_md5"))
 
 
+def paged_blocks(t, markdown: bool):
+    blocks = ch.sectionise(F.col("pages"), markdown, F.col("source"))
+    return paged(t, markdown).select("doc_id", F.posexplode(blocks).alias("block_no", "b")).select(
+        "doc_id", "block_no", "b.page", "b.section", F.md5("b.text").alias("text_md5"))
+
+
+@query("t05b_markdown_sections",
+       f"""WITH {_paged_sql(True)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS block_no, page, section, md5(text) AS text_md5 FROM blocks""")
+def t05b(t):
+    return paged_blocks(t, True)
+
+
+@query("t05c_sections_of_pages",
+       f"""WITH {_paged_sql(False)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INTEGER) AS block_no, page, section, md5(text) AS text_md5 FROM blocks""")
+def t05c(t):
+    return paged_blocks(t, False)
+
+
 @query("t06_sentences",
        f"""WITH src AS ({SECTIONED_SQL}), s AS (SELECT doc_id, {sentences_sql('text')} AS s FROM src)
        SELECT doc_id, len(s) AS sentences, list_max(list_transform(s, lambda x: length(x))) AS longest, md5(array_to_string(s, '|')) AS sentences_md5 FROM s""")
@@ -208,6 +278,23 @@ def t08(t):
                              F.length("content").cast("bigint").alias("characters"))
 
 
+def paged_chunks(t, markdown: bool):
+    chunks = ch.chunk_documents(paged(t, markdown), F.col("pages"), "doc_id", size=SIZE, overlap=OVERLAP, markdown=markdown, title=F.col("source"))
+    return chunks.select("doc_id", "chunk_index", "page", "section", F.md5("content").alias("content_md5"))
+
+
+@query("t08b_markdown_chunks",
+       f"WITH {_paged_sql(True)}, {packed_sql()} SELECT doc_id, chunk_index, page, section, md5(content) AS content_md5 FROM chunks")
+def t08b(t):
+    return paged_chunks(t, True)
+
+
+@query("t08c_chunks_of_pages",
+       f"WITH {_paged_sql(False)}, {packed_sql()} SELECT doc_id, chunk_index, page, section, md5(content) AS content_md5 FROM chunks")
+def t08c(t):
+    return paged_chunks(t, False)
+
+
 @query("t09_token_estimates",
        f"WITH {chunks_sql(SECTIONED_SQL)} SELECT doc_id, chunk_index, CAST(greatest(1, length(content) // 4) AS INTEGER) AS token_estimate FROM chunks")
 def t09(t):
