@@ -27,6 +27,7 @@ TERM_RANKS = 200
 ENTRIES = 1 << 18  # (term, source) entries in a block, about
 HELD = 1 << 18  # counted terms a task holds before it hands them on
 CELLS = 1 << 21  # of a block's dense part
+SALTS = 16  # shares of a language, where its rows meet its groups
 
 #: Bytes of a term keep their value, A-Z in lower case; all others end it. UTF-8 bytes of other characters are above 0x7F.
 _KEPT = bytes(b if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)).lower()
@@ -137,9 +138,10 @@ def shared_sums(size: int, t: np.ndarray, s: np.ndarray, p: np.ndarray, z: np.nd
 
 
 def both_hold(kept: DataFrame) -> DataFrame:
-    """``lang, source, other, value``: the part of a pair's value that needs terms both hold; from ``lang, source, term, p, z``."""
-    entries = kept.groupBy("lang").agg(F.count("*").alias("entries"))
-    dealt = kept.join(entries, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("entries") / ENTRIES).cast("long")))
+    """``lang, source, other, value``: the part of a pair's value that needs terms both hold; from ``lang, source, term, p, z, most``.
+
+    ``most`` bounds the entries of the language. No step deals rows by language alone."""
+    dealt = kept.withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("most") / ENTRIES).cast("long")))
     blocks = dealt.groupBy("lang", "block").agg(F.collect_list(F.struct(F.xxhash64("term").alias("t"), "source", "p", "z")).alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,13 +174,15 @@ def audit(docs: DataFrame, store: Store, least: int = LEAST_DOCUMENTS, ranks: in
     sizes = held.groupBy("lang", "source").agg(F.sum("n").alias("of"))
     zero = F.lit(0).cast("long")
     groups = groups.select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left")
-    groups = groups.select("lang", "source", F.coalesce("kept", zero).alias("kept"), F.coalesce("of_lang", zero).alias("of_lang"), F.coalesce("of", zero).alias("of"))
+    groups = groups.withColumn("sources", F.count("*").over(Window.partitionBy("lang")))
+    groups = groups.select("lang", "source", "sources", F.coalesce("kept", zero).alias("kept"), F.coalesce("of_lang", zero).alias("of_lang"), F.coalesce("of", zero).alias("of"))
     z = F.when(F.col("kept") > 0, share(zero, F.col("of"), F.col("kept")))
     groups = store.keep(groups.withColumn("z", z), "groups")  # a row a group
 
     kept = held.join(groups, ["lang", "source"]).select(
-        "lang", "source", "term", share(F.col("n"), F.col("of"), F.col("kept")).alias("p"), "z", share(F.col("all"), F.col("of_lang"), F.col("kept")).alias("q")
-    )
+        "lang", "source", "term", share(F.col("n"), F.col("of"), F.col("kept")).alias("p"), "z", share(F.col("all"), F.col("of_lang"), F.col("kept")).alias("q"),
+        (F.col("kept") * F.col("sources")).alias("most"),
+    )
     kept = store.keep(kept, "shares")
 
     by_value = [F.desc("value"), F.asc("item")]
@@ -186,11 +190,16 @@ def audit(docs: DataFrame, store: Store, least: int = LEAST_DOCUMENTS, ranks: in
     of_terms = kept.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), divergence(F.col("p"), F.col("q")).alias("value"))
     of_terms = of_terms.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= ranks)
 
-    other = groups.select("lang", F.col("source").alias("other"), F.col("z").alias("zo"))
-    pairs = groups.select("lang", "source", "z", "kept").join(other, "lang").where("source <> other")  # the rows of the result
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    other = groups.select("lang", F.col("source").alias("other"), F.col("z").alias("zo"), salts)
+
+    def meet(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).join(other, ["lang", "salt"]).where("source <> other")
+
+    pairs = meet(groups.select("lang", "source", "z", "kept"), "source")  # the rows of the result
     none = divergence(F.col("z"), F.col("zo"))
     same = store.keep(kept.groupBy("lang", "source", "z", "p").agg(F.count("*").alias("k")), "by-share")  # terms of equal counts
-    across = same.join(other, "lang").where("source <> other")
+    across = meet(same, "source", "p")
     over = across.groupBy("lang", "source", "other").agg(F.sum(F.col("k") * (divergence(F.col("p"), F.col("zo")) - none)).alias("value"))
     under = across.groupBy("lang", F.col("other").alias("source"), F.col("source").alias("other")).agg(
         F.sum(F.col("k") * (divergence(F.col("zo"), F.col("p")) - divergence(F.col("zo"), F.col("z")))).alias("value")
