@@ -69,9 +69,9 @@ def counted_terms(classes: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             for i, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                found = Counter(terms(text.as_py()))
-                of = lists[i].as_py()
-                for x in of:
+                found = terms(text.as_py())
+                once, weighted = set(found), None
+                for x in lists[i].as_py():
                     key, n = (lang, x["source"]), x["n"]
                     if key not in counts:
                         counts[key], docs[key] = Counter(), Counter()
@@ -79,9 +79,10 @@ def counted_terms(classes: DataFrame) -> DataFrame:
                     before = len(c)
                     if n == 1:
                         c.update(found)
-                        d.update(found.keys())
+                        d.update(once)
                     else:
-                        for t, k in found.items():
+                        weighted = weighted or Counter(found)
+                        for t, k in weighted.items():
                             c[t] += n * k
                             d[t] += n
                     held += len(c) - before
@@ -166,11 +167,13 @@ def audit(docs: DataFrame, store: Store, least: int = LEAST_DOCUMENTS, ranks: in
     kept terms all pairs are 0. Repeated rows are documents of their own, texts are read whole, ties go to the lower item in UTF-8. An
     empty table gives no rows. Other columns are dropped. Terms are told apart in blocks by 64 bits, texts by 128."""
     classes, groups = collapsed(docs, store)
-    found = store.keep(counted_terms(classes), "counts")
-    of_lang = found.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    of_lang = store.keep(of_lang.select("lang", "term", "all"), "terms")
-    langs = of_lang.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all").alias("of_lang"))
-    held = found.join(of_lang, ["lang", "term"]).select("lang", "source", "term", "n", "all")
+    of_term = Window.partitionBy("lang", "term")  # a row a source at most
+    found = counted_terms(classes).select(
+        "lang", "source", "term", "n", F.sum("n").over(of_term).alias("all"), F.sum("docs").over(of_term).alias("docs"),
+        (F.row_number().over(of_term.orderBy("source")) == 1).cast("long").alias("first"),
+    )
+    held = store.keep(found.where(F.col("docs") >= least).drop("docs"), "terms")
+    langs = held.groupBy("lang").agg(F.sum("first").alias("kept"), F.sum("n").alias("of_lang"))
     sizes = held.groupBy("lang", "source").agg(F.sum("n").alias("of"))
     zero = F.lit(0).cast("long")
     groups = groups.select("lang", "source").join(langs, "lang", "left").join(sizes, ["lang", "source"], "left")
