@@ -6,6 +6,8 @@ so that no text is shuffled; ``allowed`` holds the chunk ids a search may return
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from quayside.functions.text import BENGALI, collapse, let, lit_array, shorten
 from quayside.operators.corpus import bucket_of_token, feature_tokens
 from quayside.operators.similarity import CANDIDATES, cosine, vector_search
 
+if TYPE_CHECKING:
+    from quayside.operators.keyword_index import KeywordIndex
+
 # Fusion constant, thresholds, sizes.
 RRF_K = 60
 MIN_SIMILARITY, KEYWORD_LENIENCY = 0.30, 0.75
@@ -44,14 +49,6 @@ def build_postings(chunks: DataFrame, key: str, text: Column) -> DataFrame:
     return chunks.select(F.col(key).alias("chunk_id"), F.posexplode(lexemes(text)).alias("pos", "term"))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Store the index bucketed by term, so that term joins need no shuffle of it.
-
-    Frequent terms are spread by a salt of the chunk within their bucket files."""
-    postings.repartition(buckets, "term", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.mode("overwrite").bucketBy(
-        buckets, "term").sortBy("term").saveAsTable(table)
-
-
 def keyword_search(queries: DataFrame, postings: DataFrame, k: int = CANDIDATES,
                    allowed: DataFrame | None = None) -> DataFrame:
     """Chunks that hold any term, by 0.1 per matching position; k best per query variant.
@@ -143,27 +140,39 @@ def searchable(chunks: DataFrame, documents: DataFrame, document_ids: list[int]
     return chunks.join(indexed, "document_id")
 
 
-def hybrid_candidates(queries: DataFrame, texts: DataFrame, vectors: DataFrame, text: Column,
-                      allowed: DataFrame | None = None, candidates: int = CANDIDATES) -> DataFrame:
+def keyword_lists(queries: DataFrame, texts: DataFrame | None, text: Column | None, candidates: int = CANDIDATES,
+                  allowed: DataFrame | None = None, index: KeywordIndex | None = None) -> DataFrame:
+    """Keyword search in a stored index, or, where none is given, in postings made from the texts for this search."""
+    if index is None:
+        return keyword_search(queries, build_postings(texts, "chunk_id", text), candidates, allowed)
+    from quayside.operators import keyword_index
+
+    return keyword_index.keyword_search(queries, index, candidates, allowed)
+
+
+def hybrid_candidates(queries: DataFrame, texts: DataFrame | None, vectors: DataFrame, text: Column | None,
+                      allowed: DataFrame | None = None, candidates: int = CANDIDATES, index: KeywordIndex | None = None) -> DataFrame:
     """Fused candidates with both scores filled in; ``queries`` as ``asked_variants`` leaves them."""
-    keyword = keyword_search(queries, build_postings(texts, "chunk_id", text), candidates, allowed)
+    keyword = keyword_lists(queries, texts, text, candidates, allowed, index)
     vector = vector_lists(queries, vectors, candidates, allowed)
     return fill_similarity(rrf_fuse(keyword, vector), queries, vectors, candidates)
 
 
-def hybrid_search(queries: DataFrame, texts: DataFrame, vectors: DataFrame, text: Column, k: int,
+def hybrid_search(queries: DataFrame, texts: DataFrame | None, vectors: DataFrame, text: Column | None, k: int,
                   allowed: DataFrame | None = None, *, minimum: float = MIN_SIMILARITY,
-                  candidates: int = CANDIDATES) -> DataFrame:
-    """The k best relevant chunks per query: (query_id, chunk_id, score, rank, both scores)."""
+                  candidates: int = CANDIDATES, index: KeywordIndex | None = None) -> DataFrame:
+    """The k best relevant chunks per query: (query_id, chunk_id, score, rank, both scores).
+
+    With a stored ``index`` neither texts nor their expression are needed."""
     queries = asked_variants(queries)
-    found = hybrid_candidates(queries, texts, vectors, text, allowed, candidates)
+    found = hybrid_candidates(queries, texts, vectors, text, allowed, candidates, index)
     return normalise_and_top_k(relevance_filter(found, minimum), queries, k)
 
 
-def document_relevance(queries: DataFrame, texts: DataFrame, vectors: DataFrame, text: Column,
-                       allowed: DataFrame | None = None, *, minimum: float = MIN_SIMILARITY) -> DataFrame:
+def document_relevance(queries: DataFrame, texts: DataFrame | None, vectors: DataFrame, text: Column | None,
+                       allowed: DataFrame | None = None, *, minimum: float = MIN_SIMILARITY, index: KeywordIndex | None = None) -> DataFrame:
     """Similarity of the best chunk per query, 0 where nothing is relevant."""
-    best = hybrid_search(queries, texts, vectors, text, 1, allowed, minimum=minimum).select("query_id", "vector_score")
+    best = hybrid_search(queries, texts, vectors, text, 1, allowed, minimum=minimum, index=index).select("query_id", "vector_score")
     return queries.select("query_id").distinct().join(best, "query_id", "left").select(
         "query_id", F.coalesce("vector_score", F.lit(0.0)).alias("relevance"))
 

@@ -102,31 +102,31 @@ def _matrix(rows) -> tuple[list[str], np.ndarray]:
     return [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), size)
 
 
-def _in_blocks(queries: DataFrame, query: list[str], embedding: str, block: int,
-               search: Callable[[list[str], np.ndarray], DataFrame]) -> DataFrame:
-    """Search with the whole query matrix if it is small, else block by block into a table.
+def in_blocks(queries: DataFrame, query: list[str], asked: str, block: int, search: Callable[[list], DataFrame]) -> DataFrame:
+    """Search with all queries at once if they are few, else block by block into a table.
 
-    The key columns of a query travel as one JSON text and are taken apart again."""
-    found = _found(queries, query, embedding, block, search)
+    ``search`` gets rows of (key, what is asked) without nulls. The key columns of a query travel as one JSON text, in column
+    ``query`` of what it returns, and are taken apart again."""
+    found = _found(queries, query, asked, block, search)
     types = ", ".join(f"`{q}` {queries.schema[q].dataType.simpleString()}" for q in query)
     parts = found.withColumn("_key", F.from_json("query", types))
     return parts.select(*[F.col(f"_key.`{q}`").alias(q) for q in query], *[c for c in found.columns if c != "query"])
 
 
-def _found(queries: DataFrame, query: list[str], embedding: str, block: int, search) -> DataFrame:
+def _found(queries: DataFrame, query: list[str], asked: str, block: int, search) -> DataFrame:
     spark = queries.sparkSession
     key = F.to_json(F.struct(*query), {"ignoreNullFields": "false"})
-    wanted = queries.select(key.alias("query"), F.col(embedding).alias("e")).filter("e is not null")
+    wanted = queries.select(key.alias("query"), F.col(asked).alias("e")).filter("e is not null")
     first = wanted.limit(block + 1).collect()
     if len(first) <= block:
-        return search(*_matrix(first))
+        return search(first)
     blocks = -(-wanted.count() // (block // 2))
     numbered = wanted.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
     target = f"{shared_dir(spark)}/nearest-{uuid.uuid4().hex}"
     for number in range(blocks):
         rows = numbered.filter(F.col("_b") == number).drop("_b").collect()
         if rows:
-            search(*_matrix(rows)).write.mode("overwrite").parquet(f"{target}/block={number}")
+            search(rows).write.mode("overwrite").parquet(f"{target}/block={number}")
     return spark.read.parquet(target).drop("block")
 
 
@@ -135,8 +135,8 @@ def vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: int = CAN
     """Exact: the k most similar vectors per query as (query, key, similarity, rank).
 
     ``query`` names the column, or the columns, that identify a query; ids are numbers or strings."""
-    return _in_blocks(queries, [query] if isinstance(query, str) else query, embedding, block, lambda ids, matrix: _top(
-        _scan(vectors, key, embedding, ids, matrix, k), key, k))
+    return in_blocks(queries, [query] if isinstance(query, str) else query, embedding, block, lambda rows: _top(
+        _scan(vectors, key, embedding, *_matrix(rows), k), key, k))
 
 
 def _probes(points: np.ndarray, cell: np.ndarray, centres: np.ndarray, k: int, seed: int) -> int:
@@ -181,9 +181,10 @@ def approx_vector_search(queries: DataFrame, vectors: DataFrame, key: str, k: in
         sampled = model.transform(fitted).select("cell", "_u").collect()
         probes = _probes(np.array([r["_u"].toArray() for r in sampled]), np.array([r["cell"] for r in sampled]), centres, k, seed)
 
-    def search(ids: list[str], matrix: np.ndarray) -> DataFrame:
+    def search(rows: list) -> DataFrame:
+        ids, matrix = _matrix(rows)
         probed = np.argsort(-(_unit(matrix) @ centres.T), axis=1, kind="stable")[:, :probes]
         read = placed.filter(F.col("cell").isin(np.unique(probed).tolist()))  # whole folders are skipped
         return _top(_scan(read, key, embedding, ids, matrix, k, ("cell", probed)), key, k)
 
-    return _in_blocks(queries, [query], embedding, block, search)
+    return in_blocks(queries, [query], embedding, block, search)

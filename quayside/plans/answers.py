@@ -10,11 +10,11 @@ from quayside.functions.intent import detect_language
 from quayside.functions.text import SPACE_RE2, collapse_sql, lit_array, pick, pick_sql, sql_list, strip_sql
 from quayside.operators import answers as a
 from quayside.operators import commerce as m
-from quayside.operators import retrieval as r
+from quayside.operators.keyword_index import keyword_search
 from quayside.plans.commerce import sold
 from quayside.plans.intent import LANGUAGE, MESSAGES, messages
 from quayside.plans.registry import query
-from quayside.plans.retrieval import texts, terms_sql
+from quayside.plans.retrieval import document_index, terms_sql
 from quayside.plans.samples import CITATIONS
 from quayside.sources.commerce import with_views as v
 
@@ -147,7 +147,7 @@ def a06(t):
     labels = a.entity_labels(top_names(t), [F.desc("units"), F.col("name")]).scalar()
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), a.resolve_template(
         F.concat_ws(" ", "text", pick(TEMPLATES, F.col("item_id"))), labels).alias("text"))
-    found = r.keyword_search(asked, r.build_postings(texts(t), "chunk_id", F.concat_ws(" ", "section", "content")))
+    found = keyword_search(asked, document_index(t))
     return found.join(asked.select("query_id", F.expr("right(text, 50)").alias("resolved")), "query_id").select(
         "query_id", "resolved", "chunk_id", "rank", "keyword_score")
 

@@ -6,17 +6,21 @@ two variants, the whole text and the text after its first sentence, with the vec
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quayside.functions import lexicons as lx
 from quayside.functions.injection import is_suspicious
 from quayside.functions.text import collapse_sql, pick, pick_sql, sql_list
+from quayside.operators import keyword_index as ki
 from quayside.operators import retrieval as r
 from quayside.operators.similarity import approx_vector_search, vector_search
-from quayside.plans.corpus import MARKERS_RE2
+from quayside.plans.corpus import MARKERS_RE2, SECTIONED_SQL, chunked, chunks_sql
 from quayside.plans.intent import hits_sql
 from quayside.plans.registry import query
 from quayside.plans.samples import HOSTILE, QUESTIONS
+from quayside.session import shared_dir
 
 K = 5
 
@@ -42,17 +46,31 @@ def texts(t):
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("section"))
 
 
+_indexes: dict[tuple[str, str, str], ki.KeywordIndex] = {}  # by application, folder and kind of chunk
+
+
+def stored_index(t, kind: str, build) -> ki.KeywordIndex:
+    """The keyword index of a folder's chunks, stored once for each application."""
+    key = (t.spark.sparkContext.applicationId, t.folder, kind)
+    if key not in _indexes:
+        _indexes[key] = build()
+    return _indexes[key]
+
+
+def document_index(t) -> ki.KeywordIndex:
+    return stored_index(t, "documents", lambda: ki.build_index(texts(t), "chunk_id", F.concat_ws(" ", "section", "content")))
+
+
 def corpus(t):
-    """Texts, vectors, the text that is indexed, and the ids of indexed documents."""
+    """The stored index of the texts, the vectors, and the ids of indexed documents."""
     vectors = t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     allowed = documents(t).filter("status = 'indexed'").select(F.col("document_id").alias("chunk_id"))
-    return {"texts": texts(t), "vectors": vectors, "text": F.concat_ws(" ", "section", "content"), "allowed": allowed}
+    return {"texts": None, "vectors": vectors, "text": None, "allowed": allowed, "index": document_index(t)}
 
 
 def lists(t):
     c = corpus(t)
-    return (r.keyword_search(queries(t), r.build_postings(c["texts"], "chunk_id", c["text"]), allowed=c["allowed"]),
-            r.vector_lists(queries(t), c["vectors"], allowed=c["allowed"]))
+    return ki.keyword_search(queries(t), c["index"], allowed=c["allowed"]), r.vector_lists(queries(t), c["vectors"], allowed=c["allowed"])
 
 
 QUERIES_SQL = r"""every AS (SELECT item_id AS query_id, 0 AS variant, text, item_id AS vec_id FROM benchmark
@@ -117,6 +135,38 @@ def r03(t):
     return lists(t)[0]
 
 
+def chunk_table(t):
+    """The chunks of all documents, stored; ids are 100,000 document numbers apart."""
+    path = f"{shared_dir(t.spark).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    rows = chunked(t).select((F.col("doc_id") * 100_000 + F.col("chunk_index")).alias("chunk_id"), F.col("doc_id").alias("document_id"), "section", "content")
+    rows.write.parquet(path)
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
+CHUNKS_FOUND_SQL = f"""WITH {QUERIES_SQL.replace(' ch AS (', ' whole AS (')}, {chunks_sql(SECTIONED_SQL)},
+  ch AS (SELECT k.doc_id * 100000 + k.chunk_index AS chunk_id, k.content, coalesce(k.section, '') AS section FROM chunks k JOIN whole w ON w.chunk_id = k.doc_id), {KEYWORD_SQL}"""
+
+
+def chunks_found(t):
+    """The search's rows over the chunks of indexed documents."""
+    index = stored_index(t, "chunks", lambda: ki.build_index(chunk_table(t), "chunk_id", F.concat_ws(" ", "section", "content")))
+    indexed = documents(t).filter("status = 'indexed'").select("document_id")
+    allowed = t.spark.table(index.directory).select("chunk_id", F.floor(F.col("chunk_id") / 100_000).alias("document_id")).join(indexed, "document_id", "left_semi")
+    return ki.search(queries(t), index, allowed=allowed.select("chunk_id"))
+
+
+@query("r03b_search_stored_chunks", f"{CHUNKS_FOUND_SQL} SELECT query_id, variant, chunk_id, rank, CAST(n AS BIGINT) AS n FROM (SELECT kwr.*, kw.n FROM kwr JOIN kw USING (query_id, variant, chunk_id))")
+def r03b(t):
+    return chunks_found(t).select("query_id", "variant", "chunk_id", "rank", "n")
+
+
+@query("r03c_blocks_skipped", "SELECT true AS some_skipped, true AS never_more_than_held")
+def r03c(t):
+    """A search over the chunks leaves posting blocks of its terms undecoded."""
+    found = chunks_found(t).agg(F.sum("read").alias("read"), F.sum("blocks").alias("blocks"), F.max(F.col("read") - F.col("blocks")).alias("over"))
+    return found.select((F.col("read") < F.col("blocks")).alias("some_skipped"), (F.col("over") <= 0).alias("never_more_than_held"))
+
+
 NEAREST_SQL = f"""WITH s AS (SELECT q.item_id AS query, v.vec_id, {SIM.format(a='e.embedding', b='v.embedding', digits=9)} AS s
        FROM benchmark q JOIN embeddings e ON e.vec_id = q.item_id, embeddings v)
        SELECT query, vec_id, round(s, 4) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 20"""

@@ -22,9 +22,12 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 
+LOCAL = r"local(\[.*\])?"  # masters without executors of their own
+
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the run-time settings to a session somebody else created."""
+    """Apply the run-time settings to a session somebody else created, and send the package to its workers."""
+    ship(spark)
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
     return spark
@@ -59,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         return configured
     context = spark.sparkContext
-    if not re.fullmatch(r"local(\[.*\])?", context.master):
+    if not re.fullmatch(LOCAL, context.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _own_folders:
         _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="quayside-")
@@ -76,8 +79,15 @@ def spread(scan: DataFrame, *keys: str) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 
+_shipped: set[str] = set()  # by application
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers of a cluster that does not have it installed."""
+    """Send this package, once, to the workers of a cluster, which may not have it installed."""
+    context = spark.sparkContext
+    if re.fullmatch(LOCAL, context.master) or context.applicationId in _shipped:
+        return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quayside-"), "quayside"), "zip", os.path.dirname(root), os.path.basename(root))
-    spark.sparkContext.addPyFile(archive)
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -40,3 +40,26 @@ def test_a_cluster_has_to_name_one(master):
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         session.shared_dir(_Session(master))
     assert session.shared_dir(_Session(master, "hdfs:///shared")) == "hdfs:///shared"
+
+
+AWAY = """
+import sys; sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+from quayside.session import ship, tune
+ship(tune(spark))
+
+def run(batches):
+    from quayside.functions.text import sql_list  # a worker has to find the package
+    for batch in batches:
+        yield batch
+
+print(spark.range(3).mapInArrow(run, "id long").count())
+"""
+
+
+def test_workers_get_the_package(tmp_path):
+    """Executors started in another folder, with the package on the driver's path only."""
+    done = subprocess.run([sys.executable, "-c", AWAY, ROOT], env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+                          cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert done.stdout.split()[-1:] == ["3"], done.stderr[-2000:]
