@@ -26,6 +26,8 @@ LEAST_DOCUMENTS = 3
 TERM_RANKS = 200
 ENTRIES = 1 << 18  # (term, source) entries in a block, about
 HELD = 1 << 18  # counted terms a task holds before it hands them on
+HANDED = 1 << 14  # terms in a batch
+HELD_BY = "array<struct<source:string,n:long,docs:long>>"
 CELLS = 1 << 21  # of a block's dense part
 SALTS = 16  # shares of a language, where its rows meet its groups
 
@@ -60,7 +62,7 @@ def collapsed(docs: DataFrame, store: Store) -> tuple[DataFrame, DataFrame]:
 
 
 def counted_terms(classes: DataFrame) -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that hold the term, weighted by copies."""
+    """``lang, term, source, n, docs``: occurrences, and documents that hold the term, weighted by copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], Counter] = {}
@@ -91,17 +93,32 @@ def counted_terms(classes: DataFrame) -> DataFrame:
                         counts, docs, held = {}, {}, 0
         yield from _handed(counts, docs)
 
-    kind = "lang string, source string, term binary, n long, docs long"
-    rows = classes.select("lang", F.col("text").cast("binary"), "held").mapInArrow(run, kind)
-    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).withColumn("term", F.col("term").cast("string"))
+    rows = classes.select("lang", F.col("text").cast("binary"), "held").mapInArrow(run, f"lang string, term binary, held {HELD_BY}")
+    # A term's rows, one from each task, meet once; the sums and what follows by term need no further exchange.
+    each = rows.repartition("lang", "term").select("lang", "term", F.explode("held").alias("x")).select("lang", "term", "x.source", "x.n", "x.docs")
+    return each.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _handed(counts: dict, docs: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, source), c in counts.items():
-        if c:
-            d, n = docs[lang, source], len(c)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64()), pa.array([d[t] for t in c], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+    """For each language a row a term, with what each source holds of it."""
+    for lang in {of for of, _ in counts}:
+        flat, source, n, d = [], [], [], []
+        names = [s for of, s in counts if of == lang]
+        for k, name in enumerate(names):
+            c, of = counts[lang, name], docs[lang, name]
+            flat += c
+            source.append(np.full(len(c), k))
+            n.append(np.fromiter(c.values(), np.int64, len(c)))
+            d.append(np.fromiter((of[t] for t in c), np.int64, len(c)))
+        coded = pa.array(flat, pa.binary()).dictionary_encode()
+        at = np.asarray(coded.indices)
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(coded.dictionary) + 1))
+        columns = [pa.array(names, pa.string()).take(pa.array(np.concatenate(source)[order])), pa.array(np.concatenate(n)[order]), pa.array(np.concatenate(d)[order])]
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["source", "n", "docs"]))
+        whole = pa.RecordBatch.from_arrays([pa.array([lang] * len(held), pa.string()), coded.dictionary, held], ["lang", "term", "held"])
+        for k in range(0, len(held), HANDED):
+            yield whole.slice(k, HANDED)
 
 
 def shared_sums(size: int, t: np.ndarray, s: np.ndarray, p: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +186,7 @@ def audit(docs: DataFrame, store: Store, least: int = LEAST_DOCUMENTS, ranks: in
     classes, groups = collapsed(docs, store)
     of_term = Window.partitionBy("lang", "term")  # a row a source at most
     found = counted_terms(classes).select(
-        "lang", "source", "term", "n", F.sum("n").over(of_term).alias("all"), F.sum("docs").over(of_term).alias("docs"),
+        "lang", "source", F.col("term").cast("string").alias("term"), "n", F.sum("n").over(of_term).alias("all"), F.sum("docs").over(of_term).alias("docs"),
         (F.row_number().over(of_term.orderBy("source")) == 1).cast("long").alias("first"),
     )
     held = store.keep(found.where(F.col("docs") >= least).drop("docs"), "terms")
