@@ -127,18 +127,22 @@ def search(table: DataFrame, is_query: F.Column, store: Store, top: int = 20, re
     """``query_id, rank, vec_id, score``: the ``top`` rows of largest inner product found for each query.
 
     ``table`` has ``vec_id, embedding``; queries are the rows where ``is_query`` holds, candidates all rows
-    of another id. Vectors that are null, zero, hold null or non-finite components, or are not of the
-    usual number of components, and rows without an id, take no part. Equal rows count once; if an id has several vectors, each is a
+    of another id and as many components. Vectors that are null, zero, or hold null or non-finite components, and
+    rows without an id, take no part. Each number of components has a forest of its own. Equal rows count once; if an id has several vectors, each is a
     candidate and the id's best one counts, and each is asked. Equal scores go to the smaller id.
     An empty table gives none; with fewer candidates a query gets them all. Other columns are dropped."""
     good = table.select(F.col("vec_id").cast("long"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asked")).where(F.col("vec_id").isNotNull() & vectors.usable("embedding"))
-    size = vectors.usual_size(good, "embedding")
-    rows = vectors.packed(good.where(F.size("embedding") == size), "embedding")
-    rows = store.keep(rows.groupBy("vec_id", "v").agg(F.max("asked").alias("asked")), "vectors")
+    rows = vectors.packed(good.select("vec_id", "asked", F.size("embedding").alias("size"), "embedding"), "embedding")
+    rows = store.keep(rows.groupBy("size", "vec_id", "v").agg(F.max("asked").alias("asked")), "vectors")
+    found = rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).where(F.lit(False))
+    for of in rows.groupBy("size").agg(F.count("*").alias("n"), F.max("asked").alias("asked")).collect():  # a row for each number of components
+        if of["asked"]:
+            found = found.unionByName(_search(rows.where(F.col("size") == of["size"]), of["size"], of["n"], top, recall))
+    return found
+
+
+def _search(rows: DataFrame, size: int, n: int, top: int, recall: float) -> DataFrame:
     names = "query_id long, vec_id long, score double"
-    n = rows.count()
-    if not n:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     points = vectors.sample(rows, SAMPLE, size)
 
     def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

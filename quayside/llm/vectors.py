@@ -20,20 +20,17 @@ def usable(vector: str) -> F.Column:
     return F.coalesce(~odd & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usual_size(df: DataFrame, vector: str) -> int:
-    """The most frequent number of components (of equally frequent ones the larger); 0 without rows."""
-    row = df.groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return row["d"] if row else 0
+def packed(df: DataFrame, vector: str, as_given: bool = False) -> DataFrame:
+    """The vector column as ``v``, binary; the other columns stay.
 
-
-def packed(df: DataFrame, vector: str) -> DataFrame:
-    """The vector column as ``v``, binary; the other columns stay."""
+    Components are doubles, or, if wanted ``as_given``, single-precision numbers where the column holds these."""
     rest = [c for c in df.columns if c != vector]
+    kind = "<f4" if as_given and df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
             ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
             values = pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*rest, "v"])
@@ -50,7 +47,10 @@ def sample(df: DataFrame, most: int, size: int) -> np.ndarray:
 
 
 def matrix(values: list[bytes], size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), "<f8").reshape(len(values), size)
+    """Vectors as doubles; their bytes tell how they are kept."""
+    whole = b"".join(values)
+    kind = "<f4" if len(whole) == 4 * size * len(values) else "<f8"
+    return np.frombuffer(whole, kind).astype(np.float64, copy=False).reshape(len(values), size)
 
 
 def blocks(df: DataFrame, keys: list[str], fields: list[str], name: str, most: int = BLOCK) -> DataFrame:

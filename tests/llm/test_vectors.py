@@ -138,3 +138,32 @@ def test_no_list_that_may_hold_a_neighbour_is_left_out():
     about = np.sqrt(sum(t[:, codes[members, k]] for k, t in enumerate(tables)))
     true = np.sqrt(embed_dedup.distances(u[:5], u[members]))
     assert (np.abs(about - true) <= error[members][None, :] + 1e-9).all()
+
+
+def test_vectors_of_two_lengths(spark, store):
+    """Vectors of a rarer length link and are searched among each other."""
+    x = sample(60)
+    rows = [(k, v.tolist(), 1, "x") for k, v in enumerate(x)] + [(100, [1.0, 2.0, 3.0], 1, "x"), (101, [1.0, 2.0, 3.0], 1, "x"), (120, [3.0, 2.0, 1.0], 1, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, score string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df, store).collect()}
+    assert (got[100], got[101], got[120]) == ((1, 100), (1, 100), (0, 120))
+    found = sorted(r for r in rows_of(ann.search(df, F.col("vec_id") % 20 == 0, store)) if r[0] >= 100)
+    assert [(q, place, v, s) for q, place, v, s in found] == [(100, 1, 101, 14.0), (100, 2, 120, 10.0), (120, 1, 100, 10.0), (120, 2, 101, 10.0)]
+    assert {r[0] for r in rows_of(ann.search(df, F.col("vec_id") % 20 == 0, store))} == {0, 20, 40, 100, 120}
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_few_lists_hold_the_links(spark, store, monkeypatch, exact):
+    """Vectors in single precision around random ones: links found against all, and how many lists that takes."""
+    monkeypatch.setattr(embed_dedup, "LIST_ROWS", 50)
+    order = np.random.default_rng(9)
+    base = order.normal(size=(1000, 64))
+    x = np.concatenate([base, base + order.normal(size=base.shape) * 0.25, base[:900] + order.normal(size=(900, 64)) * 0.33, base[:100]]).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 1) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df, store, exact=exact).collect()}
+    found = np.array([got[k] for k in range(len(x))])
+    assert (found <= links).all() and found.sum() >= (1 if exact else 0.97) * links.sum() > 0
+    index = embed_dedup.fit(u, len(x))
+    assert len(index.centroids) == 60 and index.looked_into <= 20
