@@ -83,9 +83,9 @@ _shipped: set[str] = set()  # by application
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package, once, to the workers of a cluster, which may not have it installed."""
+    """Send this package, once an application, to the workers, which may not have it installed or on their path."""
     context = spark.sparkContext
-    if re.fullmatch(LOCAL, context.master) or context.applicationId in _shipped:
+    if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="quayside-"), "quayside"), "zip", os.path.dirname(root), os.path.basename(root))

@@ -45,7 +45,7 @@ def test_a_cluster_has_to_name_one(master):
 AWAY = """
 import sys; sys.path.insert(0, sys.argv[1])
 from pyspark.sql import SparkSession
-spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.ui.enabled", "false").getOrCreate()
+spark = SparkSession.builder.master(sys.argv[2]).config("spark.ui.enabled", "false").getOrCreate()
 from quayside.session import ship, tune
 ship(tune(spark))
 
@@ -58,8 +58,9 @@ print(spark.range(3).mapInArrow(run, "id long").count())
 """
 
 
-def test_workers_get_the_package(tmp_path):
-    """Executors started in another folder, with the package on the driver's path only."""
-    done = subprocess.run([sys.executable, "-c", AWAY, ROOT], env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
+@pytest.mark.parametrize("master", ["local-cluster[1,1,1024]", "local[1]"])
+def test_workers_get_the_package(tmp_path, master):
+    """Workers started in another folder, with the package on the driver's path only."""
+    done = subprocess.run([sys.executable, "-c", AWAY, ROOT, master], env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
                           cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert done.stdout.split()[-1:] == ["3"], done.stderr[-2000:]
