@@ -224,3 +224,37 @@ def test_chains_are_best():
         score = sum(length[i] for i in chain) - sum(substring.GAP_COST * (start[j] - start[i] - length[i] + other[j] - other[i] - length[i]) for i, j in zip(chain, chain[1:], strict=False))
         assert score == pytest.approx(max(best))
         assert sorted(i for c in substring.chains(start, other, length) for i in c) == list(range(n))
+
+
+def edited(words_, kind, step, seed):
+    """A passage with a word put in, left out or replaced every ``step``, or these in turn."""
+    out, turn = [], 0
+    for k, w in enumerate(words_):
+        if k % step == step - 1:
+            how = ("put in", "left out", "changed")[turn % 3] if kind == "mixed" else kind
+            turn += 1
+            out += {"put in": [w, f"new{seed}x{k}"], "left out": [], "changed": [f"new{seed}x{k}"]}[how]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["put in", "left out", "changed", "mixed"])
+def test_recall_over_words_put_in_and_left_out(spark, store, kind):
+    """Passages of 60 words between 80 unlike ones on each side: how many are found, nearly whole, by distance of edits."""
+    rows, length = [], {}
+    for step in (20, 12, 10, 8, 6):
+        for k in range(40):
+            i = 2 * (step * 1000 + k)
+            a = prose(i, 60, 4000).split()
+            b = edited(a, kind, step, i)
+            length[i + 1] = (step, len(b))
+            rows += [(i, f"{prose(i + 1, 80, 4000)} {' '.join(a)} {prose(i + 50_000, 80, 4000)}"), (i + 1, f"{prose(i + 100_000, 80, 4000)} {' '.join(b)} {prose(i + 150_000, 80, 4000)}")]
+    found = {}
+    for r in substring.repeats(spark.createDataFrame(rows, "doc_id long, text string"), store).collect():
+        step, n = length[r["doc_id"]]
+        assert r["source_id"] == r["doc_id"] - 1 and r["start"] >= 76 and r["end"] <= 84 + n
+        found.setdefault(step, []).append((r["end"] - r["start"]) / n)
+    recall = {step: sum(x >= 0.85 for x in found.get(step, [])) / 40 for step in (20, 12, 10, 8, 6)}
+    print(kind, recall)
+    assert all(x >= 0.9 for x in recall.values())
