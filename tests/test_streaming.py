@@ -1,8 +1,10 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from quayside.streaming import admission
 from quayside.streaming.admission import admit, admit_stream
 from quayside.streaming.indexing import DocumentIndex
 from quayside.streaming.live import collect_live_stats
@@ -64,6 +66,51 @@ def test_admission_stream_equals_batch(spark, tmp_path):
     assert outcome(spark.read.parquet(f"{tmp_path}/out/rows")) == outcome(admit(hits, "key", "ts", "hit", 3, 60))
 
 
+def steady(n, seed=4):
+    """One key that never pauses for a window."""
+    rng = np.random.default_rng(seed)
+    return [(i, "busy", int(s)) for i, s in enumerate(np.cumsum(rng.integers(1, 25, n)))]
+
+
+@pytest.mark.parametrize(("limit", "hits"), [
+    (3, steady(2000)), (8, steady(1500)), (1, [(i, "busy", 20 * i) for i in range(700)]),
+    (2, steady(600) + [(10_000 + i, f"k{i % 7}", 13 * i) for i in range(300)] + [(20_000 + i, "busy", 50) for i in range(90)]),
+])
+def test_a_key_that_never_pauses_runs_in_blocks(spark, limit, hits):
+    df = frame(spark, hits).repartition(4)
+    assert outcome(admit(df, "key", "ts", "hit", limit, 60, block_hits=100)) == naive(hits, limit, 60)
+
+
+def test_blocks_are_several_tasks(spark):
+    df = frame(spark, steady(4000)).withColumn("at", F.unix_micros("ts")).select("key", F.lit(0).cast("bigint").alias("stretch"), "at", "hit")
+    rows, starts = admission._in_blocks(df, 3, 60_000_000, 200)
+    assert rows.select("block").distinct().count() >= 18 and starts.count() > 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would share a task
+    try:
+        assert admission._ordered(rows, starts).withColumn("task", F.spark_partition_id()).select("task").distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_blocks_that_never_agree_go_through_one_task(spark):
+    """A hit a second, one a minute admitted: a block's own start never meets the true one."""
+    hits = [(i, "busy", i) for i in range(3000)]
+    assert outcome(admit(frame(spark, hits), "key", "ts", "hit", 1, 61, block_hits=200)) == naive(hits, 1, 61)
+
+
+def test_idle_keys_leave_by_the_watermark(spark, tmp_path):
+    """Five micro-batches; the state holds the keys of the last window only, and at the end those within the allowed lateness."""
+    rows = [(i, f"k{i // 40}", i * 30) for i in range(400)]
+    hits = frame(spark, rows)
+    stream = drops(spark, hits, "ts", tmp_path / "in", 5)
+    admitted = admit_stream(stream, "key", "ts", "hit", 3, 60, late="1 minute")
+    run_available(admitted, write_batches(f"{tmp_path}/out/rows"), f"{tmp_path}/out")
+    assert outcome(spark.read.parquet(f"{tmp_path}/out/rows")) == naive(rows, 3, 60)
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/out/_progress")
+    assert {r["key"]["key"] for r in state.collect()} == {"k9"}
+    assert state.count() <= 3
+
+
 def test_live_stats_equal_batch(spark, tables, tmp_path):
     runs = tables.commerce.agent_runs().select(
         F.col("created_at").cast("timestamp").alias("created_at"), F.coalesce("route", F.lit("none")).alias("route"), "status", "total_ms")
