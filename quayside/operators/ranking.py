@@ -1,20 +1,25 @@
 """Exact ranks and percentiles without putting all rows into one task.
 
-Values are mapped by a monotone function to narrow buckets. The bucket histogram is
-small and bounded, so its running total may be taken in one task; exact ordering then
-happens inside single buckets over *distinct* values with counts, so a value that
-fills a third of the table is still one row."""
+Values are mapped by a monotone function to narrow buckets: a range between quantiles of the data, which a mergeable
+sketch estimates, and inside it a logarithmic bucket. Ranges spread a narrow band of values wherever it lies, the
+logarithm a heavy tail. The bucket histogram is small and bounded, so its running total may be taken in
+one task; exact ordering then happens inside single buckets over *distinct* values with
+counts, so a value that fills a third of the table is still one row."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESOLUTION = 5000  # buckets per unit of ln(1 + |value|): about 0.02 % of the value
 
 
+RANGES = 1024  # ranges of about equally many rows
+LOG_BUCKETS = 2**24  # more than logarithmic buckets there are
+
 NULLS, NANS = -(2**62), 2**62  # buckets of their own: nulls come last in falling order, NaN first
 
 
@@ -26,6 +31,24 @@ def bucket_of(value: Column, resolution: int = RESOLUTION) -> Column:
     return F.when(value.isNull(), F.lit(NULLS)).when(F.isnan(value), F.lit(NANS)).when(infinite, beyond).otherwise(finite)
 
 
+def splitters(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
+    """Distinct finite values that cut the column into ranges of about equally many rows; estimated in one pass."""
+    value = F.col(column).cast("double")
+    finite = df.select(value.alias("v")).where(~F.isnan("v") & (F.abs("v") < float("inf")))
+    shares = [i / ranges for i in range(1, ranges)]
+    return sorted(set(finite.agg(F.percentile_approx("v", shares, 4 * ranges)).first()[0] or []))
+
+
+def bucketed(df: DataFrame, column: str, splits: list[float], resolution: int = RESOLUTION) -> DataFrame:
+    """The rows with ``_b``, a bucket that rises with the column."""
+    cuts = [float("-inf"), *splits, float("inf")]
+    ranged = Bucketizer(splits=cuts, inputCol="_x", outputCol="_range", handleInvalid="keep").transform(
+        df.withColumn("_x", F.col(column).cast("double")))
+    inner = bucket_of(F.col("_x"), resolution)
+    special = F.col("_x").isNull() | F.isnan("_x") | (F.abs("_x") == float("inf"))
+    return ranged.withColumn("_b", F.when(special, inner).otherwise(F.col("_range").cast("bigint") * LOG_BUCKETS + inner)).drop("_x", "_range")
+
+
 def join_with_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on columns of the same names, where null equals null; the left columns stay."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -40,7 +63,7 @@ def with_rank(df: DataFrame, column: str, name: str = "rank", by: list[str] | No
     NaN is the largest value and nulls come last; null keys are a group of their own."""
     keys = list(by or [])
     counts = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_b", bucket_of(F.col(column).cast("double"), resolution))
+    counts = bucketed(counts, column, splitters(df, column), resolution)
     before = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_bn")).select(
         *keys, "_b", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_before"))
@@ -57,7 +80,7 @@ def percentiles(df: DataFrame, column: str, wanted: dict[str, tuple[str, float]]
     First pass: bucket histogram. Second pass: only rows of the buckets that hold a
     wanted position are counted by value."""
     values = df.select(F.col(column).cast("double").alias("_v")).filter("_v is not null")
-    values = values.withColumn("_b", bucket_of(F.col("_v"), resolution))
+    values = bucketed(values, "_v", splitters(values, "_v"), resolution)
     running = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     histogram = (

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from quayside.operators import retrieval as r
 from quayside.operators import similarity as s
-from quayside.operators.ranking import percentiles, with_rank
+from quayside.operators.ranking import bucketed, percentiles, splitters, with_rank
 
 
 def vectors(spark, n=300, dim=8, seed=1):
@@ -136,3 +136,17 @@ def test_percentiles_and_ranks_with_a_hot_value(spark):
     assert row["c"] == np.sort(values)[int(np.ceil(0.95 * len(values))) - 1] and row["d"] == values.min()
     ranks = {x["v"]: x["rank"] for x in with_rank(df, "v").collect()}
     assert all(rank == 1 + int((values > v).sum()) for v, rank in ranks.items())
+
+
+def test_a_narrow_band_of_values_spreads(spark):
+    """Microseconds of one day, which lie in few logarithmic buckets, beside a few values far away."""
+    rng = np.random.default_rng(6)
+    day = 1_700_000_000_000_000 + rng.integers(0, 86_400_000_000, 20_000)
+    values = np.concatenate([day, [0, -5, 3, 2**53]]).astype(float)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").repartition(6)
+    spread = bucketed(df, "v", splitters(df, "v")).groupBy("_b").count().collect()
+    assert len(spread) >= 500 and max(r["count"] for r in spread) <= 200
+    row = percentiles(df, "v", {"a": ("continuous", 0.37), "b": ("nearest", 0.95)}).first()
+    assert np.isclose(row["a"], np.quantile(values, 0.37), rtol=1e-15) and row["b"] == np.sort(values)[int(np.ceil(0.95 * len(values))) - 1]
+    order = np.sort(values)
+    assert all(x["rank"] == len(values) - np.searchsorted(order, x["v"], side="right") + 1 for x in with_rank(df, "v").collect())
