@@ -10,7 +10,7 @@ from quayside.sources.commerce import Commerce, with_views as v
 from quayside.sources.tables import SCHEMAS
 from quayside.streaming.admission import admit, admit_stream
 from quayside.streaming.indexing import DocumentIndex
-from quayside.streaming.live import collect_live_stats
+from quayside.streaming.live import collect_live_latency, collect_live_stats
 from quayside.streaming.run import new_folder, run_available, write_batches
 
 LIMIT, WINDOW = 3, 86_400
@@ -75,11 +75,24 @@ def st02(t):
     return index.attempts().select("document_id", "status", "chunk_count")
 
 
+def live_runs(t):
+    return Commerce(Streams(t)).agent_runs().select(
+        F.col("created_at").cast("timestamp").alias("created_at"), F.coalesce("route", F.lit("none")).alias("route"), "status", "total_ms")
+
+
 @query("st03_live_run_stats", v(
     """SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:%M') AS window_start, coalesce(route, 'none') AS route, status, count(*) AS runs, CAST(sum(total_ms) AS BIGINT) AS total_ms
     FROM v_runs GROUP BY ALL"""))
 def st03(t):
-    runs = Commerce(Streams(t)).agent_runs().select(
-        F.col("created_at").cast("timestamp").alias("created_at"), F.coalesce("route", F.lit("none")).alias("route"), "status", "total_ms")
-    stats = collect_live_stats(runs, "created_at")
+    stats = collect_live_stats(live_runs(t), "created_at")
     return stats.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
+
+
+@query("st03b_live_latency", v(
+    """WITH n AS (SELECT strftime(date_trunc('day', created_at), '%Y-%m-%d') AS window_start, coalesce(route, 'none') AS route, total_ms FROM v_runs),
+    g AS (SELECT window_start, route, count(*) AS runs, list_sort(list(total_ms) FILTER (WHERE total_ms IS NOT NULL)) AS l FROM n GROUP BY ALL)
+    SELECT window_start, route, runs, l[CAST(ceil(0.95 * len(l)) AS INTEGER)] AS latency FROM g"""))
+def st03b(t):
+    """Windows of fewer runs than the sketch's accuracy, so its percentile is the exact one."""
+    stats = collect_live_latency(live_runs(t), "created_at", every="1 day")
+    return stats.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quayside.streaming import admission
 from quayside.streaming.admission import admit, admit_stream
 from quayside.streaming.indexing import DocumentIndex
-from quayside.streaming.live import collect_live_stats
+from quayside.streaming.live import collect_live_latency, collect_live_stats
 from quayside.streaming.run import run_available, write_batches
 
 START = datetime.datetime(2024, 1, 1)
@@ -120,6 +120,25 @@ def test_live_stats_equal_batch(spark, tables, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_live_latency_is_within_the_sketch_error(spark, tmp_path):
+    """More rows than the sketch holds exactly, over four micro-batches, and a row that comes too late."""
+    rng = np.random.default_rng(8)
+    day = datetime.datetime(2024, 5, 1)
+    values = [int(x) for x in rng.lognormal(6, 1.5, 40_000)]
+    rows = [(day + datetime.timedelta(seconds=i // 4), "a" if i % 3 else "b", v) for i, v in enumerate(values)]
+    late = [(day - datetime.timedelta(days=3), "a", 1)]
+    df = spark.createDataFrame(rows, "at timestamp, route string, total_ms bigint")
+    stream = drops(spark, df, "at", tmp_path / "in", 3)
+    spark.createDataFrame(late, df.schema).coalesce(1).write.parquet(f"{tmp_path}/in/99")
+    got = {(r["window_start"], r["route"]): (r["runs"], r["latency"]) for r in collect_live_latency(stream, "at", every="1 day").collect()}
+    assert {k[0] for k in got} == {day}
+    for route in "ab":
+        mine = np.sort([v for _, r, v in rows if r == route])
+        runs, latency = got[day, route]
+        low, high = np.searchsorted(mine, latency, "left"), np.searchsorted(mine, latency, "right")
+        assert runs == len(mine) and low - len(mine) / 1000 - 1 <= 0.95 * len(mine) <= high + len(mine) / 1000 + 1
+
+
 def test_index_over_three_drops(spark, tables, tmp_path):
     docs = tables.documents.select(F.col("doc_id").alias("document_id"), "text", F.lit(False).alias("reindex")).cache()
     one = DocumentIndex(spark, f"{tmp_path}/one")
