@@ -1,9 +1,10 @@
 """Nearest vectors for a table of queries.
 
 Vectors stay where they are: every task multiplies its Arrow batches with the query
-matrix and keeps the k best per query, so k rows per query leave a task and no pair is
-ever materialised. The matrix is limited to ``BLOCK`` queries; a larger query table is
-worked off block by block, each block's result going to a table in shared storage."""
+matrix, ``TURN`` queries at a time, and keeps the k best per query, so k rows per query leave a task and
+no pair is ever materialised. The matrix holds up to ``BLOCK`` queries (fewer of many components: ``MATRIX`` bytes),
+so one job answers them; a larger query table is worked off block by block, each block's result going to a table
+in shared storage."""
 
 from __future__ import annotations
 
@@ -20,7 +21,9 @@ from pyspark.sql import types as T
 from quayside.session import shared_dir
 
 CANDIDATES = 20
-BLOCK = 4096  # queries per broadcast matrix: 12 MB at 384 dimensions
+BLOCK = 1 << 17  # queries in one job
+MATRIX = 256 << 20  # bytes of the matrix that is sent to each executor
+TURN = 1024  # queries multiplied with a batch at a time
 FITTED = 20_000
 RECALL, ASKED = 0.95, 512  # recall that the number of probes is chosen for, and sample queries it is measured on
 DIGITS = 9  # scores that agree this far are ties, decided by id
@@ -66,20 +69,24 @@ def _scan(vectors: DataFrame, key: str, embedding: str, query_ids: list[str], ma
                 continue
             ids = np.asarray(batch.column(0).to_pylist())  # numbers or strings
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            scores = np.round(queries @ _unit(rows.reshape(batch.num_rows, -1).astype(np.float64)).T, DIGITS)
+            units = _unit(rows.reshape(batch.num_rows, -1).astype(np.float64)).T
             where = None if cell_column is None else batch.column(2).to_numpy(zero_copy_only=False)
             for i in range(len(names)):
-                found, value = ids, scores[i]
+                if i % TURN == 0:
+                    scores = np.round(queries[i : i + TURN] @ units, DIGITS)
+                found, value = ids, scores[i % TURN]
                 if where is not None:
                     probed = np.isin(where, probes[i])
                     found, value = found[probed], value[probed]
                 if kept[i] is not None:
                     found, value = np.concatenate([kept[i][0], found]), np.concatenate([kept[i][1], value])
                 kept[i] = _best(found, value, k)
-        for name, best in zip(names, kept):
-            if best is not None and len(best[0]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(best[0]), pa.string()), pa.array(best[0].tolist(), kind), pa.array(best[1])], ["query", key, "similarity"])
+        told = [i for i, best in enumerate(kept) if best is not None and len(best[0])]
+        for start in range(0, len(told), TURN):
+            some = told[start : start + TURN]
+            name = pa.array([names[i] for i in some], pa.string()).take(pa.array(np.repeat(np.arange(len(some)), [len(kept[i][0]) for i in some])))
+            columns = [pa.array([x for i in some for x in kept[i][0].tolist()], kind), pa.array(np.concatenate([kept[i][1] for i in some]))]
+            yield pa.RecordBatch.from_arrays([name, *columns], ["query", key, "similarity"])
 
     columns = [F.col(key), F.col(embedding)] + ([F.col(cell_column)] if cell_column else [])
     # A vector of another length can't be compared; it is no result.
@@ -117,6 +124,8 @@ def _found(queries: DataFrame, query: list[str], asked: str, block: int, search)
     spark = queries.sparkSession
     key = F.to_json(F.struct(*query), {"ignoreNullFields": "false"})
     wanted = queries.select(key.alias("query"), F.col(asked).alias("e")).filter("e is not null")
+    one = wanted.limit(1).collect()
+    block = max(2, min(block, MATRIX // (8 * max(1, len(one[0]["e"]))))) if one else block
     first = wanted.limit(block + 1).collect()
     if len(first) <= block:
         return search(first)

@@ -29,6 +29,16 @@ def test_vector_search_is_exact_with_copies_and_blocks(spark):
             assert [r["id"] for r in sorted((r for r in rows if r["query"] == i), key=lambda r: r["rank"])] == brute(data, i, 7)
 
 
+def test_a_hundred_thousand_queries_are_one_job(spark, monkeypatch):
+    """Nothing is written between, and the plan reads the vectors once."""
+    df, data = vectors(spark, 40)
+    queries = spark.range(100_000).select(F.col("id").alias("query"), (F.col("id") % 40).alias("id")).join(df, "id").drop("id")
+    monkeypatch.setattr(s, "shared_dir", None)
+    rows = s.vector_search(queries, df, "id", 1).where("rank = 1").groupBy(F.col("query") % 40, "id").count().collect()
+    first = {i: brute(data, i, 1)[0] for i in range(40)}
+    assert {(r[0], r["id"]) for r in rows} == set(first.items()) and all(r["count"] == 2500 for r in rows)
+
+
 def test_approximate_search(spark):
     df, data = vectors(spark)
     queries = df.filter("id < 9").withColumnRenamed("id", "query")
