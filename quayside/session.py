@@ -71,13 +71,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_folders[context.applicationId]
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate tables in whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+FEW_SPLITS = 64
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy work on a scan at least one partition per core.
+    """Give CPU-heavy work on a handful of small files one partition per core.
 
-    A scan of large tables has far more partitions than cores and is left alone; only a
-    handful of small files would otherwise run on a few cores. For plain scans only:
-    planning a join to count its partitions would run it."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
+    A scan of more than ``FEW_SPLITS`` partitions is left alone however many cores there are, so that the texts of
+    large tables never move. For plain scans only: planning a join to count its partitions would run it."""
+    cores = min(FEW_SPLITS, scan.sparkSession.sparkContext.defaultParallelism)
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
 
 

@@ -3,7 +3,8 @@
 Every micro-batch refuses files that are already in the index (or earlier in the batch),
 cuts the others into chunks and adds them under the batch's own folders, so a repeated
 batch replaces itself and lost executors only cost a retry. A re-indexed document gets a
-newer version; readers take the newest version of each document."""
+newer version; readers take the newest version of each document. Texts are written once, where they were read;
+ids and checksums alone are exchanged, and what a batch staged is removed when its results are there."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from quayside.functions.injection import injection_markers
 from quayside.operators.chunking import CHUNK_SIZE, OVERLAP, chunk_array, single_page, token_estimate
 from quayside.operators.corpus import NO_READABLE_TEXT
 from quayside.operators.quality import checksum
-from quayside.session import spread
+from quayside.session import remove_folder, spread
 
 NO_ID = "This document has no id."
 SUPERSEDED = "A later version of this document came in the same batch."
@@ -47,52 +48,65 @@ class DocumentIndex:
         largest checksum), the others are recorded as superseded. Equal texts of a document are one version, sent
         when the last of them was, and re-indexed if any of them asks for it. Null texts and rows without an id
         are recorded as failed."""
-        stored = self._stored("documents", DOCUMENTS).filter(F.col("batch") != batch_id)
+        staged = f"{self._folder}/staged/batch={batch_id}"
         sent = F.col("sent") if "sent" in batch.columns else F.lit(0)
-        rows = spread(batch, "document_id").select("document_id", "text", "reindex", sent.alias("sent"), checksum(F.col("text")).alias("checksum"))
-        rows = rows.groupBy("document_id", "checksum").agg(F.first("text").alias("text"), F.max("reindex").alias("reindex"), F.max("sent").alias("sent"))
-        nameless = rows.filter("document_id is null")
-        rows = rows.filter("document_id is not null")
-        last = rows.groupBy("document_id").agg(F.max_by("checksum", F.struct("sent", "checksum")).alias("checksum"))
-        newest = last.select(F.col("document_id").alias("_id"), F.col("checksum").alias("_checksum"))
-        is_last = (F.col("document_id") == F.col("_id")) & F.col("checksum").eqNullSafe(F.col("_checksum"))
-        files = rows.join(newest, is_last, "left_semi")
-        older = rows.select("document_id", "checksum").join(newest, is_last, "left_anti")
-        # The batch is the small side: the stored checksums are only scanned.
-        known = stored.filter("status not in ('refused', 'superseded')").select("checksum", F.col("document_id").alias("owner"))
-        known = known.join(files.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("owner").alias("owner"))
-        first = files.groupBy("checksum").agg(F.min("document_id").alias("first"))
-        owners = first.join(known, "checksum", "left").select("checksum", F.coalesce("owner", "first").alias("owner"),
-                                                              F.col("owner").isNotNull().alias("stored"))
-        verdicts = files.drop("text").join(owners, "checksum").select(
-            "document_id", "checksum",
-            (~F.col("reindex") & ((F.col("owner") != F.col("document_id")) | F.col("stored"))).alias("refused")).distinct()
-        # Only ids and checksums were shuffled so far. An outer join can only build its right
-        # side, so the texts stay spread over their partitions and meet the verdicts there.
-        judged = files.join(verdicts, ["document_id", "checksum"], "left")
+        texts = spread(batch, "document_id").select("document_id", "text", "reindex", sent.alias("sent"), checksum(F.col("text")).alias("checksum"))
+        texts = self._staged(texts, f"{staged}/texts").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+        verdicts = self._staged(self._verdicts(texts, batch_id), f"{staged}/verdicts")
+        # Verdicts are stored, so their size is known when the join is planned: texts stay where they are and each is
+        # met by its row's verdict. Only beyond the broadcast limit would Spark deal both sides out.
+        chosen = texts.select("place", "text").join(verdicts.where("status is null"), "place")
         chunks = F.when(~F.col("refused"), chunk_array(single_page(clean_text(F.col("text"))), self._size, self._overlap))
-        # A null text has no verdict: nothing is like it.
-        judged = judged.withColumn("refused", F.coalesce("refused", F.lit(False)))
-        work = judged.select("document_id", "checksum", "refused", chunks.alias("chunks"))
-        # Both outputs are written from one table, so the folds run once.
-        staged = f"{self._folder}/staged/batch={batch_id}"
-        work.write.mode("overwrite").parquet(staged)
-        work = self._spark.read.schema(work.schema).parquet(staged)
+        # Both outputs are written from one table, so the chunks are made once.
+        work = self._staged(chosen.select("document_id", "checksum", "refused", chunks.alias("chunks")), f"{staged}/work")
         found = F.coalesce(F.size("chunks") > 0, F.lit(False))
-        work.select(
+        judged = work.select(
             "document_id", "checksum",
             F.when(F.col("refused"), "refused").when(found, "indexed").otherwise("failed").alias("status"),
             F.when(F.col("refused"), "This file is already in the knowledge base.").when(~found, NO_READABLE_TEXT).alias("error"),
             F.when(F.col("refused"), 0).when(found, F.size("chunks")).otherwise(0).alias("chunk_count"),
-        ).unionByName(older.select(
-            "document_id", "checksum", F.lit("superseded").alias("status"), F.lit(SUPERSEDED).alias("error"), F.lit(0).alias("chunk_count"),
-        )).unionByName(nameless.select(
-            "document_id", "checksum", F.lit("failed").alias("status"), F.lit(NO_ID).alias("error"), F.lit(0).alias("chunk_count"),
-        )).write.mode("overwrite").parquet(f"{self._folder}/documents/batch={batch_id}")
+        )
+        others = verdicts.where("status is not null").select("document_id", "checksum", "status", "error", F.lit(0).alias("chunk_count"))
+        judged.unionByName(others).write.mode("overwrite").parquet(f"{self._folder}/documents/batch={batch_id}")
         work.filter(~F.col("refused")).select("document_id", F.posexplode("chunks").alias("chunk_index", "c")).select(
             "document_id", "chunk_index", "c.content", "c.page", "c.section", token_estimate(F.col("c.content")).alias("token_estimate"),
             (F.size(injection_markers(F.col("c.content"))) > 0).alias("suspicious"),
         ).write.mode("overwrite").parquet(f"{self._folder}/chunks/batch={batch_id}")
+        remove_folder(self._spark, staged)
+
+    def _staged(self, rows: DataFrame, path: str) -> DataFrame:
+        rows.write.mode("overwrite").parquet(path)
+        return self._spark.read.schema(rows.schema).parquet(path)
+
+    def _verdicts(self, texts: DataFrame, batch_id: int) -> DataFrame:
+        """What becomes of each version: ``document_id, checksum, status, error, refused, place``.
+
+        Status is null for those whose text, that of the row at ``place``, is to be looked at. Works on ids and checksums only."""
+        rows = texts.groupBy("document_id", "checksum").agg(F.max("reindex").alias("reindex"), F.max("sent").alias("sent"), F.min("place").alias("place"))
+        named = rows.filter("document_id is not null")
+        last = named.groupBy("document_id").agg(F.max_by("checksum", F.struct("sent", "checksum")).alias("checksum"))
+        newest = last.select(F.col("document_id").alias("_id"), F.col("checksum").alias("_checksum"))
+        is_last = (F.col("document_id") == F.col("_id")) & F.col("checksum").eqNullSafe(F.col("_checksum"))
+        files = named.join(newest, is_last, "left_semi")
+        older = named.join(newest, is_last, "left_anti")
+        # The batch is the small side: the stored checksums are only scanned.
+        stored = self._stored("documents", DOCUMENTS).filter(F.col("batch") != batch_id)
+        known = stored.filter("status not in ('refused', 'superseded')").select("checksum", F.col("document_id").alias("owner"))
+        known = known.join(files.select("checksum"), "checksum", "left_semi").groupBy("checksum").agg(F.min("owner").alias("owner"))
+        first = files.groupBy("checksum").agg(F.min("document_id").alias("first")).where("checksum is not null")
+        owners = first.join(known, "checksum", "left").select("checksum", F.coalesce("owner", "first").alias("owner"),
+                                                              F.col("owner").isNotNull().alias("stored"))
+        refused = ~F.col("reindex") & ((F.col("owner") != F.col("document_id")) | F.col("stored"))
+        # A null text has no owner: nothing is like it.
+        looked_at = files.join(owners, "checksum", "left").select(
+            "document_id", "checksum", F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("error"),
+            F.coalesce(refused, F.lit(False)).alias("refused"), "place")
+
+        def settled(df: DataFrame, status: str, error: str) -> DataFrame:
+            return df.select("document_id", "checksum", F.lit(status).alias("status"), F.lit(error).alias("error"), F.lit(False).alias("refused"), "place")
+
+        nameless = settled(rows.filter("document_id is null"), "failed", NO_ID)
+        return looked_at.unionByName(settled(older, "superseded", SUPERSEDED)).unionByName(nameless)
 
     def attempts(self) -> DataFrame:
         """Every document ever sent, with the outcome of its batch."""

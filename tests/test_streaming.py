@@ -175,3 +175,25 @@ def test_last_version_of_a_batch_with_repeats_nulls_and_flags(spark, tmp_path):
     got = {(r["document_id"], r["status"], r["chunk_count"]) for r in index.attempts().filter("batch = 1").collect()}
     assert got == {(1, "indexed", 1), (1, "superseded", 0), (2, "indexed", 1), (3, "failed", 0), (3, "superseded", 0), (None, "failed", 0)}
     assert {(r["document_id"], r["content"]) for r in index.chunks().collect()} == {(1, "text A"), (2, "kept text")}
+
+
+def test_texts_are_not_exchanged_and_nothing_staged_stays(spark, tmp_path, monkeypatch):
+    """Plans of a second batch: exchanges carry ids and checksums only."""
+    schema = "document_id bigint, text string, reindex boolean, sent int"
+    index = DocumentIndex(spark, str(tmp_path / "plans"))
+    index.process(spark.createDataFrame([(i, f"text {i}", False, 1) for i in range(50)], schema), 0)
+    plans = []
+    keep = DocumentIndex._staged
+
+    def watched(self, rows, path):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return keep(self, rows, path)
+
+    monkeypatch.setattr(DocumentIndex, "_staged", watched)
+    spark.createDataFrame([(i, f"text {i % 60}", i % 7 == 0, 1) for i in range(40, 90)], schema).write.parquet(str(tmp_path / "in"))
+    index.process(spark.read.schema(schema).parquet(str(tmp_path / "in")).coalesce(8), 1)
+    _, verdicts, work = plans
+    assert "ReadSchema" in verdicts and "text:string" not in verdicts
+    assert "text:string" in work and "BroadcastHashJoin" in work and "hashpartitioning" not in work
+    assert not (tmp_path / "plans" / "staged" / "batch=1").exists() and not (tmp_path / "plans" / "staged" / "batch=0").exists()
+    assert {r["status"] for r in index.attempts().filter("batch = 1").collect()} == {"indexed", "refused"}
