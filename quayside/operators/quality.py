@@ -29,12 +29,6 @@ def dedup_by_checksum(df: DataFrame, key: str, content: str) -> DataFrame:
         (F.coalesce("keeper", key) != F.col(key)).alias("duplicate"))
 
 
-def replace_chunks(new: DataFrame, target: DataFrame, document: str = "document_id") -> DataFrame:
-    """The target with all chunks of every document in ``new`` replaced by the new ones."""
-    touched = new.select(document).distinct()
-    return target.join(touched, document, "left_anti").unionByName(new)
-
-
 def result_page(df: DataFrame, max_rows: int, *order: Column) -> DataFrame:
     """At most ``max_rows`` rows and whether more were there; reads one row beyond the cap."""
     page = df.orderBy(*order).limit(max_rows + 1)

@@ -9,6 +9,7 @@ from quayside.operators import evaluation
 from quayside.operators import quality as q
 from quayside.plans.registry import query
 from quayside.sources import files, snapshots
+from quayside.sources.chunk_table import ChunkTable
 from quayside.sources.commerce import ORDER_STATUS, RETURN_REASONS, with_views as v
 from quayside.sources.tables import ROW_KEYS, SCHEMAS
 from quayside.streaming.run import new_folder
@@ -98,7 +99,10 @@ def s06(t):
     target = t.documents.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
     new = t.documents.filter("lang = 'fr'").select(
         F.col("doc_id").alias("document_id"), F.lit(0).alias("chunk_index"), F.upper("text").alias("content"))
-    return q.replace_chunks(new, target).select("document_id", "chunk_index", F.md5("content").alias("content_md5"))
+    table = ChunkTable(t.spark, new_folder(t.spark, "chunk-table"), "document_id bigint, chunk_index int, content string")
+    table.replace(target)
+    table.replace(new)
+    return table.read().select("document_id", "chunk_index", F.md5("content").alias("content_md5"))
 
 
 @query("s07_result_page",

@@ -77,6 +77,16 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below a path whose write was completed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    base = hadoop.Path(path)
+    files = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(base):
+        return []
+    return sorted(f.getPath().getName() for f in files.listStatus(base) if files.exists(hadoop.Path(f.getPath(), "_SUCCESS")))
+
+
 FEW_SPLITS = 64
 
 
