@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from quayside.llm.common import Store, to_batch, words
 
 BLOCK = 8_000_000  # characters; a longer text is a block by itself
+PLACE_BITS = 28  # of a word's number in its block; a block's own number is the rest of a place
+HOT_BLOCKS, HOT_SAMPLE, HOT_BYTES, MOST_HOT, SHARES = 100_000, 64, 64, 10_000, 64  # words dealt by block too, see ``_hot_words``
 SHORT = 48  # characters of words that are worked off together
 BATCH = 1 << 16  # rows worked off together
 MARK = "▁"
@@ -222,7 +224,7 @@ def _number(batches: Iterator[pa.RecordBatch], id_type: pa.DataType) -> Iterator
         for at in range(0, len(listed), 50_000):
             part = listed[at : at + 50_000]
             k = len(part)
-            columns = [pa.nulls(k, pa.int64()), pa.array(part, pa.binary()), pa.array(((first + block) << 32) + np.arange(at, at + k)), pa.array(n[at : at + k])]
+            columns = [pa.nulls(k, pa.int64()), pa.array(part, pa.binary()), pa.array(((first + block) << PLACE_BITS) + np.arange(at, at + k)), pa.array(n[at : at + k])]
             yield pa.RecordBatch.from_arrays(columns + [pa.nulls(k, f.type) for f in list(schema)[4:]], schema=schema)
 
     for batch in batches:
@@ -257,12 +259,18 @@ def score_documents(docs: DataFrame, held_out: F.Column, path: str, store: Store
     numbered = store.keep(chosen.mapInArrow(lambda b: _number(b, id_type), f"{fields}, ids array<{id_name}>"), "numbered")
     texts = numbered.where("word is null").select("block", "sizes", "held", "tokens", "ids")
 
-    # A word has a row per block, so no word has more than a small share of the rows.
-    of_word = Window.partitionBy("word")
+    # A word has a row per block. One in very many blocks is dealt by block too, and its total is added up apart.
     counted = numbered.where("word is not null").select("word", "place", "n_train")
-    counted = counted.select("word", "place", F.sum("n_train").over(of_word).alias("c"), (F.row_number().over(of_word.orderBy("place")) == 1).alias("first"))
+    hot = _hot_words(counted, store)
+    share = F.when(F.col("hot_c").isNotNull(), F.pmod(F.xxhash64("place"), F.lit(SHARES))).otherwise(0)
+    counted = counted.join(F.broadcast(hot), "word", "left").withColumn("share", share)
+    of_word = Window.partitionBy("word", "share")
+    counted = counted.select(
+        "word", "place", F.coalesce("hot_c", F.sum("n_train").over(of_word)).alias("c"),
+        (F.col("hot_c").isNull() & (F.row_number().over(of_word.orderBy("place")) == 1)).alias("first"),
+    )
     counted = store.keep(counted, "counted")  # its files are sorted by word
-    once = counted.where("first and c > 0")
+    once = counted.where("first").select("word", "c").union(hot).where("c > 0")
     totals = once.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     ended = texts.mapInArrow(_train_documents, "n long").agg(F.sum("n")).first()[0] or 0
     n_train = (totals["n"] or 0) + ended
@@ -284,9 +292,9 @@ def score_documents(docs: DataFrame, held_out: F.Column, path: str, store: Store
             log10 = (lattice.marginals(word.dictionary.to_pylist()) / math.log(10))[word.indices.to_numpy()]
             place, c = table.column("place").to_numpy(), table.column("c").to_numpy()
             order = np.argsort(place, kind="stable")
-            blocks, first = np.unique(place[order] >> 32, return_index=True)
+            blocks, first = np.unique(place[order] >> PLACE_BITS, return_index=True)
             parts = np.split(order, first[1:])
-            packed = [[x[p].astype(kind).tobytes() for p in parts] for x, kind in ((place & 0xFFFFFFFF, "<u4"), (c, "<i8"), (log10, "<f8"))]
+            packed = [[x[p].astype(kind).tobytes() for p in parts] for x, kind in ((place & ((1 << PLACE_BITS) - 1), "<u4"), (c, "<i8"), (log10, "<f8"))]
             yield pa.RecordBatch.from_arrays([pa.array(blocks), *[pa.array(x, pa.binary()) for x in packed]], ["block", "slot", "c", "log10"])
 
     back = counted.select("word", "place", "c").mapInArrow(judged, "block long, slot binary, c binary, log10 binary")
@@ -297,6 +305,19 @@ def score_documents(docs: DataFrame, held_out: F.Column, path: str, store: Store
     return result.select(F.col("doc_id").cast(kind), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def _hot_words(counted: DataFrame, store: Store) -> DataFrame:
+    """``word, hot_c``: words in about ``HOT_BLOCKS`` blocks or more, which one task should not take, with their training count.
+
+    One row in ``HOT_SAMPLE`` tells which these are, ``MOST_HOT`` of up to ``HOT_BYTES`` bytes at most: under 1 MB to broadcast. Their
+    counts are added up over all rows, in parts first. All other words are counted by word."""
+    asked = counted.where((F.pmod(F.xxhash64("place"), F.lit(HOT_SAMPLE)) == 0) & (F.octet_length("word") <= HOT_BYTES))
+    asked = asked.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SAMPLE > HOT_BLOCKS)
+    hot = store.keep(asked.orderBy(F.desc("n"), "word").limit(MOST_HOT).select("word"), "hot")
+    if hot.isEmpty():
+        return hot.select("word", F.lit(0).cast("long").alias("hot_c"))
+    return store.keep(counted.join(F.broadcast(hot), "word").groupBy("word").agg(F.sum("n_train").alias("hot_c")), "hot-counts")
+
+
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches put together to at least ``BATCH`` rows."""
     held, n = [], 0

@@ -45,6 +45,30 @@ def test_quality_of_odd_rows(spark, odd_docs, no_docs, labelled):
     assert {r["score"] for r in quality.score_documents(odd_docs, nothing).collect()} == {0.5}
 
 
+def plain_quality(text, model):
+    """The score of a text one n-gram at a time."""
+    raw = (text or "").encode("utf-8", "replace")
+    kept = quality.DIMENSIONS - quality.PATTERNS
+    index = {((a | b << 8 | c << 16) * 2654435761 % 2**32 >> 16) % kept for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)}
+    found = raw.split()
+    for step in (1, 2, 3):
+        if len(found) > step:
+            same = sum(found[k] == found[k + step] for k in range(len(found) - step)) / (len(found) - step)
+            index.add(kept + 16 * step + min(15, int(16 * same)))
+    length = math.sqrt(1 + sum(float(model.ratios[i]) ** 2 for i in index))
+    margin = (math.fsum(float(model.weights[i]) for i in index) + model.intercept) / length
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * margin + model.shift))))
+
+
+def test_quality_of_a_whole_table_one_gram_at_a_time(spark, labelled, odd_docs):
+    docs, labels = labelled
+    model = quality.train(docs, labels, fold("doc_id", 3) != 1)
+    for table in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd_docs):
+        got = sorted((str(r["doc_id"]), r["score"]) for r in quality.score_documents(table, model).collect())
+        want = sorted((str(r["doc_id"]), plain_quality(r["text"], model)) for r in table.collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9)
+
+
 def test_dual_descent_solves_the_hinge_loss():
     """No direction from the fitted weights lowers the primal objective."""
     order = np.random.default_rng(1)
@@ -85,6 +109,33 @@ def test_toxicity_on_held_out_documents(spark, labelled, store):
     assert means[1] > means[0] + 0.5
 
 
+def plain_toxicity(text, model):
+    """Expected grade and the chance of grade 1 or more, one window at a time."""
+    raw = "".join(c if not c.isascii() or c.isalnum() else " " for c in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    raw = b" " + " ".join(raw.split(" ")).encode("utf-8", "replace") + b" "
+    raw = b" " + b" ".join(raw.split()) + b" " if raw.split() else b""
+    counts = {}
+    for width in toxicity.WIDTHS:
+        for k in range(len(raw) - width + 1):
+            counts[raw[k : k + width]] = counts.get(raw[k : k + width], 0) + 1
+    total = 0.0
+    for packed, weight in zip(model.windows.tolist(), model.weights.tolist(), strict=True):
+        width = packed >> 56
+        total += weight * math.log1p(counts.get((packed & (1 << 8 * width) - 1).to_bytes(width, "big"), 0))
+    reached = [1 / (1 + math.exp(-max(-30.0, min(30.0, total - t)))) for t in model.thresholds.tolist()]
+    return sum(reached), reached[0]
+
+
+def test_toxicity_of_a_whole_table_one_window_at_a_time(spark, labelled, odd_docs, store):
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, store, fold("doc_id", 3) != 1)
+    assert len(model.windows) > 10
+    for table in (spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), odd_docs):
+        got = sorted((str(r["doc_id"]), r["severity"], r["chance"]) for r in toxicity.score_documents(table, model).collect())
+        want = sorted((str(r["doc_id"]), *plain_toxicity(r["text"], model)) for r in table.collect())
+        assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1:] for x in got], [x[1:] for x in want], rtol=1e-9)
+
+
 def test_ordinal_regression_recovers_grades():
     order = np.random.default_rng(3)
     n = order.integers(0, 12, 400)
@@ -257,6 +308,22 @@ def test_scores_of_a_table(spark, store, monkeypatch):
     check_scores(docs, lm.score_documents(docs, fold("doc_id", 5) == 1, PIECES, store), PIECES)
 
 
+def test_scores_where_frequent_words_are_counted_apart(spark, store, monkeypatch):
+    few = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(60)
+    docs = spark.createDataFrame(few.collect(), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm, "HOT_BLOCKS", 3)
+    monkeypatch.setattr(lm, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(lm, "MOST_HOT", 40)
+    counted = spark.createDataFrame([(b"a", 1 << 28, 2), (b"a", 2 << 28, 3), (b"a", 3 << 28, 0), (b"a", 4 << 28, 5), (b"b", 1, 7)], "word binary, place long, n_train long")
+    assert [(bytes(r["word"]), r["hot_c"]) for r in lm._hot_words(counted, store).collect()] == [(b"a", 10)]
+    seen = []
+    find = lm._hot_words
+    monkeypatch.setattr(lm, "_hot_words", lambda *x: seen.append(find(*x)) or seen[-1])
+    monkeypatch.setattr(lm, "HOT_BLOCKS", 1)
+    check_scores(docs, lm.score_documents(docs, fold("doc_id", 5) == 1, PIECES, store), PIECES)
+    assert 0 < seen[0].count() <= 40
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs, store):
     check_scores(odd_docs, lm.score_documents(odd_docs, fold("doc_id", 5) == 1, PIECES, store), PIECES)
     assert rows_of(lm.score_documents(no_docs, fold("doc_id", 5) == 1, PIECES, store)) == []
