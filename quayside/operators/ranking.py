@@ -41,7 +41,7 @@ def splitters(df: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
 
 def bucketed(df: DataFrame, column: str, splits: list[float], resolution: int = RESOLUTION) -> DataFrame:
     """The rows with ``_b``, a bucket that rises with the column."""
-    cuts = [float("-inf"), *splits, float("inf")]
+    cuts = [float("-inf"), *(splits or [0.0]), float("inf")]
     ranged = Bucketizer(splits=cuts, inputCol="_x", outputCol="_range", handleInvalid="keep").transform(
         df.withColumn("_x", F.col(column).cast("double")))
     inner = bucket_of(F.col("_x"), resolution)

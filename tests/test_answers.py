@@ -1,4 +1,5 @@
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -94,6 +95,26 @@ def test_result_matching(evaluate):
     assert match(evaluate, [["a"], ["a", "b"]], [["a"], ["a", "b"]])
 
 
+def test_first_fit_equals_the_array_form(evaluate):
+    order = random.Random(7)
+    cases = [([["a"] * order.randrange(1, 3) + order.choices("abc", k=order.randrange(0, 3)) for _ in range(order.randrange(0, 5))],
+              [order.choices("abcd", k=order.randrange(1, 5)) for _ in range(order.randrange(0, 5))]) for _ in range(200)]
+    cases += [(g, [r + ["z"] for r in order.sample(g, len(g))]) for g, _ in cases if g]
+    want = evaluate(lambda c: evaluation.rows_match(c["g"], c["a"]), cases, "struct<g:array<array<string>>,a:array<array<string>>>")
+    assert [evaluation.first_fit([frozenset(r) for r in g], [frozenset(r) for r in a]) for g, a in cases] == want and set(want) == {True, False}
+
+
+def test_a_result_of_very_many_rows(spark):
+    n = 300_000
+    gold = spark.range(n).select(F.lit(1).cast("bigint").alias("item"), F.col("id").alias("at"), F.col("id").alias("key"), (F.col("id") % 7).cast("string").alias("kind"))
+    agent = gold.select("item", (-F.col("at")).alias("at"), F.upper("kind").alias("k"), F.col("key").cast("double").alias("number"), F.lit("x").alias("more"))
+    odd = spark.createDataFrame([(2, 0, 5, "b")], gold.schema)
+    items = spark.createDataFrame([(1,), (2,), (3,)], "item bigint")
+    got = evaluation.result_matches(items, gold.union(odd), agent, "item", "at")
+    assert {tuple(r) for r in got.collect()} == {(1, True), (2, False), (3, True)}
+    assert not evaluation.result_matches(items, gold, agent.withColumn("number", F.when(F.col("at") == -5, 1.5).otherwise(F.col("number"))), "item", "at").first()["matches"]
+
+
 def test_cells(spark):
     from pyspark.sql import types as T
 
