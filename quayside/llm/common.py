@@ -47,7 +47,7 @@ def bitmap(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     h = (F.shiftrightunsigned(column, 64 - bits) + 1).alias("h")
     held = rows.select(h).groupBy(F.bitmap_bucket_number("h").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     cells = np.zeros(1 << (bits - 3), np.uint8)
-    for row in held.toLocalIterator():  # 4 kB a row
+    for row in held.repartition(4).toLocalIterator():  # 4 kB a row; a job for each partition
         cells[(row["at"] - 1) * 4096 : row["at"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return cells
 
