@@ -160,6 +160,26 @@ def s10(t):
         F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double").alias("total"))
 
 
+def bucketed_snapshots(t, buckets: int = 8):
+    """Snapshots of the orders and the customers, both bucketed by customer."""
+    base = new_folder(t.spark, "bucketed")
+    name = base.rsplit("/", 1)[-1].replace("-", "_")
+    tables = ("orders", t.orders.withColumnRenamed("o_custkey", "custkey")), ("customers", t.customer.withColumnRenamed("c_custkey", "custkey"))
+    return [snapshots.write_bucketed(df, f"{name}_{kind}", "custkey", buckets, f"{base}/{kind}") for kind, df in tables]
+
+
+@query("s10b_bucketed_snapshot",
+       """SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT o_custkey) AS customers, CAST(sum(CAST(o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS total
+       FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""")
+def s10b(t):
+    """Snapshots that share their buckets are joined, and counted by customer, bucket by bucket."""
+    orders, customers = bucketed_snapshots(t)
+    of_customer = orders.join(customers, "custkey").groupBy("custkey", "c_mktsegment").agg(
+        F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(14,2)")).alias("total"))
+    return of_customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.sum("n").alias("orders"), F.count("*").alias("customers"), F.sum("total").cast("double").alias("total"))
+
+
 def constraints(t):
     c, ref = t.commerce, q.References
     return [

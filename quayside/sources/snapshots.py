@@ -21,6 +21,10 @@ def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = No
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Replace a table bucketed by its join key, so that joins on it need no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+def write_bucketed(df: DataFrame, table: str, key: str, buckets: int, folder: str) -> DataFrame:
+    """Keep a snapshot as a table bucketed by its join key, so that joins on it need no shuffle; read it back.
+
+    Rows are dealt by the key once, so each bucket is one file."""
+    dealt = df.repartition(buckets, key)
+    dealt.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).option("path", folder).saveAsTable(table)
+    return df.sparkSession.table(table)

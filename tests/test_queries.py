@@ -71,3 +71,17 @@ def test_one_scan_serves_all_checks_of_a_table(spark):
     assert sum("/lineitem.parquet" in x for x in scans) <= 4  # unique key, foreign keys, checks, the inventory view
     features = QUERIES["t12_hash_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert features.count("FileScan") == 1 and "Aggregate" not in features  # counted in the row
+
+
+def test_bucketed_snapshots_join_without_an_exchange(spark):
+    from quayside.plans.quality import bucketed_snapshots
+    from quayside.sources.tables import Tables
+
+    orders, customers = bucketed_snapshots(Tables(spark, SF), 4)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = orders.join(customers, "custkey").groupBy("custkey").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
