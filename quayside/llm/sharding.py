@@ -54,12 +54,15 @@ def rebalance(mapped: DataFrame, loads: DataFrame, shards: int, version: int) ->
     both = both.withColumn("stays", F.coalesce(stays, F.lit(False)))
     kept = both.where("stays").select("slot", "part", "shard", "since")
 
-    held = both.where("stays and bytes > 0").groupBy("shard").agg(F.sum("bytes").alias("load"))
-    held = held.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("held"))
-    given = both.where("not stays").agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "slot", "part", F.col("shard").alias("was"), "since"))).alias("given"))
-    one = given.withColumn("k", F.lit(0)).join(held.withColumn("k", F.lit(0)), "k")  # one row each
+    # One row: the entries given up, largest first, and what the others weigh.
+    given = F.when(~F.col("stays"), F.struct((-F.col("bytes")).alias("less"), "slot", "part", F.col("shard").alias("was"), "since"))
+    held = F.when(F.col("stays") & (F.col("bytes") > 0), F.struct("shard", "bytes"))
+    one = both.agg(F.sort_array(F.collect_list(given)).alias("given"), F.collect_list(held).alias("held"))
 
-    start = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(F.coalesce(F.element_at("held", s), F.lit(0)).cast("long").alias("load"), s.alias("shard"))))
+    def load(s: Column) -> Column:
+        return F.aggregate(F.filter("held", lambda h: h["shard"] == s), F.lit(0).cast("long"), lambda total, h: total + h["bytes"])
+
+    start = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(load(s).alias("load"), s.alias("shard"))))
     nothing = F.array().cast("array<int>")
 
     def place(state: Column, entry: Column) -> Column:

@@ -110,3 +110,5 @@ def test_files_hold_the_records(spark, store, odd_docs, tmp_path):
 def test_no_python_worker(spark, store, odd_docs):
     plan = sharding.shard_documents(odd_docs, store)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("EvalPython", "MapInArrow", "MapInPandas", "ExistingRDD"))
+    maps = sharding.rebalance(sharding.first_map(spark, 4, 64), sharding.loads_of(spark.range(9).selectExpr("int(id) slot", "0 part", "id size")), 4, 2)
+    assert "NestedLoop" not in maps._jdf.queryExecution().executedPlan().toString()
