@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quayside.functions.cleaning import clean_text, strip_markdown, tidy
+from quayside.functions.cleaning import clean_text, strip_markdown
 from quayside.functions.injection import PHRASES, injection_markers, is_suspicious
-from quayside.functions.text import SPACE_RE2, lit_array, pick, pick_sql, sql_list, strip_sql
+from quayside.functions.text import SPACE_RE2, pick, pick_sql, sql_list, strip_sql
 from quayside.operators import chunking as ch
 from quayside.operators import corpus as c
 from quayside.plans.registry import query

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quayside.functions.text import sql_list
 from quayside.operators import evaluation
 from quayside.operators import quality as q
 from quayside.plans.registry import query
 from quayside.sources import files, snapshots
 from quayside.sources.chunk_table import ChunkTable
-from quayside.sources.commerce import ORDER_STATUS, RETURN_REASONS, with_views as v
+from quayside.sources.commerce import ORDER_STATUS, with_views as v
 from quayside.sources.tables import ROW_KEYS, SCHEMAS
 from quayside.streaming.run import new_folder
 
