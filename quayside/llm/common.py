@@ -13,11 +13,17 @@ from pyspark.sql import functions as F
 from quayside.session import shared_dir, ship
 
 
+BATCH_ROWS = 2048  # whole texts in an Arrow batch: some MB, twice in a task's memory
+
+
 class Store:
-    """A new folder for intermediate tables below the shared folder of the session."""
+    """A new folder for intermediate tables below the shared folder of the session, whose Arrow batches are kept small."""
 
     def __init__(self, spark: SparkSession, name: str):
         ship(spark)
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if int(spark.conf.get(size, "0")) not in range(1, BATCH_ROWS + 1):
+            spark.conf.set(size, BATCH_ROWS)
         self.spark = spark
         self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.kept = 0
