@@ -12,6 +12,7 @@ decoded. A shard hands on k rows a query."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,6 +28,8 @@ SPAN = 128
 ASKED = 1 << 17  # queries whose terms one job holds: some 25 MB
 LISTED = 2000  # terms up to which the filter on postings is a list, else a broadcast table
 FIRST_RUNS = 4
+SHARD_BYTES = 16 << 20  # text of a shard
+EMITTED = 1 << 16  # posting blocks handed on at once
 
 
 @dataclass(frozen=True)
@@ -39,13 +42,18 @@ class KeywordIndex:
     span: int
 
 
-def build_index(chunks: DataFrame, key: str, text: Column, shards: int | None = None, folder: str | None = None, span: int = SPAN) -> KeywordIndex:
+def build_index(chunks: DataFrame, key: str, text: Column, shards: int | None = None, folder: str | None = None, span: int = SPAN,
+                least: int | None = None) -> KeywordIndex:
     """Store the index of a chunk table with unique, non-null ids.
 
-    ``shards`` defaults to the number of shuffle partitions. Texts become words where they are read; words are
-    exchanged once, by shard, and everything else happens inside the shard's task."""
+    Without ``shards`` there are as many as keep a shard near ``SHARD_BYTES`` of text, but ``least`` (the number of shuffle partitions) at
+    least, so a task's work does not grow with the table. Texts are exchanged once, by shard; in order of
+    their ids they become words and posting blocks as they are read, a batch at a time."""
     spark = chunks.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = chunks.where(F.col(key).isNotNull())
+    if not shards:
+        size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        shards = max(least or int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     name = f"keywords_{uuid.uuid4().hex}"
     folder = folder or f"{shared_dir(spark).rstrip('/')}/{name}"
     shard = F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard")
@@ -56,19 +64,64 @@ def build_index(chunks: DataFrame, key: str, text: Column, shards: int | None =
         writer.saveAsTable(f"{name}_{table}")
         return f"{name}_{table}"
 
-    ids = chunks.where(F.col(key).isNotNull()).select(shard, F.col(key).alias("chunk_id"), lexemes(text).alias("words"))
-    numbered = ids.repartition(shards, "shard").withColumn("number", in_order)
-    words = numbered.select("shard", "number", F.explode("words").alias("term")).groupBy("shard", "number", "term").agg(F.count("*").cast("int").alias("n"))
-    run = F.floor(F.col("number") / span).cast("int").alias("run")
-    blocks = words.groupBy("shard", "term", run).agg(F.array_sort(F.collect_list(F.struct("number", "n"))).alias("held"))
-    before = lambda i: F.when(i > 0, F.get("held", i - 1)["number"]).otherwise(F.col("run") * span)
-    gaps = F.transform("held", lambda x, i: (x["number"] - before(i)).cast("smallint"))
-    counts = F.transform("held", lambda x: x["n"])
-    postings = blocks.select("shard", "term", "run", F.array_max(counts).alias("most"), gaps.alias("gaps"), counts.alias("counts"))
-    directory = numbered.select("shard", "number", "chunk_id")
+    ids = rows.select(shard, F.col(key).alias("chunk_id"), text.alias("content")).repartition(shards, "shard")
+    words = ids.sortWithinPartitions("shard", "chunk_id").select("shard", lexemes(F.col("content")).alias("words"))
+    postings = words.mapInArrow(lambda b: _posted(b, span), "shard int, term string, run int, most int, gaps array<smallint>, counts array<int>")
+    directory = ids.select("shard", in_order.alias("number"), "chunk_id")
     return KeywordIndex(store(postings, "postings", "term", "run"), store(directory, "directory", "number"), shards, span)
 
 
+def _posted(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Posting blocks of chunks ``shard, words`` in order of shard and number. A task holds a batch and the chunks of an open run."""
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []  # chunks of the open run: shards, numbers, words
+    last, count = -1, 0  # shard of the last chunk, and how many of its chunks were read
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.arange(len(shard))
+        new = np.append(shard[0] != last, shard[1:] != shard[:-1])
+        first = np.maximum.accumulate(np.where(new, row, 0))
+        number = row - first + np.where((first == 0) & (not new[0]), count, 0)
+        last, count = int(shard[-1]), int(number[-1]) + 1
+        end = int(np.flatnonzero((shard == last) & (number // span == number[-1] // span))[0])  # the last run may go on
+        if end or new[0] or not number[0] % span:
+            yield from _blocks([*held, (shard[:end], number[:end], batch.column(1).slice(0, end))], span)
+            held = []
+        held.append((shard[end:], number[end:], batch.column(1).slice(end)))
+    yield from _blocks(held, span)
+
+
+def _blocks(parts: list[tuple[np.ndarray, np.ndarray, pa.Array]], span: int) -> Iterator[pa.RecordBatch]:
+    """The posting blocks of whole runs."""
+    if not parts:
+        return
+    shard, number = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    words = pa.concat_arrays([p[2] for p in parts])
+    run = np.cumsum(np.append(False, (shard[1:] != shard[:-1]) | (number[1:] // span != number[:-1] // span))[: len(shard)])
+    flat = words.flatten().dictionary_encode()
+    if not len(flat):
+        return
+    owner = np.repeat(np.arange(len(shard)), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    # a word of a chunk as one number, in order of run, term and chunk
+    key = (run[owner] * len(flat.dictionary) + flat.indices.to_numpy(zero_copy_only=False)) * span + (number % span)[owner]
+    key, n = np.unique(key, return_counts=True)
+    block, place = key // span, key % span
+    start = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    gaps = place - np.append(0, place[:-1])
+    gaps[start] = place[start]
+    of = np.zeros(int(run[-1]) + 1, np.int64)
+    of[run] = np.arange(len(run))  # a chunk of each run
+    of = of[block[start] // len(flat.dictionary)]
+    ends = pa.array(np.append(start, len(key)), pa.int32())
+    columns = [
+        pa.array(shard[of], pa.int32()), flat.dictionary.take(pa.array(block[start] % len(flat.dictionary))), pa.array(number[of] // span, pa.int32()),
+        pa.array(np.maximum.reduceat(n, start), pa.int32()), pa.ListArray.from_arrays(ends, pa.array(gaps, pa.int16())), pa.ListArray.from_arrays(ends, pa.array(n, pa.int32()))]
+    whole = pa.RecordBatch.from_arrays(columns, ["shard", "term", "run", "most", "gaps", "counts"])
+    for at in range(0, whole.num_rows, EMITTED):
+        yield whole.slice(at, EMITTED)
+
+
 def keyword_search(queries: DataFrame, index: KeywordIndex, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
     """Chunks that hold any term, by 0.1 per matching position; the k best per query variant among the ``allowed`` ids.
 

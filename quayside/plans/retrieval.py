@@ -42,7 +42,11 @@ def documents(t):
 
 
 def texts(t):
-    return t.spread("documents").select(
+    return content(t.spread("documents"))
+
+
+def content(table):
+    return table.select(
         F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("lang").alias("section"))
 
 
@@ -58,7 +62,8 @@ def stored_index(t, kind: str, build) -> ki.KeywordIndex:
 
 
 def document_index(t) -> ki.KeywordIndex:
-    return stored_index(t, "documents", lambda: ki.build_index(texts(t), "chunk_id", F.concat_ws(" ", "section", "content")))
+    """The texts are read as they lie: the index deals them to its shards itself."""
+    return stored_index(t, "documents", lambda: ki.build_index(content(t.documents), "chunk_id", F.concat_ws(" ", "section", "content")))
 
 
 def corpus(t):

@@ -82,3 +82,27 @@ def test_a_search_reads_no_text_and_exchanges_only_results(spark, chunks, asked)
     scans = re.findall(r"FileScan[^\n]*", plan)
     assert len(scans) == 2 and all("Bucketed: true" in s and "content" not in s for s in scans)
     assert len(re.findall(r"\bExchange\b", plan)) == 1 and "WindowGroupLimit" in plan  # k rows a query and task, by query
+
+
+def test_runs_that_go_over_batches(spark, chunks, asked):
+    """Blocks of many chunks a batch and of many batches a run are the same."""
+    postings = r.build_postings(chunks, "chunk_id", F.col("content"))
+    want = rows_of(r.keyword_search(asked, postings, 10))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        index = ki.build_index(chunks, "chunk_id", F.col("content"), 3)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows_of(ki.keyword_search(asked, index, 10)) == want
+    assert spark.table(index.postings).groupBy("shard", "term", "run").count().where("count > 1").count() == 0
+
+
+def test_shards_grow_with_the_texts(spark, chunks, monkeypatch):
+    assert ki.build_index(chunks, "chunk_id", F.col("content"), least=2).shards == 2
+    monkeypatch.setattr(ki, "SHARD_BYTES", 100_000)
+    size = chunks.agg(F.sum(F.octet_length("content"))).first()[0]
+    assert size > 200_000
+    index = ki.build_index(chunks, "chunk_id", F.col("content"), least=2)
+    assert index.shards == -(-size // 100_000)
+    assert spark.table(index.directory).groupBy("shard").count().agg(F.max("count")).first()[0] < 3000 / index.shards * 2
