@@ -168,7 +168,7 @@ def r03b(t):
 @query("r03c_blocks_skipped", "SELECT true AS some_skipped, true AS never_more_than_held")
 def r03c(t):
     """A search over the chunks leaves posting blocks of its terms undecoded, in an index of short runs even of a small table."""
-    found = chunks_found(t, shards=2, span=16).agg(F.sum("read").alias("read"), F.sum("blocks").alias("blocks"), F.max(F.col("read") - F.col("blocks")).alias("over"))
+    found = chunks_found(t, least=2, span=16).agg(F.sum("read").alias("read"), F.sum("blocks").alias("blocks"), F.max(F.col("read") - F.col("blocks")).alias("over"))
     return found.select((F.col("read") < F.col("blocks")).alias("some_skipped"), (F.col("over") <= 0).alias("never_more_than_held"))
 
 
