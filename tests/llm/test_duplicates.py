@@ -195,6 +195,25 @@ def test_recall_of_fuzzy_repeats(spark, store, kind, least):
     assert all(recall[step] >= x for step, x in least.items())
 
 
+def test_exact_repeats_meet_every_partner_whatever_is_around(spark, store):
+    """A source that is neither the first nor the last document with any of its seeds, and one of which three times
+    three words are put in, so that few words around a seed stand in the same places."""
+    a, b = prose(71, 60, 4000).split(), prose(72, 36, 4000).split()
+    changed = [f"new{k}" if k % 8 == 7 else w for k, w in enumerate(a)]
+    parts = [" ".join(a[k : k + 7]) for k in range(0, 60, 8)]
+
+    def decoy(seed):
+        return " ".join(f"{prose(seed + k, 30, 4000)} {x}" for k, x in enumerate(parts))
+
+    wide = [w for k, w in enumerate(b) for w in ([f"put{k}x{i}" for i in range(3)] if k in (9, 18, 27) else []) + [w]]
+    texts = [decoy(2000), f"{prose(73, 30)} {' '.join(a)}", decoy(3000), f"{prose(74, 30)} {' '.join(changed)}",
+             f"{prose(75, 30)} {' '.join(b)} {prose(76, 30)}", f"{prose(77, 30)} {' '.join(wide)} {prose(78, 30)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["source_id"]): r for r in substring.repeats(docs, store, exact=True).collect()}
+    assert set(got) == {(3, 1), (5, 4)}
+    assert got[3, 1]["end"] - got[3, 1]["start"] >= 53 and got[5, 4]["end"] - got[5, 4]["start"] == 45
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs, store):
     got = substring.repeats(odd_docs, store).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(8, 7)}
