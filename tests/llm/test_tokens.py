@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from helpers import SF, rows_of
@@ -147,3 +148,14 @@ def test_sequences_hold_the_ids(spark, store):
 def test_a_piece_of_no_length_fails(spark, store):
     with pytest.raises(Exception, match="out of range"):
         packing.minimum_bin_slack(spark.createDataFrame([(1, 0)], "doc_id long, length long"), store).count()
+
+
+def test_contents_of_ids_are_those_of_the_table():
+    """Rows of ids next to null and empty ones; an id without a token, or beyond the table, fails."""
+    table = pa.array([b"a", b"", b"\xff\x00", None], pa.large_binary())
+    coded = [np.array(x, "<u4").tobytes() for x in ([0, 2, 1, 0], [], [2])]
+    assert bpe._contents([coded[0], None, coded[1], coded[2]], table) == [b"a\xff\x00a", b"", b"", b"\xff\x00"]
+    assert bpe._contents([None, b""], table) == [b"", b""]
+    for lacking in (3, 4):
+        with pytest.raises((KeyError, IndexError)):
+            bpe._contents([np.array([0, lacking], "<u4").tobytes()], table)
