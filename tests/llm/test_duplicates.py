@@ -277,3 +277,31 @@ def test_recall_over_words_put_in_and_left_out(spark, store, kind):
     recall = {step: sum(x >= 0.85 for x in found.get(step, [])) / 40 for step in (20, 12, 10, 8, 6)}
     print(kind, recall)
     assert all(x >= 0.9 for x in recall.values())
+
+
+def test_keys_of_texts_taken_together():
+    """Word hashes of several texts in a row give the keys, marks and words around of each text alone: none lies across two."""
+    texts = [prose(31, 70), None, "one two three", prose(32, 45), "", prose(33, 44), prose(34, 300)]
+    h, owner = substring._hashed(list(enumerate(texts)))
+    s, at = substring.seeds(h, owner)
+    w = substring.around(h, owner, at)
+    inside = np.flatnonzero(substring._inside(owner, 45))
+    assert [int((owner[inside] == k).sum()) for k in range(len(texts))] == [max(0, len((x or "").split()) - 44) for x in texts]
+    begins = 0
+    for k, text in enumerate(texts):
+        mine, hashed = owner[at] == k, substring.hashes((text or "").lower().encode().split())
+        alone, places = substring.seeds(hashed, np.zeros(len(hashed), np.int64))
+        assert s[mine].tolist() == alone.tolist() and (at[mine] - begins).tolist() == places.tolist()
+        code = [0] * 12 + [int(x) % 15 + 1 for x in hashed] + [0] * 12
+        assert w[mine].tolist() == [[code[p + i] << 4 | code[p + 16 + i] for i in range(12)] for p in places]
+        assert substring._marks(h, 45)[inside[owner[inside] == k]].tolist() == substring._marks(hashed, 45).tolist()
+        begins += len(hashed)
+
+
+def test_widest_passage_with_as_few_equal_words_as_allowed():
+    """36 of 45 words are enough, 35 are not."""
+    a = np.arange(100, 145, dtype=np.uint16)
+    for unlike, found in ((9, 1), (10, 0)):
+        b = a.copy()
+        b[[3 + 4 * k for k in range(unlike)]] = 1
+        assert len(substring.widest(a, b, (0, 0, 3), 45, 0.8)) == found
