@@ -64,3 +64,33 @@ def test_workers_get_the_package(tmp_path, master):
     done = subprocess.run([sys.executable, "-c", AWAY, ROOT, master], env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
                           cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert done.stdout.split()[-1:] == ["3"], done.stderr[-2000:]
+
+
+def test_exchanges_begin_with_some_partitions_a_core(spark):
+    """Few shuffle partitions don't bound how many there are; more than the library asks for stay."""
+    raised = str(min(200, 8 * spark.sparkContext.defaultParallelism))
+    names = [session.INITIAL_PARTITIONS, "spark.sql.shuffle.partitions"]
+    before = {x: spark.conf.get(x, None) for x in names}
+    try:
+        for few, wanted in (("3", raised), ("777", "777")):
+            spark.conf.unset(session.INITIAL_PARTITIONS)
+            spark.conf.set("spark.sql.shuffle.partitions", few)
+            session.tune(session.tune(spark))
+            assert spark.conf.get(session.INITIAL_PARTITIONS) == wanted
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("kinds", ["a bigint, b int", "a bigint, b string", "a string, b string"])
+def test_foreign_keys_are_counted_without_a_join(spark, kinds):
+    """Null keys pass, keys that repeat count by row, parents may repeat, and no row of either is joined."""
+    from quayside.operators import quality
+
+    rows = [(7, 1), (7, 2), (7, None), (8, 2), (None, 5), (9, 9)]
+    child = spark.createDataFrame([[x if t.endswith("int") or x is None else str(x) for x, t in zip(r, kinds.split(", "), strict=True)] for r in rows], kinds)
+    parent = spark.createDataFrame([(7,), (7,), (2,), (None,), (100,)], "k bigint")
+    refs = [quality.References("a", child, "a", parent, "k"), quality.References("b", child, "b", parent, "k"), quality.References("none", parent, "k", parent, "k")]
+    found = quality.check_constraints(refs)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in found.select("constraint", "violations").collect()} == {("a", 2), ("b", 3), ("none", 0)}
