@@ -13,3 +13,30 @@ def test_queries_run_one_after_another(spark):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["query"]: r["has_rows"] for r in found.collect()} == {"held": True, "none": False, "no_groups": False, "total": True}
     assert [(f.name, f.dataType.simpleString()) for f in found.schema.fields] == [("query", "string"), ("has_rows", "boolean")]
+
+
+class Planned:
+    """A query that notes the plan it is run with."""
+
+    def __init__(self, df):
+        self.df, self.sparkSession, self.plan = df, df.sparkSession, None
+
+    def select(self, *columns):
+        return self
+
+    def isEmpty(self):
+        self.plan = self.df._jdf.queryExecution().executedPlan().toString()
+        return self.df.isEmpty()
+
+
+def test_health_broadcasts_small_tables_only(spark, tmp_path):
+    """A side of 3 MB is broadcast by the session's bound, and exchanged where the driver runs query after query."""
+    spark.range(400_000).select(F.xxhash64("id").alias("k"), "id").write.parquet(f"{tmp_path}/side")
+    side = spark.read.parquet(f"{tmp_path}/side")
+    joined = [side.withColumnRenamed("id", "a").join(side.where("id >= 0"), "k") for _ in range(2)]
+    health = Planned(joined[0])
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    assert [tuple(r) for r in query_health({"joined": health}).collect()] == [("joined", True)]
+    assert "Broadcast" not in health.plan and "Broadcast" in joined[1]._jdf.queryExecution().executedPlan().toString()
+    assert [spark.conf.get(k, None) for k in keys] == before
