@@ -16,6 +16,7 @@ from quayside.plans.intent import LANGUAGE, MESSAGES, messages
 from quayside.plans.registry import query
 from quayside.plans.retrieval import document_index, terms_sql
 from quayside.plans.samples import CITATIONS
+from quayside.session import small_broadcasts
 from quayside.sources.commerce import with_views as v
 
 VALID = [["S1", "S2"], ["S1", "S2", "DB1"], ["S3"], []]
@@ -143,8 +144,9 @@ TEMPLATES = ["warranty of {s1} and {s2}", "return policy"]
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n DESC, chunk_id) AS INTEGER) AS rank FROM hits QUALIFY rank <= 20)
     SELECT query_id, right(text, 50) AS resolved, chunk_id, rank, round(CAST(n AS DOUBLE) * 0.1, 4) AS keyword_score FROM ranked JOIN resolved USING (query_id)"""))
 def a06(t):
-    """Top products name the subject of the document search that follows."""
-    labels = a.entity_labels(top_names(t), [F.desc("units"), F.col("name")]).scalar()
+    """Top products name the subject of the document search that follows; they are looked up once, before it."""
+    with small_broadcasts(t.spark):
+        labels = F.lit(a.entity_labels(top_names(t), [F.desc("units"), F.col("name")]).first()["labels"]).cast("string")
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant"), a.resolve_template(
         F.concat_ws(" ", "text", pick(TEMPLATES, F.col("item_id"))), labels).alias("text"))
     found = keyword_search(asked, document_index(t))

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from quayside import session
 from quayside.operators.evaluation import query_health
+from quayside.plans import load_all
 
 
 def test_queries_run_one_after_another(spark):
@@ -40,3 +42,20 @@ def test_health_broadcasts_small_tables_only(spark, tmp_path):
     assert [tuple(r) for r in query_health({"joined": health}).collect()] == [("joined", True)]
     assert "Broadcast" not in health.plan and "Broadcast" in joined[1]._jdf.queryExecution().executedPlan().toString()
     assert [spark.conf.get(k, None) for k in keys] == before
+
+
+def test_labels_are_looked_up_once_with_small_broadcasts(spark, tables, monkeypatch):
+    from quayside.plans import answers
+
+    seen, labels = [], answers.a.entity_labels
+
+    def noted(*args):
+        seen.append(int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
+        return labels(*args)
+
+    monkeypatch.setattr(answers.a, "entity_labels", noted)
+    found = load_all()["a06_two_step_lookup"].build(tables)
+    assert seen == [session.SMALL_BROADCAST] and "lineitem" not in found._jdf.queryExecution().executedPlan().toString()
+    texts = {r["query_id"]: r["resolved"] for r in found.collect()}
+    named = labels(answers.top_names(tables), [F.desc("units"), F.col("name")]).first()["labels"]
+    assert texts and named and all(x.endswith((named[-20:], named[-10:] + ")", "and", "return policy")) for x in texts.values())
