@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF, clashing, prose, rows_of
 
@@ -214,6 +215,53 @@ def test_exact_repeats_meet_every_partner_whatever_is_around(spark, store):
     assert got[3, 1]["end"] - got[3, 1]["start"] >= 53 and got[5, 4]["end"] - got[5, 4]["start"] == 45
 
 
+def test_repeats_leave_no_partner_out(spark, store):
+    """What a share of the seeds, the first partners and the words around would miss is found without being asked for."""
+    a, b = prose(71, 60, 4000).split(), prose(72, 36, 4000).split()
+    changed = [f"new{k}" if k % 8 == 7 else w for k, w in enumerate(a)]
+    parts = [" ".join(a[k : k + 7]) for k in range(0, 60, 8)]
+    decoys = [" ".join(f"{prose(seed + k, 30, 4000)} {x}" for k, x in enumerate(parts)) for seed in (2000, 3000)]
+    wide = [w for k, w in enumerate(b) for w in ([f"put{k}x{i}" for i in range(3)] if k in (9, 18, 27) else []) + [w]]
+    texts = [decoys[0], f"{prose(73, 30)} {' '.join(a)}", decoys[1], f"{prose(74, 30)} {' '.join(changed)}",
+             f"{prose(75, 30)} {' '.join(b)} {prose(76, 30)}", f"{prose(77, 30)} {' '.join(wide)} {prose(78, 30)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["source_id"]) for r in substring.repeats(docs, store).collect()} == {(3, 1), (5, 4)}
+
+
+def test_every_pair_is_met_in_whatever_portions(monkeypatch):
+    """Pairs that are left out before alignment have no passage: the passages are those of all pairs, one by one."""
+    order, texts = random.Random(3), []
+    for k in range(24):
+        text = prose(k, 30, 300).split() + ["the"] * order.randrange(12) + prose(100 + k, 20, 300).split() + ["of"] * order.choice((0, 5, 50))
+        if k > 4:  # a passage of an earlier text, changed here and there
+            old = texts[order.randrange(k)][:70]
+            text += edited(old, order.choice(("put in", "left out", "changed", "mixed")), order.choice((3, 4, 5, 6, 9, 90)), k)
+        texts.append(text + prose(200 + k, order.randrange(30), 300).split())
+    coded = [substring.hashes([w.encode() for w in t]) for t in texts]
+    due = []
+    for i, a in enumerate(coded):
+        for j, b in enumerate(coded[:i]):
+            found = [x.tolist() for x in substring.diagonals(a, b)]
+            for chain in substring.chains(*found) if found[0] else []:
+                for x in substring.passages(a, b, [tuple(c[m] for c in found) for m in chain], 45, 0.8):
+                    due.append((i, 0, x[0], x[1], j, x[2], x[3], x[4] / max(x[1] - x[0], x[3] - x[2])))
+    rows = [x.astype("<u8").tobytes() for x in coded]
+    theirs = substring.Block(np.arange(24), rows)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(24)), pa.array([0] * 24), pa.array(rows, pa.binary())], ["doc_id", "t", "w"])
+    for at_once in (1 << 19, 200, 5):
+        monkeypatch.setattr(substring, "AT_ONCE", at_once)
+        got = [r for x in substring._against(iter([batch.slice(0, 15), batch.slice(15)]), theirs, 45, 0.8) for r in zip(*x.to_pydict().values())]
+        assert sorted(got) == sorted(due) and len({r[0] for r in got}) > 7
+
+
+def test_several_blocks_give_what_one_gives(spark, store, monkeypatch):
+    texts = [f"{prose(k, 20)} {prose(500 + k % 7, 50)} {prose(900 + k, 20)}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    one = sorted(rows_of(substring.repeats(docs, store)))
+    monkeypatch.setattr(substring, "BLOCK_WORDS", 1000)
+    assert sorted(rows_of(substring.repeats(docs, store))) == one and len(one) == 53
+
+
 def test_repeats_of_odd_rows(odd_docs, no_docs, store):
     got = substring.repeats(odd_docs, store).collect()
     assert {(r["doc_id"], r["source_id"]) for r in got} == {(8, 7)}
